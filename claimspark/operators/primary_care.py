@@ -38,24 +38,21 @@ def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
     """Step 5: keep non-physicians, and physicians with a wellness visit. With no wellness visit in the data at all
     the rule does not apply and every line stays.
 
-    Only physician lines with a known clinician need the lookup. All others get a ``spread`` value that matches
-    nothing, so that missing clinicians do not meet in one partition. A left join rather than an ``IN`` under ``OR``
-    lets adaptive skew handling split a clinician with very many lines.
+    Only physician lines with a known clinician need the lookup. All others get one of many keys that match nothing, so
+    that missing clinicians do not meet in one partition. A left join rather than an ``IN`` under ``OR`` lets adaptive
+    skew handling split a clinician with very many lines; for the same reason the key is a new value on both sides,
+    which gives the clinician list a shuffle of its own after the aggregation that made it distinct.
     """
     testable = (F.col("is_physician") == "1") & F.col("rndrng_npi").isNotNull()
-    lines = professional.withColumns(
-        {
-            "npi_key": F.coalesce("rndrng_npi", F.lit("")),
-            "spread": F.when(testable, 0).otherwise(
-                F.pmod(F.xxhash64("clm_id", "line_num", "bene_id", "svc_dt", "allowed"), F.lit(4096)).cast("int") + 1
-            ),
-        }
+    nowhere = F.concat(F.lit("#"), F.xxhash64("clm_id", "line_num", "bene_id", "svc_dt", "allowed").cast("string"))
+    lines = professional.withColumn(
+        "npi_key", F.when(testable, F.concat(F.lit("="), "rndrng_npi")).otherwise(nowhere)
     )
     known = wellness_npi.where(F.col("rndrng_npi").isNotNull()).select(
-        F.col("rndrng_npi").alias("npi_key"), F.lit(0).alias("spread"), F.lit(True).alias("has_wellness")
+        F.concat(F.lit("="), "rndrng_npi").alias("npi_key"), F.lit(True).alias("has_wellness")
     )
     rule_off = wellness_npi.select(F.count("*")).scalar() == 0
-    kept = lines.join(known, ["npi_key", "spread"], "left").where(
+    kept = lines.join(known, "npi_key", "left").where(
         rule_off | (F.col("is_physician") == "0") | F.col("has_wellness")
     )
     return kept.select(*[c for c in professional.columns if c != "is_physician"])
@@ -80,11 +77,13 @@ def pc_outpatient_line(outpatient: DataFrame) -> DataFrame:
 def pc_facility_split(outpatient_lines: DataFrame, step5: DataFrame) -> DataFrame:
     """Step 6a: the facility half of a hospital-based office visit, same person and day.
 
-    Visits are reduced to distinct person-days first; the join reuses that partitioning.
+    Visits are reduced to distinct person-days first. The year is kept among their columns although the date implies
+    it: the aggregation is then partitioned differently from the join, each side of the join has a shuffle of its own,
+    and adaptive skew handling can split a person-day with very many facility lines.
     """
     visits = (
         step5.where(F.col("pos_cd").isin(*codes.HOSPITAL_PLACES) & F.col("hcpcs_cd").between(*codes.OFFICE_VISIT_RANGE))
-        .select("bene_id", "svc_dt")
+        .select("bene_id", "svc_dt", "yr")
         .distinct()
     )
     facility = outpatient_lines.where(

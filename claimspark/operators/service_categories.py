@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions import labels
+from claimspark.operators.facts import CELL
 
 
-def claim_line_cat(claim_lines: DataFrame) -> DataFrame:
-    """Add the topline category, subcategory, type of service, year and month to every row."""
+def with_month(claim_lines: DataFrame) -> DataFrame:
+    """Add the year and month a row was incurred in; both NULL without a date."""
+    return claim_lines.withColumns({"yr": F.year("svc_dt"), "mo": F.month("svc_dt")})
+
+
+def with_category(rows: DataFrame) -> DataFrame:
+    """Add the topline category, subcategory and type of service."""
     src, bill = F.col("src"), F.col("bill_type2")
-    return claim_lines.withColumns(
+    return rows.withColumns(
         {
             "service_category": labels.service_category(src, bill),
             "subcategory": labels.subcategory(src, bill, F.col("pos_cd")),
             "type_of_service": labels.type_of_service(src, F.col("betos_cd")),
-            "yr": F.year("svc_dt"),
-            "mo": F.month("svc_dt"),
         }
     )
 
 
+CATEGORY_COLUMNS = ("service_category", "subcategory", "type_of_service", "yr", "mo")
+
+
+def claim_line_cat(claim_lines: DataFrame) -> DataFrame:
+    """Every standardized row with its category, subcategory, type of service, year and month."""
+    return with_category(with_month(claim_lines)).select(*claim_lines.columns, *CATEGORY_COLUMNS)
+
+
 def paid_by_medicare_first(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("medicare_primary") & F.col("medicare_paid"))
 
@@ -37,13 +49,17 @@ def eligibility_join(claims: DataFrame, member_months: DataFrame) -> DataFrame:
     """
     claims = claims.alias("c")
     months = (
-        member_months.where("ab_ffs").select("bene_id", "yr", "mo", "partd", "dual", "age_band", "sex").alias("m")
+        member_months.where("ab_ffs").select("bene_id", "yr", "mo", "partd", *CELL).alias("m")
     )
     on = [F.col(f"c.{key}") == F.col(f"m.{key}") for key in ("bene_id", "yr", "mo")]
     covered = (F.col("c.src") != "pde") | F.col("m.partd")
-    return claims.join(months, [*on, covered]).select("c.*", "m.dual", "m.age_band", "m.sex")
+    return claims.join(months, [*on, covered]).select("c.*", *[f"m.{c}" for c in CELL])
 
 
-def spend(categorized: DataFrame, member_months: DataFrame) -> DataFrame:
-    """Eligible rows Medicare paid as primary, with the demographics of the month they fall in."""
-    return eligibility_join(paid_by_medicare_first(categorized), member_months)
+def spend(claim_lines: DataFrame, member_months: DataFrame) -> DataFrame:
+    """Eligible rows Medicare paid as primary, with category and the demographics of the month they fall in.
+
+    Categories depend on the row alone, so they are added after the join: the label text need not be shuffled.
+    """
+    eligible = eligibility_join(paid_by_medicare_first(with_month(claim_lines)), member_months)
+    return with_category(eligible).select(*claim_lines.columns, *CATEGORY_COLUMNS, *CELL)

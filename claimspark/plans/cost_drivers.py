@@ -55,9 +55,7 @@ class CostDrivers:
         return service_categories.claim_line_cat(self.claim_line())
 
     def spend(self) -> DataFrame:
-        return self._table(
-            "spend", lambda: service_categories.spend(self.claim_line_cat(), self.member_month()), ["src"]
-        )
+        return self._table("spend", lambda: service_categories.spend(self.claim_line(), self.member_month()), ["src"])
 
     # Facts
 
