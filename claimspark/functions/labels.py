@@ -1,72 +1,73 @@
-"""Codes to flags and labels."""
+"""Codes to flags and labels. Like the parsing functions these take column names or SQL expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimspark.functions import codes
 
 
-def _label_by_code(code: Column, labels: dict[str, str], otherwise: str) -> Column:
-    """First label whose blank-separated code list holds ``code``; NULL codes get ``otherwise``."""
-    first, *rest = labels.items()
-    chain = F.when(code.isin(first[1].split()), first[0])
-    for label, members in rest:
-        chain = chain.when(code.isin(members.split()), label)
-    return chain.otherwise(otherwise)
+def _list(members: Iterable[str]) -> str:
+    return ", ".join(f"'{m}'" for m in members)
+
+
+def _case(code: str, labels: Mapping[str, str], otherwise: str) -> str:
+    """First label whose blank-separated list holds the code; NULL codes get ``otherwise``."""
+    whens = " ".join(f"WHEN {code} IN ({_list(members.split())}) THEN '{label}'" for label, members in labels.items())
+    return f"CASE {whens} ELSE {otherwise} END"
+
+
+def _by_code(code: str, labels: Mapping[str, str], otherwise: str) -> str:
+    whens = " ".join(f"WHEN {code} = '{value}' THEN '{label}'" for value, label in labels.items())
+    return f"CASE {whens} ELSE {otherwise} END"
 
 
-def in_part_ab_ffs(buyin: Column, hmo: Column) -> Column:
+def in_part_ab_ffs(buyin: str, hmo: str) -> Column:
     """Part A and B that month and not in managed care; NULL managed-care code counts as none."""
-    return buyin.isin(*codes.PART_A_AND_B) & (F.coalesce(hmo, F.lit(codes.NOT_MANAGED_CARE)) == codes.NOT_MANAGED_CARE)
+    none = codes.NOT_MANAGED_CARE
+    return F.expr(f"{buyin} IN ({_list(codes.PART_A_AND_B)}) AND coalesce({hmo}, '{none}') = '{none}'")
 
 
-def in_part_d(contract: Column) -> Column:
+def in_part_d(contract: str) -> Column:
     """A Part D contract is on file; never NULL. An empty, non-NULL contract counts."""
-    return contract.isNotNull() & ~contract.isin(*codes.NO_PART_D_CONTRACT)
+    return F.expr(f"{contract} IS NOT NULL AND {contract} NOT IN ({_list(codes.NO_PART_D_CONTRACT)})")
 
 
-def is_dual(status: Column) -> Column:
+def is_dual(status: str) -> Column:
     """Full or partial Medicaid that month; NULL counts as not."""
-    return F.coalesce(status.isin(*codes.DUAL_ELIGIBLE), F.lit(False))
+    return F.expr(f"coalesce({status} IN ({_list(codes.DUAL_ELIGIBLE)}), false)")
 
 
-def age_band(age: Column) -> Column:
+def age_band(age: str) -> Column:
     """Four bands; an unknown age falls in the last one."""
-    return F.when(age < 65, "<65").when(age < 75, "65-74").when(age < 85, "75-84").otherwise("85+")
+    return F.expr(
+        f"CASE WHEN {age} < 65 THEN '<65' WHEN {age} < 75 THEN '65-74' WHEN {age} < 85 THEN '75-84' ELSE '85+' END"
+    )
 
 
-def sex_label(code: Column) -> Column:
-    chain = None
-    for value, label in codes.SEX_LABELS.items():
-        chain = F.when(code == value, label) if chain is None else chain.when(code == value, label)
-    return chain.otherwise("Unknown")
+def sex_label(code: str) -> Column:
+    return F.expr(_by_code(code, codes.SEX_LABELS, "'Unknown'"))
 
 
-def service_category(src: Column, bill: Column) -> Column:
+def service_category(src: str, bill: str) -> Column:
     """Topline category: the claim file decides first, then the bill type. Never NULL."""
-    by_bill = _label_by_code(bill, codes.BILL_TYPE_CATEGORY, "Other")
-    chain = None
-    for name, label in codes.SOURCE_CATEGORY.items():
-        chain = F.when(src == name, label) if chain is None else chain.when(src == name, label)
-    return chain.otherwise(by_bill)
+    return F.expr(_by_code(src, codes.SOURCE_CATEGORY, _case(bill, codes.BILL_TYPE_CATEGORY, "'Other'")))
 
 
-def subcategory(src: Column, bill: Column, place: Column) -> Column:
+def subcategory(src: str, bill: str, place: str) -> Column:
     """Place of setting; bill types without a setting of their own are ``Other facility``."""
-    by_bill = _label_by_code(bill, codes.BILL_TYPE_SUBCATEGORY, "Other facility")
-    by_place = _label_by_code(place, codes.PLACE_SUBCATEGORY, "Other professional")
-    chain = F.when(src == "carrier", by_place)
-    for name, label in codes.SOURCE_SUBCATEGORY.items():
-        chain = chain.when(src == name, label)
-    return chain.otherwise(by_bill)
+    by_place = _case(place, codes.PLACE_SUBCATEGORY, "'Other professional'")
+    by_bill = _case(bill, codes.BILL_TYPE_SUBCATEGORY, "'Other facility'")
+    by_file = _by_code(src, codes.SOURCE_SUBCATEGORY, by_bill)
+    return F.expr(f"CASE WHEN {src} = 'carrier' THEN {by_place} ELSE {by_file} END")
 
 
-def type_of_service(src: Column, betos: Column) -> Column:
+def type_of_service(src: str, betos: str) -> Column:
     """Professional lines only: first BETOS letter. Empty text is an exception, NULL is unclassified."""
-    letter = F.substring(betos, 1, 1)
-    chain = F.when(betos.isNull(), "Unclassified")
-    for value, label in codes.BETOS_LABELS.items():
-        chain = chain.when(letter == value, label)
-    return F.when(src == "carrier", chain.otherwise("Exceptions/unclassified"))
+    by_letter = _by_code(f"substring({betos}, 1, 1)", codes.BETOS_LABELS, "'Exceptions/unclassified'")
+    return F.expr(
+        f"CASE WHEN {src} = 'carrier' THEN CASE WHEN {betos} IS NULL THEN 'Unclassified' ELSE {by_letter} END END"
+    )

@@ -1,6 +1,7 @@
 """Text cells to typed columns. Source tables hold text only, so every number and date is cast here.
 
-Casts are strict: with ANSI mode on (Spark's default) a cell that is neither blank nor a number fails the job.
+Each function takes a column name, or any SQL expression, and makes one Spark expression of it. Casts are strict: with
+ANSI mode on (Spark's default) a cell that is neither blank nor a number fails the job.
 """
 
 from __future__ import annotations
@@ -11,45 +12,34 @@ from pyspark.sql import functions as F
 from claimspark.functions.codes import MONTH_NAMES
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def blank_to_null(c: Column | str) -> Column:
-    """Trimmed text, NULL where nothing is left."""
-    return F.nullif(F.trim(_col(c)), F.lit(""))
-
-
-def is_blank(c: Column | str) -> Column:
-    """True for NULL, empty and all-space cells; never NULL."""
-    return F.coalesce(F.trim(_col(c)), F.lit("")) == ""
-
-
-def parse_int(c: Column | str) -> Column:
+def parse_int(cell: str) -> Column:
     """Whole number, NULL for a blank cell."""
-    return blank_to_null(c).cast("int")
+    return F.expr(f"cast(nullif(trim({cell}), '') AS int)")
 
 
-def parse_money(c: Column | str) -> Column:
+def parse_money(cell: str) -> Column:
     """Dollar amount, 0 for a blank cell."""
-    return F.coalesce(blank_to_null(c).cast("double"), F.lit(0.0))
+    return F.expr(f"coalesce(cast(nullif(trim({cell}), '') AS double), 0D)")
 
 
-def parse_claim_date(c: Column | str) -> Column:
+def parse_claim_date(cell: str) -> Column:
     """``DD-Mon-YYYY`` to a date by character position; NULL for an unknown month name (case matters).
 
     The text is rearranged to ISO order and cast, which is cheaper per row than a pattern-driven parser.
     """
-    text = _col(c)
-    names = F.array(*[F.lit(name) for name in MONTH_NAMES])
-    month = F.nullif(F.array_position(names, F.substring(text, 4, 3)), F.lit(0).cast("bigint"))
-    return F.concat(
-        F.substring(text, 8, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.substring(text, 1, 2)
-    ).cast("date")
+    names = ", ".join(f"'{name}'" for name in MONTH_NAMES)
+    month = f"nullif(array_position(array({names}), substring({cell}, 4, 3)), 0)"
+    return F.expr(
+        f"cast(concat(substring({cell}, 8, 4), '-', lpad(cast({month} AS string), 2, '0'), '-', "
+        f"substring({cell}, 1, 2)) AS date)"
+    )
+
+
+def is_blank(cell: str) -> Column:
+    """True for NULL, empty and all-space cells; never NULL."""
+    return F.expr(f"coalesce(trim({cell}), '') = ''")
 
 
-def bill_type(
-    facility: Column | str = "CLM_FAC_TYPE_CD", classification: Column | str = "CLM_SRVC_CLSFCTN_TYPE_CD"
-) -> Column:
+def bill_type(facility: str = "CLM_FAC_TYPE_CD", classification: str = "CLM_SRVC_CLSFCTN_TYPE_CD") -> Column:
     """First two characters of the bill type; NULL if either part is NULL."""
-    return F.concat(_col(facility), _col(classification))
+    return F.concat(facility, classification)

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.parsing import bill_type, is_blank, parse_claim_date, parse_int, parse_money
@@ -34,14 +34,26 @@ CLAIM_LINE_COLUMNS = {
 
 @dataclass(frozen=True)
 class LineFile:
-    """Where a line-level file keeps the standard columns; a column left out is NULL in that file."""
+    """Where a line-level file keeps the standard columns; a column left out is NULL in that file.
+
+    ``primary`` and ``accepted`` are conditions in SQL.
+    """
 
     date: str
     paid: str
     allowed: str
     columns: Mapping[str, str]
-    primary: Column | None = None
-    accepted: Column | None = None
+    primary: str = "true"
+    accepted: str = "true"
+
+
+_SUPPLIER_COLUMNS = {
+    "clm_id": "CLM_ID",
+    "pos_cd": "LINE_PLACE_OF_SRVC_CD",
+    "spclty": "PRVDR_SPCLTY",
+    "hcpcs_cd": "HCPCS_CD",
+    "betos_cd": "BETOS_CD",
+}
 
 
 def _supplier_file(**extra: str) -> LineFile:
@@ -49,38 +61,30 @@ def _supplier_file(**extra: str) -> LineFile:
         date="LINE_1ST_EXPNS_DT",
         paid="LINE_NCH_PMT_AMT",
         allowed="LINE_ALOWD_CHRG_AMT",
-        columns={
-            "clm_id": "CLM_ID",
-            "pos_cd": "LINE_PLACE_OF_SRVC_CD",
-            "spclty": "PRVDR_SPCLTY",
-            "hcpcs_cd": "HCPCS_CD",
-            "betos_cd": "BETOS_CD",
-            **extra,
-        },
-        primary=is_blank("LINE_BENE_PRMRY_PYR_CD"),
+        columns=_SUPPLIER_COLUMNS | extra,
+        primary="coalesce(trim(LINE_BENE_PRMRY_PYR_CD), '') = ''",
         # Compared as it stands: NULL is accepted, a blank is not.
-        accepted=F.coalesce(F.col("LINE_PRCSG_IND_CD"), F.lit("A")) == "A",
+        accepted="coalesce(LINE_PRCSG_IND_CD, 'A') = 'A'",
     )
 
 
-def line_files() -> dict[str, LineFile]:
-    return {
-        "carrier": _supplier_file(rndrng_npi="PRF_PHYSN_NPI"),
-        "dme": _supplier_file(ndc="LINE_NDC_CD"),
-        "pde": LineFile(
-            date="SRVC_DT",
-            paid="CVRD_D_PLAN_PD_AMT",
-            allowed="TOT_RX_CST_AMT",
-            columns={"clm_id": "PDE_ID", "ndc": "PROD_SRVC_ID"},
-        ),
-    }
+LINE_FILE_COLUMNS = {
+    "carrier": _supplier_file(rndrng_npi="PRF_PHYSN_NPI"),
+    "dme": _supplier_file(ndc="LINE_NDC_CD"),
+    "pde": LineFile(
+        date="SRVC_DT",
+        paid="CVRD_D_PLAN_PD_AMT",
+        allowed="TOT_RX_CST_AMT",
+        columns={"clm_id": "PDE_ID", "ndc": "PROD_SRVC_ID"},
+    ),
+}
 
 
 def conform(df: DataFrame, columns: Mapping[str, str] = CLAIM_LINE_COLUMNS) -> DataFrame:
     """Bring ``df`` to a column contract; columns it lacks become NULLs of the right type."""
     present = set(df.columns)
-    return df.select(
-        *[(F.col(name) if name in present else F.lit(None)).cast(kind).alias(name) for name, kind in columns.items()]
+    return df.selectExpr(
+        *[f"cast({name if name in present else 'NULL'} AS {kind}) AS {name}" for name, kind in columns.items()]
     )
 
 
@@ -132,20 +136,21 @@ def institutional_claims(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 def line_claims(src: str, lines: DataFrame) -> DataFrame:
     """Standard rows of a line-level file; every line stays a row, no shuffle."""
-    spec = line_files()[src]
-    columns = {
-        "src": F.lit(src),
-        "bene_id": F.col("BENE_ID"),
-        "svc_dt": parse_claim_date(spec.date),
-        "paid": parse_money(spec.paid),
-        "allowed": parse_money(spec.allowed),
-        "medicare_primary": F.lit(True) if spec.primary is None else spec.primary,
-        "medicare_paid": F.lit(True) if spec.accepted is None else spec.accepted,
-        **{name: F.col(column) for name, column in spec.columns.items()},
-    }
-    if "LINE_NUM" in lines.columns:
-        columns["line_num"] = parse_int("LINE_NUM")
-    return conform(lines.select(*[c.alias(name) for name, c in columns.items()]))
+    spec = LINE_FILE_COLUMNS[src]
+    number = [parse_int("LINE_NUM").alias("line_num")] if "LINE_NUM" in lines.columns else []
+    return conform(
+        lines.select(
+            F.lit(src).alias("src"),
+            F.col("BENE_ID").alias("bene_id"),
+            *number,
+            parse_claim_date(spec.date).alias("svc_dt"),
+            *[F.col(column).alias(name) for name, column in spec.columns.items()],
+            parse_money(spec.paid).alias("paid"),
+            parse_money(spec.allowed).alias("allowed"),
+            F.expr(spec.primary).alias("medicare_primary"),
+            F.expr(spec.accepted).alias("medicare_paid"),
+        )
+    )
 
 
 def claim_line(sources: Mapping[str, DataFrame]) -> DataFrame:

@@ -11,22 +11,34 @@ from claimspark.functions.parsing import parse_int
 from claimspark.sources.text_tables import MONTHLY_FAMILIES, MONTHS
 
 
+def person_years(beneficiary: DataFrame) -> DataFrame:
+    """Demographics of a person-year next to its monthly columns; worked out here, once instead of twelve times."""
+    monthly = [f"{family}_{mm}" for family in MONTHLY_FAMILIES for mm in MONTHS]
+    parsed = beneficiary.select(
+        F.col("BENE_ID").alias("bene_id"),
+        parse_int("BENE_ENROLLMT_REF_YR").alias("yr"),
+        parse_int("AGE_AT_END_REF_YR").alias("age"),
+        labels.sex_label("SEX_IDENT_CD").alias("sex"),
+        *monthly,
+    )
+    return parsed.select("bene_id", "yr", labels.age_band("age").alias("age_band"), "sex", *monthly)
+
+
 def unpivot_months(beneficiary: DataFrame) -> DataFrame:
     """One row per person, year and month from the four aligned groups of twelve columns.
 
     ``stack`` generates the rows inside the scan stage: no join with a month table and no shuffle.
     """
-    cells = [
-        cell
+    cells = ", ".join(
+        f"{number}, {', '.join(f'{family}_{mm}' for family in MONTHLY_FAMILIES)}"
         for number, mm in enumerate(MONTHS, start=1)
-        for cell in (F.lit(number), *(F.col(f"{family}_{mm}") for family in MONTHLY_FAMILIES))
-    ]
-    return beneficiary.select(
-        F.col("BENE_ID").alias("bene_id"),
-        parse_int("BENE_ENROLLMT_REF_YR").alias("yr"),
-        F.col("SEX_IDENT_CD").alias("sex_cd"),
-        parse_int("AGE_AT_END_REF_YR").alias("age"),
-        F.stack(F.lit(len(MONTHS)), *cells).alias("mo", "buyin_cd", "hmo_cd", "ptd_cd", "dual_cd"),
+    )
+    return person_years(beneficiary).selectExpr(
+        "bene_id",
+        "yr",
+        "age_band",
+        "sex",
+        f"stack({len(MONTHS)}, {cells}) AS (mo, buyin_cd, hmo_cd, ptd_cd, dual_cd)",
     )
 
 
@@ -41,11 +53,11 @@ def member_month(beneficiary: DataFrame) -> DataFrame:
         "bene_id",
         "yr",
         "mo",
-        labels.in_part_ab_ffs(F.col("buyin_cd"), F.col("hmo_cd")).alias("ab_ffs"),
-        labels.in_part_d(F.col("ptd_cd")).alias("partd"),
-        labels.is_dual(F.col("dual_cd")).alias("dual"),
-        labels.age_band(F.col("age")).alias("age_band"),
-        labels.sex_label(F.col("sex_cd")).alias("sex"),
+        labels.in_part_ab_ffs("buyin_cd", "hmo_cd").alias("ab_ffs"),
+        labels.in_part_d("ptd_cd").alias("partd"),
+        labels.is_dual("dual_cd").alias("dual"),
+        "age_band",
+        "sex",
     )
 
 

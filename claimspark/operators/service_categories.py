@@ -16,12 +16,11 @@ def with_month(claim_lines: DataFrame) -> DataFrame:
 
 def with_category(rows: DataFrame) -> DataFrame:
     """Add the topline category, subcategory and type of service."""
-    src, bill = F.col("src"), F.col("bill_type2")
     return rows.withColumns(
         {
-            "service_category": labels.service_category(src, bill),
-            "subcategory": labels.subcategory(src, bill, F.col("pos_cd")),
-            "type_of_service": labels.type_of_service(src, F.col("betos_cd")),
+            "service_category": labels.service_category("src", "bill_type2"),
+            "subcategory": labels.subcategory("src", "bill_type2", "pos_cd"),
+            "type_of_service": labels.type_of_service("src", "betos_cd"),
         }
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame
 
@@ -13,6 +14,18 @@ from claimspark.sources.code_lists import CodeLists
 from claimspark.sources.store import TableStore
 
 
+def _once(build: Callable[[CostDrivers], DataFrame]) -> Callable[[CostDrivers], DataFrame]:
+    """Build a result's plan once per instance; analysing large plans again and again takes the driver seconds."""
+
+    @wraps(build)
+    def made(self: CostDrivers) -> DataFrame:
+        if build.__name__ not in self._made:
+            self._made[build.__name__] = build(self)
+        return self._made[build.__name__]
+
+    return made
+
+
 class CostDrivers:
     """Every result of the analysis by name, each a DataFrame.
 
@@ -32,67 +45,84 @@ class CostDrivers:
         self.lists = lists
         self.window = window or StudyWindow()
         self.store = store
+        self._made: dict[str, DataFrame] = {}
 
     def _table(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
         return build() if self.store is None else self.store.table(name, build, partition_by)
 
     # Enrollment
 
+    @_once
     def member_month(self) -> DataFrame:
         """Partitioned by year: the study window then skips whole folders."""
         return self._table("member_month", lambda: member_months.member_month(self.sources["beneficiary"]), ["yr"])
 
+    @_once
     def member_months_by_year(self) -> DataFrame:
         return member_months.member_months_by_year(self.member_month())
 
     # Claims
 
+    @_once
     def claim_line(self) -> DataFrame:
         """Partitioned by claim file: results on one file or one category read that folder only."""
         return self._table("claim_line", lambda: claim_lines.claim_line(self.sources), ["src"])
 
+    @_once
     def claim_line_cat(self) -> DataFrame:
         return service_categories.claim_line_cat(self.claim_line())
 
+    @_once
     def spend(self) -> DataFrame:
         return self._table("spend", lambda: service_categories.spend(self.claim_line(), self.member_month()), ["src"])
 
     # Facts
 
+    @_once
     def mm_fact(self) -> DataFrame:
         return self._table("mm_fact", lambda: facts.mm_fact(self.member_month(), self.window))
 
+    @_once
     def spend_fact(self) -> DataFrame:
         return self._table("spend_fact", lambda: facts.spend_fact(self.spend(), self.window))
 
+    @_once
     def ip_fact(self) -> DataFrame:
         return self._table("ip_fact", lambda: facts.ip_fact(self.spend(), self.window))
 
+    @_once
     def members_fact(self) -> DataFrame:
         return self._table("members_fact", lambda: facts.members_fact(self.member_month(), self.window))
 
+    @_once
     def pc_fact(self) -> DataFrame:
         return self._table("pc_fact", lambda: facts.pc_fact(self.pc_step5(), self.window))
 
     # PMPM
 
+    @_once
     def pmpm_by_category(self) -> DataFrame:
         return pmpm.pmpm_by_category(self.spend_fact(), self.mm_fact())
 
+    @_once
     def pmpm_total(self) -> DataFrame:
         return pmpm.pmpm_total(self.pmpm_by_category())
 
+    @_once
     def pmpm_growth(self) -> DataFrame:
         return pmpm.pmpm_growth(self.pmpm_by_category(), self.window)
 
     # Primary care
 
+    @_once
     def pc_professional(self) -> DataFrame:
         return primary_care.pc_professional(self.spend(), self.lists).drop("is_physician")
 
+    @_once
     def pc_wellness_npi(self) -> DataFrame:
         return self._table("pc_wellness_npi", lambda: primary_care.pc_wellness_npi(self.spend()))
 
+    @_once
     def pc_step5(self) -> DataFrame:
         return self._table(
             "pc_step5",
@@ -101,22 +131,27 @@ class CostDrivers:
             ),
         )
 
+    @_once
     def pc_outpatient_line(self) -> DataFrame:
         return primary_care.pc_outpatient_line(self.sources["outpatient"])
 
+    @_once
     def pc_facility_split(self) -> DataFrame:
         return self._table(
             "pc_facility_split", lambda: primary_care.pc_facility_split(self.pc_outpatient_line(), self.pc_step5())
         )
 
+    @_once
     def pc_fqhc(self) -> DataFrame:
         return primary_care.pc_fqhc(self.pc_outpatient_line(), self.lists)
 
+    @_once
     def primary_care_by_year(self) -> DataFrame:
         return primary_care.primary_care_by_year(
             self.pc_step5(), self.pc_facility_split(), self.pc_fqhc(), self.spend_fact(), self.mm_fact(), self.window
         )
 
+    @_once
     def primary_care_by_service(self) -> DataFrame:
         return primary_care.primary_care_by_service(self.pc_step5(), self.window)
 
@@ -130,9 +165,11 @@ class CostDrivers:
     def utilization_rate(self, by: Sequence[str] = ()) -> DataFrame:
         return drivers.utilization_rate(self.ip_fact(), self.mm_fact(), by)
 
+    @_once
     def growth_contribution(self) -> DataFrame:
         return drivers.growth_contribution(self.pmpm_by_category(), self.window.start, self.window.end)
 
+    @_once
     def average_annual_growth(self) -> DataFrame:
         return drivers.average_annual_growth(self.pmpm_total())
 
@@ -161,5 +198,6 @@ class CostDrivers:
             "pc_facility": lambda: validation.check_pc_facility(self.pc_facility_split(), self.pc_fqhc()),
         }
 
+    @_once
     def validation(self) -> DataFrame:
         return validation.validation([build() for build in self.checks().values()])

@@ -23,5 +23,9 @@ def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": "512MB" if large else "128MB",
         # Partitioned writes have at most nine folders: one open file each needs no sort before the write.
         "spark.sql.maxConcurrentOutputFileWriters": "16",
+        # The JVM never compiles methods above this size; Spark then runs wide rows as several smaller ones instead.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Recording the source line of every column expression makes building large plans slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
     }

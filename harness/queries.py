@@ -211,9 +211,9 @@ def eligibility_flags(cd):
             "hmo_cd",
             "ptd_cd",
             "dual_cd",
-            labels.in_part_ab_ffs(F.col("buyin_cd"), F.col("hmo_cd")).alias("ab_ffs"),
-            labels.in_part_d(F.col("ptd_cd")).alias("partd"),
-            labels.is_dual(F.col("dual_cd")).alias("dual"),
+            labels.in_part_ab_ffs("buyin_cd", "hmo_cd").alias("ab_ffs"),
+            labels.in_part_d("ptd_cd").alias("partd"),
+            labels.is_dual("dual_cd").alias("dual"),
         )
         .groupBy("buyin_cd", "hmo_cd", "ptd_cd", "dual_cd", "ab_ffs", "partd", "dual")
         .agg(F.count("*").alias("n"))
@@ -222,22 +222,16 @@ def eligibility_flags(cd):
 
 @query
 def age_band(cd):
-    return (
-        cd.sources["beneficiary"]
-        .select(F.col("AGE_AT_END_REF_YR").alias("age_text"), labels.age_band(parse_int("AGE_AT_END_REF_YR")).alias("age_band"))
-        .groupBy("age_text", "age_band")
-        .agg(F.count("*").alias("n"))
+    ages = cd.sources["beneficiary"].select(
+        F.col("AGE_AT_END_REF_YR").alias("age_text"), parse_int("AGE_AT_END_REF_YR").alias("age")
     )
+    return ages.groupBy("age_text", labels.age_band("age").alias("age_band")).agg(F.count("*").alias("n"))
 
 
 @query
 def decode_sex(cd):
-    return (
-        cd.sources["beneficiary"]
-        .select(F.col("SEX_IDENT_CD").alias("sex_cd"), labels.sex_label(F.col("SEX_IDENT_CD")).alias("sex"))
-        .groupBy("sex_cd", "sex")
-        .agg(F.count("*").alias("n"))
-    )
+    people = cd.sources["beneficiary"].select(F.col("SEX_IDENT_CD").alias("sex_cd"))
+    return people.groupBy("sex_cd", labels.sex_label("sex_cd").alias("sex")).agg(F.count("*").alias("n"))
 
 
 @query

@@ -6,7 +6,7 @@ An order is a claim and its lines are the claim's lines; a customer is a person.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.sources.store import TableStore
@@ -29,21 +29,18 @@ FILE_NUMBERS = {
 }
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _money_text(c: Column) -> Column:
-    return c.cast("decimal(12,2)").cast("string")
+def _pick(index: str, values: list[str | None]) -> str:
+    """Text at position ``index`` of a list; NULL entries stay NULL."""
+    entries = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({entries}), cast({index} AS int) + 1)"
 
 
-def _null() -> Column:
-    return F.lit(None).cast("string")
+def _money(amount: str) -> str:
+    return f"cast(cast({amount} AS decimal(12,2)) AS string)"
 
 
-def _pick(index: Column, values: list[str | None]) -> Column:
-    """Text at position ``index`` of a list; NULL entries stay NULL."""
-    return F.element_at(F.array(*[_null() if v is None else F.lit(v) for v in values]), index.cast("int") + 1)
+def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{value} AS {name}" for name, value in columns.items()])
 
 
 def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,73 +58,62 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        F.col("c_custkey").alias("c"), F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))).alias("yr")
+    """A person becomes 9 wide rows and later 108 months, so the narrow keys are spread over all tasks first."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
+    people = keys.repartition(tasks, "c").withColumn(
+        "yr", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
     )
-    c, yr = F.col("c"), F.col("yr")
     columns = {
-        "BENE_ID": _text(c),
-        "BENE_ENROLLMT_REF_YR": _text(yr),
-        "SEX_IDENT_CD": F.when(c % 10 == 0, "0").when(c % 10 <= 4, "1").otherwise("2"),
-        "AGE_AT_END_REF_YR": F.when(c % 53 == 0, _null()).when(c % 59 == 0, " ").otherwise(
-            _text(50 + c % 45 + yr - 2016)
+        "BENE_ID": "cast(c AS string)",
+        "BENE_ENROLLMT_REF_YR": "cast(yr AS string)",
+        "SEX_IDENT_CD": "CASE WHEN c % 10 = 0 THEN '0' WHEN c % 10 <= 4 THEN '1' ELSE '2' END",
+        "AGE_AT_END_REF_YR": (
+            "CASE WHEN c % 53 = 0 THEN NULL WHEN c % 59 = 0 THEN ' ' ELSE cast(50 + c % 45 + yr - 2016 AS string) END"
         ),
-        "BENE_HI_CVRAGE_TOT_MONS": F.when(c % 61 != 0, "12"),
-        "BENE_SMI_CVRAGE_TOT_MONS": _text(6 + c % 7),
+        "BENE_HI_CVRAGE_TOT_MONS": "CASE WHEN c % 61 <> 0 THEN '12' END",
+        "BENE_SMI_CVRAGE_TOT_MONS": "cast(6 + c % 7 AS string)",
     }
-    for number, mm in enumerate(MONTHS, start=1):
-        buyin = (c * 13 + yr * 7 + number * 3) % 20
-        managed = (c + yr + number) % 17
-        contract = (c * 5 + yr + number) % 9
-        dual = (c * 3 + number) % 11
-        columns[f"MDCR_ENTLMT_BUYIN_IND_{mm}"] = (
-            F.when(buyin == 0, _null()).when(buyin == 1, "1").when(buyin == 2, "0").when(buyin <= 4, "C").otherwise("3")
-        )
-        columns[f"HMO_IND_{mm}"] = F.when(managed == 0, "1").when(managed != 1, "0")
-        columns[f"PTD_CNTRCT_ID_{mm}"] = _pick(contract, ["0", "N", "X", None] + ["S1234"] * 5)
-        columns[f"DUAL_STUS_CD_{mm}"] = _pick(dual, [None, "00", "07", "01", "08", "02"] + ["00"] * 5)
-    return people.select(*[value.alias(name) for name, value in columns.items()])
-
-
-def _date_text() -> Column:
-    day = F.col("day")
-    return F.when(
-        F.col("o_orderkey") % 211 == 0, F.concat(F.date_format(day, "dd"), F.lit("-Foo-"), F.date_format(day, "yyyy"))
-    ).otherwise(F.date_format(day, "dd-MMM-yyyy"))
-
-
-def _payer_code() -> Column:
-    key = F.col("o_orderkey")
-    return F.when(key % 29 == 0, "A").when(key % 2 == 1, " ")
-
-
-def _bill_type(src: str) -> Column:
-    """Both characters of the bill type as one two-character text, NULL for some claims."""
-    q = F.floor(F.col("o_orderkey") / 8)
-    usual = {
-        "inpatient": F.when(q % 5 == 0, "41").otherwise("11"),
-        "outpatient": F.when(q % 6 == 0, "77").otherwise("13"),
-        "snf": F.when(q % 4 == 0, "18").otherwise("21"),
-        "hha": F.when(q % 2 == 0, "32").otherwise("33"),
-        "hospice": F.when(q % 2 == 0, "81").otherwise("82"),
-    }[src]
-    return F.when(q % 101 == 0, _null()).when(q % 97 == 0, "53").otherwise(usual)
+    for m, mm in enumerate(MONTHS, start=1):
+        columns |= {
+            f"MDCR_ENTLMT_BUYIN_IND_{mm}": _pick(f"(c * 13 + yr * 7 + {m} * 3) % 20", [None, "1", "0", "C", "C"] + ["3"] * 15),
+            f"HMO_IND_{mm}": _pick(f"(c + yr + {m}) % 17", ["1", None] + ["0"] * 15),
+            f"PTD_CNTRCT_ID_{mm}": _pick(f"(c * 5 + yr + {m}) % 9", ["0", "N", "X", None] + ["S1234"] * 5),
+            f"DUAL_STUS_CD_{mm}": _pick(f"(c * 3 + {m}) % 11", [None, "00", "07", "01", "08", "02"] + ["00"] * 5),
+        }
+    return _project(people, columns)
+
+
+DATE_TEXT = (
+    "concat(date_format(day, 'dd'), CASE WHEN o_orderkey % 211 = 0 THEN '-Foo-' ELSE date_format(day, '-MMM-') END, "
+    "date_format(day, 'yyyy'))"
+)
+PAYER_CODE = "CASE WHEN o_orderkey % 29 = 0 THEN 'A' WHEN o_orderkey % 2 = 1 THEN ' ' END"
+USUAL_BILL_TYPE = {
+    "inpatient": "if(q % 5 = 0, '41', '11')",
+    "outpatient": "if(q % 6 = 0, '77', '13')",
+    "snf": "if(q % 4 = 0, '18', '21')",
+    "hha": "if(q % 2 = 0, '32', '33')",
+    "hospice": "if(q % 2 = 0, '81', '82')",
+}
 
 
 def _institutional(src: str, lines: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    deductible = F.when(key % 37 == 0, " ").when(key % 41 != 0, F.concat(_text(key % 1400), F.lit(".50")))
-    coinsurance = F.concat(_text(key * 7 % 300), F.lit(".25"))
-    blood = F.when(key % 3 == 0, "").otherwise(F.concat(_text(key % 20), F.lit(".00")))
+    deductible = (
+        "CASE WHEN o_orderkey % 37 = 0 THEN ' ' WHEN o_orderkey % 41 <> 0 "
+        "THEN concat(cast(o_orderkey % 1400 AS string), '.50') END"
+    )
+    coinsurance = "concat(cast(o_orderkey * 7 % 300 AS string), '.25')"
+    blood = "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat(cast(o_orderkey % 20 AS string), '.00') END"
     columns = {
-        "CLM_ID": _text(key),
-        "BENE_ID": _text(F.col("o_custkey")),
-        "CLM_FROM_DT": _date_text(),
-        "CLM_FAC_TYPE_CD": F.substring(_bill_type(src), 1, 1),
-        "CLM_SRVC_CLSFCTN_TYPE_CD": F.substring(_bill_type(src), 2, 1),
-        "NCH_PRMRY_PYR_CD": _payer_code(),
-        "CLM_MDCR_NON_PMT_RSN_CD": F.when(key % 31 == 0, "N").when(key % 2 == 0, " "),
-        "CLM_PMT_AMT": _money_text(F.col("o_totalprice")),
+        "CLM_ID": "cast(o_orderkey AS string)",
+        "BENE_ID": "cast(o_custkey AS string)",
+        "CLM_FROM_DT": DATE_TEXT,
+        "CLM_FAC_TYPE_CD": "substring(bill, 1, 1)",
+        "CLM_SRVC_CLSFCTN_TYPE_CD": "substring(bill, 2, 1)",
+        "NCH_PRMRY_PYR_CD": PAYER_CODE,
+        "CLM_MDCR_NON_PMT_RSN_CD": "CASE WHEN o_orderkey % 31 = 0 THEN 'N' WHEN o_orderkey % 2 = 0 THEN ' ' END",
+        "CLM_PMT_AMT": _money("o_totalprice"),
     }
     if src in ("inpatient", "snf"):
         columns |= {
@@ -140,53 +126,55 @@ def _institutional(src: str, lines: DataFrame) -> DataFrame:
             "NCH_BENE_PTB_DDCTBL_AMT": deductible,
             "NCH_BENE_PTB_COINSRNC_AMT": coinsurance,
             "NCH_BENE_BLOOD_DDCTBL_LBLTY_AM": blood,
-            "HCPCS_CD": _pick(F.col("l_partkey") % 5, ["G0463", "90935", "G0466", "99213", None]),
-            "REV_CNTR_DT": _date_text(),
-            "REV_CNTR_PMT_AMT_AMT": _money_text(F.col("l_extendedprice")),
-            "REV_CNTR_CASH_DDCTBL_AMT": F.when(F.col("l_partkey") % 37 == 0, " ").otherwise(
-                _money_text(F.col("l_quantity"))
-            ),
-            "REV_CNTR_COINSRNC_WGE_ADJSTD_C": F.when(F.col("l_linenumber") != 4, _text(F.col("l_linenumber"))),
+            "HCPCS_CD": _pick("l_partkey % 5", ["G0463", "90935", "G0466", "99213", None]),
+            "REV_CNTR_DT": DATE_TEXT,
+            "REV_CNTR_PMT_AMT_AMT": _money("l_extendedprice"),
+            "REV_CNTR_CASH_DDCTBL_AMT": f"if(l_partkey % 37 = 0, ' ', {_money('l_quantity')})",
+            "REV_CNTR_COINSRNC_WGE_ADJSTD_C": "CASE WHEN l_linenumber <> 4 THEN cast(l_linenumber AS string) END",
         }
-    return lines.select(*[value.alias(name) for name, value in columns.items()])
+    # Both characters of the bill type; one with no setting of its own and a missing one for some claims.
+    bill = f"CASE WHEN q % 101 = 0 THEN NULL WHEN q % 97 = 0 THEN '53' ELSE {USUAL_BILL_TYPE[src]} END"
+    numbered = lines.selectExpr("*", "o_orderkey div 8 AS q")
+    return _project(numbered.selectExpr("*", f"{bill} AS bill"), columns)
 
 
 def _supplier_lines(src: str, lines: DataFrame) -> DataFrame:
-    part, supplier, number = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    blank_money = part % 37 == 0
     columns = {
-        "BENE_ID": _text(F.col("o_custkey")),
-        "CLM_ID": _text(F.col("o_orderkey")),
-        "LINE_NUM": _text(number),
-        "LINE_1ST_EXPNS_DT": _date_text(),
-        "LINE_PLACE_OF_SRVC_CD": _pick(supplier % 9, ["11", "22", "19", "02", "50", "20", "17", "31", "12"]),
-        "PRVDR_SPCLTY": _pick(supplier % 8, ["01", "08", "11", "37", "50", "97", "06", None]),
+        "BENE_ID": "cast(o_custkey AS string)",
+        "CLM_ID": "cast(o_orderkey AS string)",
+        "LINE_NUM": "cast(l_linenumber AS string)",
+        "LINE_1ST_EXPNS_DT": DATE_TEXT,
+        "LINE_PLACE_OF_SRVC_CD": _pick("l_suppkey % 9", ["11", "22", "19", "02", "50", "20", "17", "31", "12"]),
+        "PRVDR_SPCLTY": _pick("l_suppkey % 8", ["01", "08", "11", "37", "50", "97", "06", None]),
         "HCPCS_CD": _pick(
-            part % 10, ["99213", "99202", "99215", "G0439", "99490", "99497", "G0442", "90471", "71046", None]
+            "l_partkey % 10", ["99213", "99202", "99215", "G0439", "99490", "99497", "G0442", "90471", "71046", None]
         ),
-        "BETOS_CD": _pick(part % 8, ["M1A", "P1A", "I1A", "T1A", "D1A", "O1A", "Y1", None]),
-        "LINE_NCH_PMT_AMT": F.when(blank_money, " ").otherwise(_money_text(F.col("l_quantity"))),
-        "LINE_ALOWD_CHRG_AMT": F.when(blank_money, " ").otherwise(_money_text(F.col("l_extendedprice"))),
-        "LINE_BENE_PRMRY_PYR_CD": _payer_code(),
-        "LINE_PRCSG_IND_CD": F.when(number == 7, "D").when(number != 6, "A"),
+        "BETOS_CD": _pick("l_partkey % 8", ["M1A", "P1A", "I1A", "T1A", "D1A", "O1A", "Y1", None]),
+        "LINE_NCH_PMT_AMT": f"if(l_partkey % 37 = 0, ' ', {_money('l_quantity')})",
+        "LINE_ALOWD_CHRG_AMT": f"if(l_partkey % 37 = 0, ' ', {_money('l_extendedprice')})",
+        "LINE_BENE_PRMRY_PYR_CD": PAYER_CODE,
+        "LINE_PRCSG_IND_CD": "CASE WHEN l_linenumber = 7 THEN 'D' WHEN l_linenumber <> 6 THEN 'A' END",
     }
     if src == "carrier":
-        npi = supplier * 20 + F.floor(part / 100) % 20
-        columns["PRF_PHYSN_NPI"] = F.when(part % 41 != 0, _text(npi))
+        columns["PRF_PHYSN_NPI"] = (
+            "CASE WHEN l_partkey % 41 <> 0 THEN cast(l_suppkey * 20 + (l_partkey div 100) % 20 AS string) END"
+        )
     else:
-        columns["LINE_NDC_CD"] = _text(part)
-    return lines.select(*[value.alias(name) for name, value in columns.items()])
+        columns["LINE_NDC_CD"] = "cast(l_partkey AS string)"
+    return _project(lines, columns)
 
 
 def _fills(lines: DataFrame) -> DataFrame:
-    blank_money = F.col("l_partkey") % 37 == 0
-    return lines.select(
-        _text(F.col("o_custkey")).alias("BENE_ID"),
-        F.concat_ws("-", "o_orderkey", "l_linenumber").alias("PDE_ID"),
-        _date_text().alias("SRVC_DT"),
-        _text(F.col("l_partkey")).alias("PROD_SRVC_ID"),
-        F.when(blank_money, " ").otherwise(_money_text(F.col("l_quantity"))).alias("CVRD_D_PLAN_PD_AMT"),
-        F.when(blank_money, " ").otherwise(_money_text(F.col("l_extendedprice"))).alias("TOT_RX_CST_AMT"),
+    return _project(
+        lines,
+        {
+            "BENE_ID": "cast(o_custkey AS string)",
+            "PDE_ID": "concat(o_orderkey, '-', l_linenumber)",
+            "SRVC_DT": DATE_TEXT,
+            "PROD_SRVC_ID": "cast(l_partkey AS string)",
+            "CVRD_D_PLAN_PD_AMT": f"if(l_partkey % 37 = 0, ' ', {_money('l_quantity')})",
+            "TOT_RX_CST_AMT": f"if(l_partkey % 37 = 0, ' ', {_money('l_extendedprice')})",
+        },
     )
 
 
