@@ -64,15 +64,27 @@ def pc_fact(pc_step5: DataFrame, window: StudyWindow) -> DataFrame:
 def members_fact(member_months: DataFrame, window: StudyWindow) -> DataFrame:
     """Distinct people per year for every combination of the cell columns, ``all`` where a column is left open.
 
-    People move between cells, so these counts do not add up and each combination is counted by itself. Months are
-    reduced to one row per person, year and cell first: the eight-fold expansion of the grouping sets then works on a
-    twelfth of the rows and counts the same people.
+    People move between cells, so these counts do not add up and each combination is counted by itself. Expanding every
+    person to eight grouping sets would shuffle eight times the people. Instead people are reduced to the set of cells
+    they were in (at most 24, the product of the labels) and counted per set; the grouping sets then work on those few
+    sets: a set counts once, with all its people, in each combination it touches.
     """
-    people = member_months.where(F.col("ab_ffs") & window.contains()).select("yr", "bene_id", *CELL).distinct()
-    sets = [["yr", *kept] for size in range(len(CELL), -1, -1) for kept in combinations(CELL, size)]
-    counted = people.groupingSets(sets, "yr", *CELL).agg(
-        *[F.grouping(c).alias(f"{c}_open") for c in CELL], F.countDistinct("bene_id").alias("members")
+    cells = F.array_sort(F.collect_set(F.struct(*CELL)))
+    people = (
+        member_months.where(F.col("ab_ffs") & window.contains()).groupBy("yr", "bene_id").agg(cells.alias("profile"))
     )
+    # A person without an id makes its combinations appear but is not counted, like any distinct count.
+    profiles = people.groupBy("yr", "profile").agg(F.count("bene_id").alias("n"))
+    combinations_of = [
+        ["yr", "profile", "n", *kept] for size in range(len(CELL), -1, -1) for kept in combinations(CELL, size)
+    ]
+    opened = [F.grouping(c).alias(f"{c}_open") for c in CELL]
+    touched = (
+        profiles.select("*", F.inline("profile"))
+        .groupingSets(combinations_of, "yr", "profile", "n", *CELL)
+        .agg(*opened)
+    )
+    counted = touched.groupBy("yr", *CELL, *[f"{c}_open" for c in CELL]).agg(F.sum("n").alias("members"))
     return counted.select(
         "yr",
         *[F.when(F.col(f"{c}_open") == 1, "all").otherwise(F.col(c).cast("string")).alias(c) for c in CELL],

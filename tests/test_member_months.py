@@ -67,3 +67,21 @@ def test_members_are_distinct_in_every_combination(text_table):
     rows_2016 = [r for r in values(fact) if r[0] == 2016]
     # Two dual values, one age band, one sex: 3 * 2 * 2 combinations.
     assert len(rows_2016) == 12
+
+
+def test_member_counts_match_a_direct_distinct_count(spark):
+    """Every combination against brute force, with people in many cells and one month without a person."""
+    rows = [
+        (f"p{i % 37}" if i else None, 2016 + i % 3, i % 5 != 0, i % 2 == 0, ("<65", "65-74", "85+")[i % 7 % 3], ("Male", "Female")[i % 11 % 2])
+        for i in range(900)
+    ]
+    table = spark.createDataFrame(rows, "bene_id string, yr int, ab_ffs boolean, dual boolean, age_band string, sex string")
+    expected = {}
+    for bene, yr, ab, dual, age, sex in rows:
+        for d in (str(dual).lower(), "all"):
+            for a in (age, "all"):
+                for x in (sex, "all"):
+                    if ab:
+                        expected.setdefault((yr, d, a, x), set()).update([bene] if bene else [])
+    got = {r[:4]: r[4] for r in values(facts.members_fact(table, WINDOW))}
+    assert got == {key: len(people) for key, people in expected.items()}
