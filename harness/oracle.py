@@ -9,7 +9,13 @@ from __future__ import annotations
 
 import re
 
-from claimspark.functions.codes import FACILITY_ONLY, FACILITY_ONLY_SERVICE_CODES, PROFESSIONAL_OR_FACILITY, SERVICE_CODES
+from claimspark.functions.codes import (
+    FACILITY_ONLY,
+    FACILITY_ONLY_SERVICE_CODES,
+    PROFESSIONAL_OR_FACILITY,
+    SERVICE_CODES,
+)
+from claimspark.plans import validation as fixed
 
 PARTS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -162,7 +168,7 @@ FROM supplier_row
 """,
 )
 
-# Categories, written as one row per bill type
+# Categories. Category and setting by bill type, place of service and BETOS letter.
 
 part(
     "bill_map",
@@ -415,68 +421,68 @@ def check(name: str, sql: str) -> None:
     oracle(f"check_{name}", f"SELECT * FROM report_{name}")
 
 
-check("row_counts", """
-SELECT 1 AS id, concat('Row count preserved: ', src) AS check_name, CAST(r.n AS VARCHAR) AS expected,
+check("row_counts", f"""
+SELECT 1 AS id, concat('{fixed.ROWS_NAME}', src) AS check_name, CAST(r.n AS VARCHAR) AS expected,
        CAST(s.n AS VARCHAR) AS actual, if(r.n = s.n, 'PASS', 'FAIL') AS status,
-       'Institutional files collapse to one row per CLM_ID; line files keep every line' AS note
+       '{fixed.ROWS_NOTE}' AS note
 FROM raw_count r JOIN (SELECT src, count(*) AS n FROM standard GROUP BY src) s USING (src)
 """)
-check("unmapped", """
-SELECT 2 AS id, 'Every row gets a service category' AS check_name, '0' AS expected, CAST(count(*) AS VARCHAR) AS actual,
-       if(count(*) = 0, 'PASS', 'FAIL') AS status, 'Unmapped bill types would land in Other facility' AS note
+check("unmapped", f"""
+SELECT 2 AS id, '{fixed.CATEGORY_NAME}' AS check_name, '0' AS expected, CAST(count(*) AS VARCHAR) AS actual,
+       if(count(*) = 0, 'PASS', 'FAIL') AS status, '{fixed.CATEGORY_NOTE}' AS note
 FROM categorized WHERE subcategory = 'Other facility'
 """)
 check("dollars_preserved", f"""
-SELECT 3 AS id, 'Categorized $ = standardized $' AS check_name, {number_text("round(b.t, 4)", 0)} AS expected,
+SELECT 3 AS id, '{fixed.DOLLARS_NAME}' AS check_name, {number_text("round(b.t, 4)", 0)} AS expected,
        {number_text("round(a.t, 4)", 0)} AS actual, if(abs(b.t - a.t) < 1, 'PASS', 'FAIL') AS status,
-       'Categorization must not add or drop dollars' AS note
+       '{fixed.DOLLARS_NOTE}' AS note
 FROM (SELECT sum(allowed) AS t FROM standard) b, (SELECT sum(allowed) AS t FROM categorized) a
 """)
 check("eligible_share", f"""
-SELECT 4 AS id, concat('Share of $ in an eligible month: ', src) AS check_name, '>= 90%' AS expected,
+SELECT 4 AS id, concat('{fixed.SHARE_NAME}', src) AS check_name, '>= 90%' AS expected,
        {number_text("100 * round(kept, 4) / round(spent, 4)", 1)} || '%' AS actual,
        if(coalesce(kept / spent >= 0.9, FALSE), 'PASS', 'FLAG') AS status,
-       'Claims outside A+B FFS (or Part D) eligibility are excluded from PMPM' AS note
+       '{fixed.SHARE_NOTE}' AS note
 FROM (SELECT src, sum(allowed) AS spent FROM categorized WHERE yr >= 2016 AND yr <= 2022 GROUP BY src)
 LEFT JOIN (SELECT src, sum(allowed) AS kept FROM eligible WHERE yr >= 2016 AND yr <= 2022 GROUP BY src) USING (src)
 """)
-check("monthly_vs_annual", """
-SELECT 5 AS id, 'Monthly A+B FFS months vs annual summary fields' AS check_name, CAST(a.t AS VARCHAR) AS expected,
+check("monthly_vs_annual", f"""
+SELECT 5 AS id, '{fixed.MONTHS_NAME}' AS check_name, CAST(a.t AS VARCHAR) AS expected,
        CAST(m.t AS VARCHAR) AS actual, if(abs(m.t - a.t) < 0.1 * a.t, 'PASS', 'FLAG') AS status,
-       'Annual fields count A and B separately (least of the two); monthly flags need both in the same month' AS note
+       '{fixed.MONTHS_NOTE}' AS note
 FROM (SELECT sum(6 + c % 7) AS t FROM person_year WHERE yr >= 2016 AND yr <= 2022) a,
      (SELECT count(*) AS t FROM enrolled WHERE ab_ffs AND yr >= 2016 AND yr <= 2022) m
 """)
 check("pmpm_rebuild", f"""
-SELECT 6 AS id, 'PMPM rebuilds from the fact tables' AS check_name, '0.00' AS expected,
+SELECT 6 AS id, '{fixed.REBUILD_NAME}' AS check_name, '0.00' AS expected,
        {number_text("max(abs(pmpm - rebuilt))", 2)} AS actual,
        if(max(abs(pmpm - rebuilt)) < 0.01, 'PASS', 'FAIL') AS status,
-       'Dashboard/Tableau fact tables give the same PMPM as the SQL views' AS note
+       '{fixed.REBUILD_NOTE}' AS note
 FROM category_pmpm JOIN rebuilt USING (yr, service_category)
 """)
-check("wellness", """
-SELECT 7 AS id, 'Primary care Step 5 (wellness-visit filter) applied' AS check_name, 'wellness visits > 0' AS expected,
+check("wellness", f"""
+SELECT 7 AS id, '{fixed.WELLNESS_NAME}' AS check_name, 'wellness visits > 0' AS expected,
        concat(count(*), ' NPIs with wellness visits') AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       'Synthetic carrier file has no wellness visits, so the rule would drop every physician; skipped' AS note
+       '{fixed.WELLNESS_NOTE}' AS note
 FROM wellness_npi
 """)
-check("office_em", """
-SELECT 8 AS id, 'Carrier office E&M visits (99202-99215) present' AS check_name, '> 0' AS expected,
+check("office_em", f"""
+SELECT 8 AS id, '{fixed.OFFICE_NAME}' AS check_name, '> 0' AS expected,
        CAST(count(*) AS VARCHAR) AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       'Office E&M visits are the core of the primary care definition; without them primary care share is understated'
+       '{fixed.OFFICE_NOTE}'
          AS note
 FROM eligible WHERE src = 'carrier' AND hcpcs_cd >= '99202' AND hcpcs_cd <= '99215'
 """)
 check("dialysis_share", f"""
-SELECT 9 AS id, 'Outpatient $ from dialysis (90935) claims' AS check_name, 'informational' AS expected,
+SELECT 9 AS id, '{fixed.DIALYSIS_NAME}' AS check_name, 'informational' AS expected,
        {number_text("100 * dialysis / total", 1)} || '%' AS actual, 'FLAG' AS status,
-       'Dialysis claims make up a large share of outpatient spend in the synthetic file' AS note
+       '{fixed.DIALYSIS_NOTE}' AS note
 FROM dialysis_sum
 """)
-check("pc_facility", """
-SELECT 10 AS id, 'Primary care facility claims (G0463 split billing, FQHC 77x)' AS check_name, '> 0' AS expected,
+check("pc_facility", f"""
+SELECT 10 AS id, '{fixed.FACILITY_NAME}' AS check_name, '> 0' AS expected,
        CAST(count(*) AS VARCHAR) AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       'Step 6 logic runs but the synthetic outpatient file only has bill type 13x and no G0463' AS note
+       '{fixed.FACILITY_NOTE}' AS note
 FROM facility_line
 """)
 part("all_reports", " UNION ALL ".join(f"FROM {p}" for p in PARTS if p.startswith("report_")))
