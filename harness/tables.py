@@ -59,7 +59,7 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person becomes 9 wide rows and later 108 months, so the narrow keys are spread over all tasks first."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = spark.sparkContext.defaultParallelism
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
     people = keys.repartition(tasks, "c").withColumn(
         "yr", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
