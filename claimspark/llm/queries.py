@@ -5,23 +5,90 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimspark.llm import language_model, licenses, packing, pii, warc
+from claimspark.llm import toxicity as toxic
 from claimspark.llm.curriculum import curriculum_mix
 from claimspark.llm.exact_dedup import exact_duplicates
+from claimspark.llm.near_dedup import near_duplicates
+from claimspark.llm.scratch import new_folder, stored
+from claimspark.llm.shipping import ship
+from claimspark.llm.top_k import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxic.toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxic.held_out("doc_id", 5).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.license_links(table(spark, sf_dir, "documents")))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(stored(pieces, "pieces"))
+
+
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = language_model.train(docs.where(~toxic.held_out("doc_id", 10)))
+    scored = language_model.score(docs, model, counts)
+    return scored.withColumn("held_out", toxic.held_out("doc_id", 10))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op10_curriculum_mix)
+    f.__name__: f
+    for f in (
+        op1_dart_minhash,
+        op2_pii_anchors,
+        op3_zip_warc,
+        op4_exact_dedup,
+        op5_branch_and_bound,
+        op6_toxicity,
+        op7_license_join,
+        op8_best_fit_packing,
+        op9_bloom_lm,
+        op10_curriculum_mix,
+    )
 }
