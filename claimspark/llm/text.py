@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +86,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """Running sums of a polynomial in the bytes, from which the hash of any stretch follows."""
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(len(self.data) + 1)[0][:-1], out=sums[1:])
+        return sums
+
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, from running sums of a polynomial, so the cost is per byte."""
-        if not len(self.start):
+        """64-bit hash of each word's bytes; the cost is per byte."""
+        return self.hashes_of(self.start, self.end)
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
             return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        return mix((self.sums[end] - self.sums[start]) * powers(len(self.data) + 1)[1][start])
 
     def text(self, k: int) -> str:
         return self.data[self.start[k] : self.end[k]].tobytes().decode()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from claimspark.llm.text import ALNUM, Words, slices, words
+from claimspark.llm.text import ALNUM, Words, mix, slices, words
 
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 
@@ -25,69 +25,106 @@ def sentence_starts(w: Words) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Besides whole words, beginnings of this many bytes of longer words count: a word has many endings.
+BEGINNINGS = (5, 6, 7)
+
+
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and of the beginnings of longer words, and the word each belongs to."""
+    found, of = [w.hashes()], [np.arange(len(w.start))]
+    for length in BEGINNINGS:
+        long = np.flatnonzero(w.end - w.start > length)
+        found.append(mix(w.hashes_of(w.start[long], w.start[long] + length) + np.uint64(length)))
+        of.append(long)
+    return np.concatenate(found), np.concatenate(of)
+
+
 @dataclass
 class Model:
-    """Weights by word hash, and the bias every sentence starts from; ``bias`` None: nothing to learn from, score 0."""
+    """Weights by feature hash, and the bias a sentence with any of them starts from."""
 
     hashes: np.ndarray
     weights: np.ndarray
-    bias: float | None
+    bias: float
+
+    def evidence(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences with a feature of the model: the first word of each, its last word, and its logit.
 
-    def logits(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One logit per sentence: the bias and the weights of its words."""
-        if not len(starts):
-            return np.zeros(0)
-        if not len(self.hashes):
-            return np.full(len(starts), self.bias)
-        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        value = np.where(self.hashes[near] == hashes, self.weights[near], 0.0)
-        return self.bias + np.add.reduceat(value, starts)
+        A sentence without one is no evidence, however many there are.
+        """
+        none = np.zeros(0, np.int64)
+        if not len(self.hashes) or not len(w.start):
+            return none, none, np.zeros(0)
+        found, of = features(w)
+        near = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[near] == found)
+        starts = sentence_starts(w)
+        which, place = np.unique(np.searchsorted(starts, of[hit], "right") - 1, return_inverse=True)
+        logit = self.bias + np.bincount(place, self.weights[near[hit]], len(which))
+        return starts[which], np.r_[starts, len(w.start)][which + 1] - 1, logit
 
 
 def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
 
-def fit(
-    labels: np.ndarray, hashes: list[np.ndarray], starts: list[np.ndarray], steps: int, least_docs: int, decay: float
-) -> Model:
-    """Gradient descent (Adam) on the likelihood of document labels.
+def association(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Likelihood ratio (G squared) of each feature for the toxic label, 0 for features of clean texts."""
+    share = all_toxic / max(1, all_toxic + all_clean)
+    of_toxic, of_clean = (toxic + clean) * share, (toxic + clean) * (1 - share)
+    term = lambda seen, expected: 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+    return np.where(toxic > of_toxic, term(toxic, of_toxic) + term(clean, of_clean), 0.0)
+
+
+def telling_features(labels: np.ndarray, found: list[np.ndarray], contexts: list[np.ndarray], least: float) -> np.ndarray:
+    """Features that speak for the toxic label, by the number of different contexts each has in texts of either label.
+
+    A context is the word before. Copies of a text repeat its contexts and so count once.
+    """
+    counts = {}
+    for label in (1, 0):
+        own = [k for k, y in enumerate(labels) if y == label]
+        pairs = np.unique(
+            np.stack([np.concatenate([x[k] for k in own]) if own else np.zeros(0, np.uint64) for x in (found, contexts)]), axis=1
+        )
+        counts[label] = np.unique(pairs[0], return_counts=True)
+    known, toxic = counts[1]
+    other, n = counts[0]
+    near = np.minimum(np.searchsorted(other, known), max(0, len(other) - 1))
+    clean = np.where(other[near] == known, n[near], 0) if len(other) else np.zeros(len(known), np.int64)
+    return known[association(toxic, clean, int(toxic.sum()), int(n.sum())) >= least]
+
+
+def fit(labels: np.ndarray, found: list[np.ndarray], sentences: list[np.ndarray], known: np.ndarray, steps: int, decay: float) -> Model:
+    """Gradient descent (Adam) on the likelihood of document labels, over the sentences with ``known`` features.
 
     With sentence probabilities p and S = -sum log(1 - p) = sum softplus(logit), noisy-or gives 1 - exp(-S), whose
-    derivative by a logit is p times a factor of the document. Words in fewer than ``least_docs`` documents are left out.
+    derivative by a logit is p times a factor of the document.
     """
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), None)
-    if not labels.any():
-        return nothing
-    seen = np.concatenate([np.unique(h) for h in hashes])
-    known, docs_with = np.unique(seen, return_counts=True)
-    known = known[docs_with >= least_docs]
-    sizes = np.array([len(s) for s in starts])
-    doc_of = np.repeat(np.arange(len(labels)), sizes)
-    lengths = np.concatenate([np.diff(np.r_[s, len(h)]) for h, s in zip(hashes, starts, strict=True)])
-    flat = np.concatenate(hashes)
-    if not len(known) or not len(flat):
-        return nothing
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    if not len(known) or not labels.any():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    flat = np.concatenate(found)
     word = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    use = known[word] == flat
-    sentence, word = sentence[use], word[use]
+    use = np.flatnonzero(known[word] == flat)
+    word = word[use]
+    doc = np.repeat(np.arange(len(labels)), [len(x) for x in found])[use]
+    pairs, sentence = np.unique(np.stack([doc, np.concatenate(sentences)[use]]), axis=1, return_inverse=True)
+    doc_of, sentence = pairs[0], sentence.ravel()
     toxic = labels.astype(bool)
     balance = np.where(toxic, 0.5 / toxic.sum(), 0.5 / max(1, (~toxic).sum()))
-    state = np.r_[np.zeros(len(known)), -4.0]
+    state = np.r_[np.zeros(len(known)), -2.0]
     mean, square = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, steps + 1):
-        logit = state[-1] + np.bincount(sentence, state[word], len(lengths))
+        logit = state[-1] + np.bincount(sentence, state[word], len(doc_of))
         total = np.bincount(doc_of, softplus(logit), len(labels))
         pull = np.where(toxic, -1.0 / np.expm1(np.clip(total, 1e-6, 500.0)), 1.0) * balance
-        slope = pull[doc_of] / (1 + np.exp(-logit))
+        slope = pull[doc_of] * np.exp(-softplus(-logit))
         gradient = np.r_[np.bincount(word, slope[sentence], len(known)) + decay * state[:-1], slope.sum()]
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
         state -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    keep = np.abs(state[:-1]) > 0.02
-    return Model(known[keep], state[:-1][keep], float(state[-1]))
+    return Model(known, state[:-1], float(state[-1]))
 
 
 def held_out(id_col: str, folds: int):
@@ -99,15 +136,17 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     folds: int = 5,
-    sample_per_label: int = 3000,
-    steps: int = 120,
-    least_docs: int = 3,
+    sample_per_label: int = 2500,
+    steps: int = 150,
+    least_association: float = 15.0,
     decay: float = 1e-6,
 ) -> Model:
     """A model from the labelled documents outside the held-out fold.
 
     The classifier is fitted on at most ``sample_per_label`` documents of each label, those with the smallest hashes of
-    their ids. Labels other than 0 and 1 are left out; a document labelled both ways counts as toxic.
+    their ids, and on the words and beginnings of words that are associated with the toxic label there at the level of
+    one in ten thousand (``least_association``). Labels other than 0 and 1 are left out; a document labelled both ways
+    counts as toxic. Without labels, or without any telling word, the model scores everything 0.
     """
     known = (
         labels.select(F.col("doc_id").alias("label_id"), "toxic")
@@ -115,35 +154,44 @@ def train(
         .groupBy("label_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_per_label) for y in (0, 1)]
+    chosen = [
+        known.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_per_label) for y in (0, 1)
+    ]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice sample_per_label rows of two numbers
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column("text"), ALNUM)
-                h, begins = w.hashes().view(np.int64), sentence_starts(w)
-                per_row = np.searchsorted(begins, w.first)
-                starts = begins - w.first[w.row[begins]] if len(begins) else begins
+                found, of = features(w)
+                order = np.argsort(of, kind="stable")
+                found, of = found[order], of[order]
+                sentence = np.searchsorted(sentence_starts(w), of, "right")
+                before = np.where(of > w.first[w.row[of]], w.hashes()[of - 1], 0) if len(of) else found
+                cuts = pa.array(np.searchsorted(of, w.first), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("toxic").cast(pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(h)),
-                        pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(starts, pa.int64())),
+                        pa.ListArray.from_arrays(cuts, pa.array(found.view(np.int64))),
+                        pa.ListArray.from_arrays(cuts, pa.array(sentence.astype(np.int32))),
+                        pa.ListArray.from_arrays(cuts, pa.array(before.astype(np.uint64).view(np.int64))),
                     ],
-                    ["toxic", "hashes", "starts"],
+                    ["toxic", "found", "sentences", "contexts"],
                 )
 
     rows = (
         docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
         .join(sample, F.col("doc_id") == F.col("label_id"))
         .select("doc_id", "text", "toxic")
-        .mapInArrow(features, "toxic int, hashes array<bigint>, starts array<bigint>")
+        .mapInArrow(listed, "toxic int, found array<bigint>, sentences array<int>, contexts array<bigint>")
         .toArrow()
     )
-    hashes = [np.asarray(x.values, np.int64).view(np.uint64) for x in rows.column("hashes")]
-    starts = [np.asarray(x.values, np.int64) for x in rows.column("starts")]
-    return fit(rows.column("toxic").to_numpy(), hashes, starts, steps, least_docs, decay)
+    found, sentences, contexts = (
+        [x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in ("found", "sentences", "contexts")
+    )
+    found, contexts = [x.view(np.uint64) for x in found], [x.view(np.uint64) for x in contexts]
+    toxic = rows.column("toxic").to_numpy()
+    return fit(toxic, found, sentences, telling_features(toxic, found, contexts, least_association), steps, decay)
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
@@ -151,7 +199,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: fl
 
     Sentences are given as (start, end, probability) in bytes of the text in UTF-8, from their first word to the end of
     their last one. Sentences end at ``.``, ``!``, ``?`` or a new line. The document's score is the noisy-or of all its
-    sentences. A null or empty text and one without words score 0. Rows are scored one by one, whatever they repeat.
+    sentences with a word of the model. A null or empty text and one without words score 0. Rows are scored one by one, whatever they repeat.
     Columns of ``docs`` that are called ``score`` or ``sentences`` give way.
     """
     docs = docs.drop("score", "sentences")
@@ -164,20 +212,17 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: fl
         for batch in batches:
             for part in slices(batch, text_col):
                 n = part.num_rows
-                total, spots = np.zeros(n), [[] for _ in range(n)]
-                if fitted.bias is not None:
-                    w = words(part.column(place), ALNUM)
-                    begins = sentence_starts(w)
-                    logit = fitted.logits(w.hashes(), begins)
-                    row = w.row[begins]
-                    total = np.bincount(row, softplus(logit), n)
-                    p = 1 / (1 + np.exp(-logit))
-                    last = np.r_[begins[1:], len(w.start)] - 1
-                    for k in np.flatnonzero(p >= at_least):
-                        base = w.offsets[row[k]]
-                        spots[row[k]].append(
-                            {"start": int(w.start[begins[k]] - base), "end": int(w.end[last[k]] - base), "probability": p[k]}
-                        )
+                spots: list[list[dict]] = [[] for _ in range(n)]
+                w = words(part.column(place), ALNUM)
+                first, last, logit = fitted.evidence(w)
+                row = w.row[first]
+                total = np.bincount(row, softplus(logit), n)
+                p = np.exp(-softplus(-logit))
+                for k in np.flatnonzero(p >= at_least):
+                    base = w.offsets[row[k]]
+                    spots[row[k]].append(
+                        {"start": int(w.start[first[k]] - base), "end": int(w.end[last[k]] - base), "probability": p[k]}
+                    )
                 columns = [*part.columns, pa.array(-np.expm1(-total)), pa.array(spots, pa.list_(spot))]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "score", "sentences"])
 
