@@ -28,6 +28,13 @@ def layout(vecs: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def once(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows without repetitions; equal rows are always in the same block."""
+    if not rows["vec_id"].duplicated().any():
+        return rows
+    return rows[~pd.DataFrame({"id": rows["vec_id"], "vec": rows["vec"].map(lambda v: v.tobytes())}).duplicated()]
+
+
 def best_of_block(
     query: np.ndarray, query_id: int, ids: np.ndarray, columns: np.ndarray, rest: np.ndarray, order: np.ndarray, k: int, step: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +72,7 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: int = 1024,
-    block_rows: int = 4096,
+    block_rows: int = 1024,
     query_rows: int = 2048,
     step: int = 8,
 ) -> DataFrame:
@@ -77,7 +84,8 @@ def top_k(
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Fewer than k
     candidates give fewer rows, ties go to the smaller id, and a vector is no candidate for a query of its own id. An
-    empty vector scores 0 with all. Rows that repeat an id count once each. Scores are exact within 64 bits.
+    empty vector scores 0 with all. Equal rows count once; an id with several vectors asks with each and is found by each.
+    Scores are exact within 64 bits.
     """
     found = stored(quantised(vectors, id_col, vector_col, scale), "vectors")
     asked = stored(quantised(queries, id_col, vector_col, scale), "queries")
@@ -95,6 +103,7 @@ def top_k(
     questions = spread(asked, "query_block", query_blocks, "block", blocks)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = once(left), once(right)
         ids = left["vec_id"].to_numpy()
         columns = layout(left["vec"], width)
         order = np.argsort(-columns.astype(np.float64).var(axis=1), kind="stable") if len(ids) else np.arange(width)
