@@ -1,0 +1,366 @@
+"""Top-k, packing, archives, near duplicates and the pipeline against brute force and round trips."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import struct
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from claimspark.llm import near_dedup, packing, top_k, warc
+from claimspark.llm.oracle import ORACLE
+from claimspark.llm.queries import QUERIES
+from claimspark.llm.scratch import new_folder
+from tests.llm.conftest import ODD
+
+SF = "/root/testdata/sf0.01"
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(ORACLE[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    assert dict(Counter(map(str, got.astype(object).where(got.notna(), None).itertuples(index=False)))) == dict(
+        Counter(map(str, want.astype(object).where(want.notna(), None).itertuples(index=False)))
+    ) or pd.testing.assert_frame_equal(
+        got.sort_values(list(want.columns), ignore_index=True), want.sort_values(list(want.columns), ignore_index=True), check_dtype=False
+    ) is None
+
+
+# Top-k
+
+
+def best(vectors, k):
+    fit = {
+        i: [math.floor(1024 * float(np.float32(x))) for x in v]
+        for i, v in vectors
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    }
+    out = {}
+    for q in (i for i in fit if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(fit[q], fit[c], strict=False)), c) for c in fit if c != q)
+        out[q] = [(c, -s) for s, c in scores[:k]]
+    return out
+
+
+def found(df):
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return dict(out)
+
+
+@pytest.mark.parametrize("block_rows", [16, 1000])
+def test_top_k_is_exact(spark, block_rows):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(330, 20)).astype(np.float32)
+    base[40:80] = base[5]  # ties
+    vectors = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
+    vectors += [(400, None), (401, [float("nan")] * 20), (402, [1.0, None]), (500, []), (None, [1.0]), (600, [float("inf")]), (700, [1.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id bigint, embedding array<float>, rank int, block int")
+    got = found(top_k.top_k(df, df.where("vec_id % 100 = 0"), block_rows=block_rows, query_rows=2, step=4))
+    assert got == best(vectors, 10)
+
+
+def test_top_k_of_few_and_none(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    df = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (1, [0.5])], schema)
+    assert found(top_k.top_k(df, df.where("vec_id % 100 = 0"))) == {0: [(1, 1024 * 512)]}
+    none = spark.createDataFrame([], schema)
+    assert top_k.top_k(none, none).count() == 0
+    assert top_k.top_k(df, none).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_bounds_keep_every_winner(seed):
+    rng = np.random.default_rng(seed)
+    columns = (rng.normal(size=(12, 80)) * 10 ** rng.uniform(0, 4, (12, 1))).astype(np.int64)
+    query = (rng.normal(size=12) * 500).astype(np.int64)
+    order = rng.permutation(12)
+    squares = columns[order].astype(float) ** 2
+    rest = [squares[at:].sum(axis=0) for at in range(0, 12, 3)]
+    alive, score = top_k.best_of_block(query, 7, np.arange(80), columns, rest, order, 5, 3)
+    exact = query @ columns
+    assert (score == exact[alive]).all()
+    want = sorted((-s, k) for k, s in enumerate(exact.tolist()) if k != 7)[:5]
+    assert sorted((-s, k) for k, s in zip(alive.tolist(), score.tolist(), strict=True))[:5] == want
+
+
+# Packing
+
+
+def check_packing(rows, capacity, lengths):
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.sequence_id].append((r.offset, r.length))
+    for own in parts.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(parts)
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= x), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - x)
+    return len(gaps)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=200))
+def test_sweep_places_every_document_within_gaps(lengths):
+    counts = dict(Counter(lengths))
+    plan, opened = packing.sweep(counts, {}, 60)
+    fill, placed = defaultdict(int), Counter()
+    for length, first, n, gap, gap_first, offset in plan:
+        assert gap == 60
+        for k in range(n):
+            assert fill[gap_first + k] == offset
+            fill[gap_first + k] += length
+            placed[length] += 1
+        assert first + n <= counts[length]
+    assert placed == counts and max(fill.values()) <= 60 and len(fill) == opened
+    assert opened <= best_fit_decreasing(lengths, 60) * 1.2 + 1
+
+
+def test_pack_is_as_good_as_best_fit(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(100, np.exp(rng.normal(2.8, 0.9, 3000)).astype(int) + 1).tolist() + [37] * 1500
+    df = spark.createDataFrame([(k, n, 1) for k, n in enumerate(lengths)], "doc_id bigint, length bigint, rank int").drop("rank")
+    rows = packing.pack(df.repartition(6), 100).collect()
+    used = check_packing(rows, 100, lengths)
+    assert used <= best_fit_decreasing(lengths, 100) * 1.01 + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["Word", "don't", "é́", "漢字", "🎉", "\x1c", "\xa0", " ", "<|endoftext|>", "a,b", "İSS", "12 3", "\n\n", "x" * 40, "'s"]), max_size=12).map("".join) | st.text(max_size=40))
+def test_encoder_gives_the_tokenizer_s_ids(text):
+    encoder = test_encoder_gives_the_tokenizer_s_ids.__dict__.setdefault("own", packing.Encoder(PATH))
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_and_sequences_of_odd_rows(spark, odd, documents):
+    tokenizer = Tokenizer.from_file(PATH)
+    want = []
+    for doc_id, text in ODD:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(doc_id, k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())) for k in range(0, len(ids), 512)]
+    pieces = packing.token_pieces(odd, PATH, 512, with_ids=True)
+    rows = packing.pack(pieces.drop("ids"), 512).collect()
+    assert sorted([tuple(r)[:5] for r in rows], key=repr) == sorted(want, key=repr)
+    check_packing(rows, 512, [w[3] for w in want])
+    whole = packing.sequences(packing.pack(pieces, 512)).collect()
+    assert sum(len(r.ids) for r in whole) == sum(w[3] for w in want) and all(sum(r.lengths) == len(r.ids) for r in whole)
+    assert packing.pack(packing.token_pieces(documents([]), PATH), 4096).count() == 0
+
+
+# Archives
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, 1, "x") for i, u, h in rows], "page_id bigint, url string, html string, records int, path string")
+
+
+def test_archives_of_odd_pages(spark):
+    long = "é" * 300_000
+    rows = [(1, "http://a/ü b", "x" * 100), (2, None, "x" * 100), (3, "u\r\nX: y", "x" * 99), (4, "u", "x" * 99), (5, "u", None),
+            (6, "u", ""), (None, "u", "x" * 100), (7, "u", long), (9, "u", long), (7, "u", long), (None, "u", "only null id" * 20)]
+    folder = new_folder(spark, "test_warc")
+    got = sorted((tuple(r) for r in warc.round_trip(pages(spark, rows), folder).collect()), key=repr)
+    first = {"x" * 100: 1, long: 7}
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = len(raw) >= 100 and h in first and first[h] != i
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    assert got == sorted(want, key=repr)
+    assert warc.round_trip(pages(spark, []), new_folder(spark, "test_warc")).count() == 0
+
+
+def test_archives_roll_and_are_zip_files(spark):
+    rows = [(k, f"http://h/{k}", f"page {k} " * 2000 + str(np.random.default_rng(k).integers(0, 9, 4000))) for k in range(60)]
+    folder = new_folder(spark, "test_warc")
+    archives = warc.write_archives(warc.with_record_types(pages(spark, rows)), folder, archive_bytes=4000)
+    listed = archives.collect()
+    assert sum(r.records for r in listed) == 60 and len(listed) > 4
+    for r in listed:
+        with zipfile.ZipFile(r.path.removeprefix("file:")) as z:
+            assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED}
+    ranges = warc.record_ranges(archives, 500)
+    assert ranges.count() >= len(listed)
+    back = {int(r.page_id): r.payload.decode() for r in warc.read_archives(archives).collect()}
+    assert back == {i: h for i, _, h in rows}
+
+
+def test_directories_with_zip64_fields(tmp_path):
+    """Sizes, offset and end record as a file beyond 4 GB has them, with a comment behind."""
+    path = os.path.join(tmp_path, "a.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("one", b"1" * 10)
+        z.writestr("two", b"22")
+    raw = open(path, "rb").read()
+    plain = warc.members(lambda at, n: raw[at : at + n], len(raw))
+    assert {k: raw[a : a + n] for k, (_, a, n) in plain.items()} == {"one": b"1" * 10, "two": b"22"}
+    start = raw.index(b"PK\x01\x02")
+    body, directory, at = raw[:start], b"", start
+    for name, size in (("one", 10), ("two", 2)):
+        header = raw.index(name.encode()) - 30
+        extra = struct.pack("<HHQQQ", 1, 24, size, size, header)
+        entry = bytearray(raw[at : at + 46])
+        entry[20:28], entry[30:32], entry[42:46] = b"\xff" * 8, struct.pack("<H", len(extra)), b"\xff" * 4
+        directory += bytes(entry) + name.encode() + extra
+        at += 46 + len(name)
+    big = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 2, 2, len(directory), start)
+    locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, start + len(directory), 1)
+    end = struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 3)
+    full = body + directory + big + locator + end + b"abc"
+    assert warc.members(lambda at, n: full[at : at + n], len(full)) == plain
+    with pytest.raises(ValueError, match="no end"):
+        warc.members(lambda at, n: b"x" * n, 100)
+
+
+# Near duplicates
+
+
+def classes(n, links):
+    of = list(range(n))
+
+    def root(k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        of[b] = a
+    return [root(k) for k in range(n)]
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400")
+    data = sorted((r.doc_id, r.text) for r in docs.collect())
+    links = near_dedup.exact_links([t for _, t in data])
+    want = [data[k][0] for k in classes(len(data), zip(links.i, links.j, strict=True))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert [got[k] for k, _ in data] == want and len(links) > 10
+
+
+def test_chains_and_hubs_are_joined(documents):
+    rng = np.random.default_rng(2)
+    text = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
+    rows = []
+    for k in range(12):  # each is close to the next only: 24 words differ from one to the one after
+        rows.append((700 + k, " ".join(text)))
+        for j in range(10 * k, 10 * k + 8):
+            text[j] = f"new{k}_{j}"
+    rows += [(k, " ".join(f"c{j}" for j in range(80)) + (f" tail{k % 50}")) for k in range(600)]
+    rows += [(900 + k, " ".join(f"u{k}_{j}" for j in range(60))) for k in range(40)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(documents(rows).repartition(5)).collect()}
+    links = near_dedup.exact_links([t for _, t in rows[:12]])
+    assert classes(12, zip(links.i, links.j, strict=True)) == [0] * 12
+    assert {got[700 + k] for k in range(12)} == {(700, 12)}
+    assert {got[k] for k in range(600)} == {(0, 600)}
+    assert all(got[900 + k] == (900 + k, 1) for k in range(40))
+
+
+def test_near_duplicates_of_odd_rows(odd, documents):
+    got = sorted(((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(odd).collect()), key=repr)
+    want = [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 3, 3), (5, 3, 3), (6, 6, 1), (7, 7, 1), (8, 8, 1), (None, None, 1)]
+    assert got == sorted(want, key=repr)
+    assert near_dedup.near_duplicates(documents([])).count() == 0
+    left = near_dedup.one_of_each(odd)
+    assert left.columns == odd.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 6, 7, 8]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 1000))
+def test_signatures_estimate_weighted_similarity(seed):
+    rng = np.random.default_rng(seed)
+    a = {int(k): float(w) for k, w in zip(rng.integers(0, 2**62, 60), rng.exponential(2, 60), strict=True)}
+    b = {k: w * rng.choice([1, 1, 0.5, 1.7]) for k, w in a.items() if rng.random() < 0.9}
+    elements = np.array([*a, *b], np.uint64)
+    signature = near_dedup.dart_signatures(2, np.r_[np.zeros(len(a), int), np.ones(len(b), int)], elements, np.array([*a.values(), *b.values()]), 2000)
+    common = sum(min(w, b.get(k, 0)) for k, w in a.items())
+    alike = common / (sum(a.values()) + sum(b.values()) - common)
+    assert (signature[0] == signature[1]).mean() == pytest.approx(alike, abs=0.06)
+    scaled = near_dedup.dart_signatures(1, np.zeros(len(a), int), np.array([*a], np.uint64), np.array([*a.values()]), 2000)
+    assert (scaled[0] == signature[0]).all()  # whatever else is in the slice
+
+
+def test_labels_of_long_paths(spark):
+    rng = np.random.default_rng(4)
+    names = rng.integers(-(2**62), 2**62, 400)
+    edges = [(int(names[k]), int(names[k + 1])) for k in range(299)] + [(int(names[300]), int(x)) for x in names[301:]]
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert len({got[int(x)] for x in names[:300]}) == 1 and len({got[int(x)] for x in names[300:]}) == 1
+    assert got[int(names[0])] != got[int(names[300])]
+
+
+# Pipeline
+
+
+def test_pipeline_against_a_plain_version(spark):
+    """Every stage's rows follow from those of the stage before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_folder(spark, f"test_{name}")
+        stage(spark, docs, SF).write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        kept[name] = docs
+        if name != "packing":
+            assert docs.dtypes == before.dtypes
+    start = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    clean = {r.doc_id: r.text for r in kept["toxicity"].collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    fine = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").collect()}
+    assert len(toxic & clean.keys()) <= 0.05 * len(toxic) and len(fine - clean.keys()) <= 0.01 * len(fine)
+    bodies = defaultdict(list)
+    for k, t in clean.items():
+        bodies["".join(t.split())].append((-len(t), k))
+    assert {r.doc_id for r in kept["exact_dedup"].collect()} == {min(x)[1] for x in bodies.values()}
+    data = sorted((r.doc_id, r.text) for r in kept["exact_dedup"].collect())
+    links = near_dedup.exact_links([t for _, t in data])
+    roots = classes(len(data), zip(links.i, links.j, strict=True))
+    near = {r.doc_id for r in kept["near_dedup"].collect()}
+    assert near == {data[k][0] for k in set(roots)}
+    words = Counter()
+    for r in kept["mixing"].collect():
+        words[r.doc_id] += len(r.text.split())
+    assert words.keys() <= near and all(n <= 2 * len(start[k].split()) for k, n in words.items())
+    total = sum(len(start[k].split()) for k in near)
+    assert sum(words.values()) == pytest.approx(1.5 * total, rel=0.001)
+    rows = kept["packing"].collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept["mixing"].collect()]
+    cut = [min(4096, n - k) for n in want for k in range(0, n, 4096)]
+    assert check_packing(rows, 4096, cut) <= best_fit_decreasing(cut, 4096) * 1.01 + 1
+    assert corpus_pipeline.run(spark, SF).count() == len(rows)
