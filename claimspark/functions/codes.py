@@ -13,6 +13,7 @@ DUAL_ELIGIBLE = ("01", "02", "03", "04", "05", "06", "08")
 
 # Sex codes.
 SEX_LABELS = {"1": "Male", "2": "Female"}
+UNKNOWN_SEX = "Unknown"
 
 # Topline category of a claim file that has one category only.
 SOURCE_CATEGORY = {"pde": "Retail Pharmacy", "carrier": "Professional", "dme": "Other"}

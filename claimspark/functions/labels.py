@@ -49,7 +49,7 @@ def age_band(age: str) -> Column:
 
 
 def sex_label(code: str) -> Column:
-    return F.expr(_by_code(code, codes.SEX_LABELS, "'Unknown'"))
+    return F.expr(_by_code(code, codes.SEX_LABELS, f"'{codes.UNKNOWN_SEX}'"))
 
 
 def service_category(src: str, bill: str) -> Column:

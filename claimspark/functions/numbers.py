@@ -10,17 +10,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def settle(c: Column | str) -> Column:
-    """Drop the binary noise of a money sum.
-
-    Money is summed as double, and the last bits of such a sum depend on the order of the partitions. Settling at
-    four decimals makes every later rounding independent of that order.
-    """
-    return F.round(_col(c), 4)
+def round_half_up(c: Column | str, digits: int) -> Column:
+    """Rounded once, as a double; of a decimal sum that is exact."""
+    return F.round(_col(c), digits).cast("double")
 
 
-def round_half_up(c: Column | str, digits: int) -> Column:
-    return F.round(_col(c), digits)
+def exact_cents(c: Column | str) -> Column:
+    """A value already rounded to cents as a decimal, for adding up without binary noise."""
+    return _col(c).cast("decimal(18,2)")
 
 
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
@@ -38,7 +35,7 @@ def annual_growth(value: Column | str, base: Column | str, years: Column) -> Col
 
 
 def number_text(c: Column | str, digits: int) -> Column:
-    """A double rounded to ``digits`` (0 to 2) as plain text with at least one decimal: ``1205848778.0``, ``0.01``.
+    """A number rounded to ``digits`` (0 to 2) as plain text with at least one decimal: ``1205848778.0``, ``0.01``.
 
     Goes through a decimal because Spark prints large doubles with an exponent.
     """

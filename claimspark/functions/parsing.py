@@ -17,9 +17,19 @@ def parse_int(cell: str) -> Column:
     return F.expr(f"cast(nullif(trim({cell}), '') AS int)")
 
 
+#: Amounts are decimals, so that sums are exact and don't depend on the order in which partitions are added.
+MONEY = "decimal(18,4)"
+
+
 def parse_money(cell: str) -> Column:
-    """Dollar amount, 0 for a blank cell."""
-    return F.expr(f"coalesce(cast(nullif(trim({cell}), '') AS double), 0D)")
+    """Dollar amount, 0 for a blank cell. One with more than four decimals fails the job instead of being rounded."""
+    text = f"nullif(trim({cell}), '')"
+    amount = f"cast({text} AS {MONEY})"
+    return F.expr(
+        f"CASE WHEN cast({text} AS double) <> cast({amount} AS double) "
+        f"THEN raise_error(concat('amount with more than four decimals: ', {cell})) "
+        f"ELSE coalesce({amount}, cast(0 AS {MONEY})) END"
+    )
 
 
 def parse_claim_date(cell: str) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.functions.parsing import bill_type, is_blank, parse_claim_date, parse_int, parse_money
+from claimspark.functions.parsing import MONEY, bill_type, is_blank, parse_claim_date, parse_int, parse_money
 from claimspark.sources.text_tables import INSTITUTIONAL_COST_SHARE, LINE_FILES
 
 CLAIM_LINE_COLUMNS = {
@@ -25,8 +25,8 @@ CLAIM_LINE_COLUMNS = {
     "betos_cd": "string",
     "rndrng_npi": "string",
     "ndc": "string",
-    "paid": "double",
-    "allowed": "double",
+    "paid": MONEY,
+    "allowed": MONEY,
     "medicare_primary": "boolean",
     "medicare_paid": "boolean",
 }
@@ -91,7 +91,7 @@ def conform(df: DataFrame, columns: Mapping[str, str] = CLAIM_LINE_COLUMNS) -> D
 def institutional_headers(src: str, lines: DataFrame) -> DataFrame:
     """Header fields of an institutional file, still one row per revenue line."""
     cost_share = reduce(
-        lambda total, name: total + parse_money(name), INSTITUTIONAL_COST_SHARE[src], F.lit(0.0)
+        lambda total, name: total + parse_money(name), INSTITUTIONAL_COST_SHARE[src], F.lit(0).cast(MONEY)
     )
     return lines.select(
         F.lit(src).alias("src"),
@@ -102,7 +102,7 @@ def institutional_headers(src: str, lines: DataFrame) -> DataFrame:
         F.col("NCH_PRMRY_PYR_CD").alias("msp_cd"),
         F.col("CLM_MDCR_NON_PMT_RSN_CD").alias("nonpay_cd"),
         parse_money("CLM_PMT_AMT").alias("paid"),
-        cost_share.alias("cost_share"),
+        cost_share.cast(MONEY).alias("cost_share"),
     )
 
 

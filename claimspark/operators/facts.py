@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
+from claimspark.functions import codes
 
 CELL = ("dual", "age_band", "sex")
 
@@ -61,30 +62,46 @@ def pc_fact(pc_step5: DataFrame, window: StudyWindow) -> DataFrame:
     )
 
 
+#: All cells a person can be in, in the order of their bits.
+CELLS = tuple(
+    (dual, band, sex)
+    for dual in (False, True)
+    for band in ("<65", "65-74", "75-84", "85+")
+    for sex in (*codes.SEX_LABELS.values(), codes.UNKNOWN_SEX)
+)
+
+
 def members_fact(member_months: DataFrame, window: StudyWindow) -> DataFrame:
     """Distinct people per year for every combination of the cell columns, ``all`` where a column is left open.
 
     People move between cells, so these counts do not add up and each combination is counted by itself. Expanding every
-    person to eight grouping sets would shuffle eight times the people. Instead people are reduced to the set of cells
-    they were in (at most 24, the product of the labels) and counted per set; the grouping sets then work on those few
-    sets: a set counts once, with all its people, in each combination it touches.
+    person to eight grouping sets would shuffle eight times the people. Instead a person-year is reduced to a number with
+    one bit per cell they were in, and people are counted per number. The grouping sets then work on those few numbers:
+    each counts once, with all its people, in each combination it touches. A label that is no cell fails the job.
     """
-    cells = F.array_sort(F.collect_set(F.struct(*CELL)))
+    whens = " ".join(
+        f"WHEN dual = {str(dual).lower()} AND age_band = '{band}' AND sex = '{sex}' THEN {1 << bit}L"
+        for bit, (dual, band, sex) in enumerate(CELLS)
+    )
+    unknown = "raise_error(concat('no such cell: ', dual, ', ', age_band, ', ', sex))"
     people = (
-        member_months.where(F.col("ab_ffs") & window.contains()).groupBy("yr", "bene_id").agg(cells.alias("profile"))
+        member_months.where(F.col("ab_ffs") & window.contains())
+        .groupBy("yr", "bene_id")
+        .agg(F.bit_or(F.expr(f"CASE {whens} ELSE {unknown} END")).alias("profile"))
     )
     # A person without an id makes its combinations appear but is not counted, like any distinct count.
     profiles = people.groupBy("yr", "profile").agg(F.count("bene_id").alias("n"))
+    cells = ", ".join(
+        f"named_struct('bit', {1 << bit}L, 'dual', {str(dual).lower()}, 'age_band', '{band}', 'sex', '{sex}')"
+        for bit, (dual, band, sex) in enumerate(CELLS)
+    )
+    touched = profiles.select("*", F.expr(f"inline(filter(array({cells}), c -> c.bit & profile <> 0))"))
     combinations_of = [
         ["yr", "profile", "n", *kept] for size in range(len(CELL), -1, -1) for kept in combinations(CELL, size)
     ]
     opened = [F.grouping(c).alias(f"{c}_open") for c in CELL]
-    touched = (
-        profiles.select("*", F.inline("profile"))
-        .groupingSets(combinations_of, "yr", "profile", "n", *CELL)
-        .agg(*opened)
-    )
-    counted = touched.groupBy("yr", *CELL, *[f"{c}_open" for c in CELL]).agg(F.sum("n").alias("members"))
+    once = touched.groupingSets(combinations_of, "yr", "profile", "n", *CELL).agg(*opened)
+    counted = once.groupBy("yr", *CELL, *[f"{c}_open" for c in CELL]).agg(F.sum("n").alias("members"))
     return counted.select(
         "yr",
         *[F.when(F.col(f"{c}_open") == 1, "all").otherwise(F.col(c).cast("string")).alias(c) for c in CELL],

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
 from claimspark.functions import codes
-from claimspark.functions.numbers import ratio, round_half_up, settle
-from claimspark.functions.parsing import bill_type, parse_claim_date, parse_money
+from claimspark.functions.numbers import ratio, round_half_up
+from claimspark.functions.parsing import MONEY, bill_type, parse_claim_date, parse_money
 from claimspark.sources.code_lists import CodeLists
 
 
@@ -35,15 +35,17 @@ def pc_wellness_npi(spend: DataFrame) -> DataFrame:
 
 
 def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
-    """Step 5: keep non-physicians, and physicians with a wellness visit. With no wellness visit in the data at all
-    the rule does not apply and every line stays.
+    """Step 5: keep specialties marked ``'0'`` (not physicians), and of all others, however a list marks them, the
+    clinicians with a wellness visit. With no wellness visit in the data at all the rule does not apply and every line
+    stays.
 
-    Only physician lines with a known clinician need the lookup. All others get one of many keys that match nothing, so
+    Only lines of those others with a known clinician need the lookup. All the rest get one of many keys that match nothing, so
     that missing clinicians do not meet in one partition. A left join rather than an ``IN`` under ``OR`` lets adaptive
     skew handling split a clinician with very many lines; for the same reason the key is a new value on both sides,
     which gives the clinician list a shuffle of its own after the aggregation that made it distinct.
     """
-    testable = (F.col("is_physician") == "1") & F.col("rndrng_npi").isNotNull()
+    exempt = F.col("is_physician").eqNullSafe("0")
+    testable = ~exempt & F.col("rndrng_npi").isNotNull()
     nowhere = F.concat(F.lit("#"), F.xxhash64("clm_id", "line_num", "bene_id", "svc_dt", "allowed").cast("string"))
     lines = professional.withColumn(
         "npi_key", F.when(testable, F.concat(F.lit("="), "rndrng_npi")).otherwise(nowhere)
@@ -53,7 +55,7 @@ def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
     )
     rule_off = wellness_npi.select(F.count("*")).scalar() == 0
     kept = lines.join(known, "npi_key", "left").where(
-        rule_off | (F.col("is_physician") == "0") | F.col("has_wellness")
+        rule_off | exempt | F.col("has_wellness")
     )
     return kept.select(*[c for c in professional.columns if c != "is_physician"])
 
@@ -70,7 +72,9 @@ def pc_outpatient_line(outpatient: DataFrame) -> DataFrame:
             parse_money("REV_CNTR_PMT_AMT_AMT")
             + parse_money("REV_CNTR_CASH_DDCTBL_AMT")
             + parse_money("REV_CNTR_COINSRNC_WGE_ADJSTD_C")
-        ).alias("allowed"),
+        )
+        .cast(MONEY)
+        .alias("allowed"),
     )
 
 
@@ -106,7 +110,7 @@ def primary_care_by_service(step5: DataFrame, window: StudyWindow) -> DataFrame:
     return (
         step5.where(window.contains())
         .groupBy("yr", "service_group")
-        .agg(F.count("*").alias("services"), round_half_up(settle(F.sum("allowed")), 2).alias("allowed"))
+        .agg(F.count("*").alias("services"), round_half_up(F.sum("allowed"), 2).alias("allowed"))
     )
 
 
@@ -134,12 +138,12 @@ def primary_care_by_year(
     )
     months = mm_fact.groupBy("yr").agg(F.sum("ab_ffs_mm").alias("mm"))
     joined = total.join(months, "yr").join(professional, "yr", "left").join(facility, "yr", "left")
-    dollars = settle(F.coalesce("professional", F.lit(0.0)) + F.coalesce("facility", F.lit(0.0)))
+    dollars = F.coalesce("professional", F.lit(0)) + F.coalesce("facility", F.lit(0))
     return joined.withColumn("dollars", dollars).select(
         "yr",
         round_half_up("dollars", 0).alias("primary_care_allowed"),
         F.coalesce("services", F.lit(0).cast("bigint")).alias("primary_care_services"),
         round_half_up(ratio("dollars", "mm"), 2).alias("primary_care_pmpm"),
-        round_half_up(ratio(F.lit(100.0) * F.col("dollars"), settle("medical")), 2).alias("pct_of_medical"),
-        round_half_up(ratio(F.lit(100.0) * F.col("dollars"), settle("total")), 2).alias("pct_of_total"),
+        round_half_up(ratio(F.lit(100) * F.col("dollars"), "medical"), 2).alias("pct_of_medical"),
+        round_half_up(ratio(F.lit(100) * F.col("dollars"), "total"), 2).alias("pct_of_total"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.functions.numbers import annual_growth, ratio, settle
+from claimspark.functions.numbers import annual_growth, exact_cents, ratio, round_half_up
 from claimspark.operators.facts import CELL
 
 
@@ -18,7 +18,7 @@ def _in_year(year: int, value: Column) -> Column:
 def inpatient_rates(ip_fact: DataFrame, mm_fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stays, dollars and member months per year (and ``by`` columns) with stays per member month and cost per stay."""
     keys = ["yr", *by]
-    stays = ip_fact.groupBy(*keys).agg(F.sum("stays").alias("stays"), settle(F.sum("allowed")).alias("allowed"))
+    stays = ip_fact.groupBy(*keys).agg(F.sum("stays").alias("stays"), F.sum("allowed").alias("allowed"))
     months = mm_fact.groupBy(*keys).agg(F.sum("ab_ffs_mm").alias("member_months"))
     return stays.join(months, keys).select(
         *keys,
@@ -81,21 +81,17 @@ def growth_contribution(by_category: DataFrame, first_year: int, last_year: int)
         by_category.where(F.col("yr").isin(first_year, last_year))
         .groupBy("service_category")
         .agg(
-            F.coalesce(_in_year(first_year, F.col("pmpm")), F.lit(0.0)).alias("first_pmpm"),
-            F.coalesce(_in_year(last_year, F.col("pmpm")), F.lit(0.0)).alias("last_pmpm"),
+            F.coalesce(_in_year(first_year, exact_cents("pmpm")), exact_cents(F.lit(0))).alias("first_pmpm"),
+            F.coalesce(_in_year(last_year, exact_cents("pmpm")), exact_cents(F.lit(0))).alias("last_pmpm"),
         )
-        .withColumn("pmpm_change", settle(F.col("last_pmpm") - F.col("first_pmpm")))
+        .withColumn("pmpm_change", F.col("last_pmpm") - F.col("first_pmpm"))
     )
     everything = Window.partitionBy()
     return ends.select(
         "service_category",
-        "first_pmpm",
-        "last_pmpm",
-        "pmpm_change",
-        ratio(F.lit(100.0) * F.col("first_pmpm"), settle(F.sum("first_pmpm").over(everything))).alias("pct_of_first"),
-        ratio(F.lit(100.0) * F.col("pmpm_change"), settle(F.sum("pmpm_change").over(everything))).alias(
-            "pct_of_change"
-        ),
+        *[round_half_up(c, 2).alias(c) for c in ("first_pmpm", "last_pmpm", "pmpm_change")],
+        ratio(F.lit(100) * F.col("first_pmpm"), F.sum("first_pmpm").over(everything)).alias("pct_of_first"),
+        ratio(F.lit(100) * F.col("pmpm_change"), F.sum("pmpm_change").over(everything)).alias("pct_of_change"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
-from claimspark.functions.numbers import annual_growth, growth_pct, ratio, round_half_up, settle
+from claimspark.functions.numbers import annual_growth, exact_cents, growth_pct, ratio, round_half_up
 
 PHARMACY = "Retail Pharmacy"
 
@@ -20,7 +20,7 @@ def pmpm_by_category(spend_fact: DataFrame, mm_fact: DataFrame) -> DataFrame:
 
     Retail pharmacy is divided by the months that also have Part D, everything else by all eligible months.
     """
-    dollars = spend_fact.groupBy("yr", "service_category").agg(settle(F.sum("allowed")).alias("dollars"))
+    dollars = spend_fact.groupBy("yr", "service_category").agg(F.sum("allowed").alias("dollars"))
     months = F.when(F.col("service_category") == PHARMACY, F.col("partd_mm")).otherwise(F.col("ab_ffs_mm"))
     return (
         dollars.join(year_months(mm_fact), "yr")
@@ -42,14 +42,15 @@ def pmpm_total(by_category: DataFrame) -> DataFrame:
     """
     pharmacy = F.col("service_category") == PHARMACY
     years = by_category.groupBy("yr").agg(
-        F.sum(F.when(~pharmacy, F.col("pmpm"))).alias("medical"), F.sum(F.when(pharmacy, F.col("pmpm"))).alias("rx")
+        F.sum(F.when(~pharmacy, exact_cents("pmpm"))).alias("medical"),
+        F.sum(F.when(pharmacy, exact_cents("pmpm"))).alias("rx"),
     )
-    total = settle(F.col("medical") + F.col("rx"))
+    total = F.col("medical") + F.col("rx")
     previous = F.lag("total").over(Window.orderBy("yr"))
     return years.withColumn("total", total).select(
         "yr",
-        round_half_up(settle("medical"), 2).alias("medical_pmpm"),
-        round_half_up(settle("rx"), 2).alias("rx_pmpm"),
+        round_half_up("medical", 2).alias("medical_pmpm"),
+        round_half_up("rx", 2).alias("rx_pmpm"),
         round_half_up("total", 2).alias("total_pmpm"),
         round_half_up(growth_pct("total", previous), 1).alias("total_growth_pct"),
     )
