@@ -29,9 +29,9 @@ def _once(build: Callable[[CostDrivers], DataFrame]) -> Callable[[CostDrivers],
 class CostDrivers:
     """Every result of the analysis by name, each a DataFrame.
 
-    With a ``store``, the tables many results share (member months, claim lines, spend, the facts) are written once to
-    the shared folder when first needed and scanned from there. Without one everything stays a lazy plan down to the
-    sources. Both give the same rows.
+    The tables many results share (member months, claim lines, spend, the facts) are written once when first needed and
+    scanned from there: below ``store``, or without one below the session's checkpoint folder, which then has to be
+    set. Several analyses can use one store; each gets the tables of its own sources, lists and window.
     """
 
     def __init__(
@@ -44,11 +44,14 @@ class CostDrivers:
         self.sources = sources
         self.lists = lists
         self.window = window or StudyWindow()
-        self.store = store
+        self.store = store or TableStore.for_session(lists.places.sparkSession, "analysis")
         self._made: dict[str, DataFrame] = {}
 
-    def _table(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
-        return build() if self.store is None else self.store.table(name, build, partition_by)
+    def _table(
+        self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (), of: Sequence[object] = ()
+    ) -> DataFrame:
+        """A stored table of the sources and of what else it depends on (``of``)."""
+        return self.store.table(name, build, partition_by, [self.sources, *of])
 
     # Enrollment
 
@@ -70,33 +73,37 @@ class CostDrivers:
 
     @_once
     def claim_line_cat(self) -> DataFrame:
-        return service_categories.claim_line_cat(self.claim_line())
+        """Stored like the table it is made from, so that the checks compare two tables."""
+        return self._table("claim_line_cat", lambda: service_categories.claim_line_cat(self.claim_line()), ["src"])
 
     @_once
     def spend(self) -> DataFrame:
-        return self._table("spend", lambda: service_categories.spend(self.claim_line(), self.member_month()), ["src"])
+        """Partitioned by year and claim file: the facts read the study years and their files only."""
+        return self._table(
+            "spend", lambda: service_categories.spend(self.claim_line(), self.member_month()), ["yr", "src"]
+        )
 
     # Facts
 
     @_once
     def mm_fact(self) -> DataFrame:
-        return self._table("mm_fact", lambda: facts.mm_fact(self.member_month(), self.window))
+        return self._table("mm_fact", lambda: facts.mm_fact(self.member_month(), self.window), of=[self.window])
 
     @_once
     def spend_fact(self) -> DataFrame:
-        return self._table("spend_fact", lambda: facts.spend_fact(self.spend(), self.window))
+        return self._table("spend_fact", lambda: facts.spend_fact(self.spend(), self.window), of=[self.window])
 
     @_once
     def ip_fact(self) -> DataFrame:
-        return self._table("ip_fact", lambda: facts.ip_fact(self.spend(), self.window))
+        return self._table("ip_fact", lambda: facts.ip_fact(self.spend(), self.window), of=[self.window])
 
     @_once
     def members_fact(self) -> DataFrame:
-        return self._table("members_fact", lambda: facts.members_fact(self.member_month(), self.window))
+        return self._table("members_fact", lambda: facts.members_fact(self.member_month(), self.window), of=[self.window])
 
     @_once
     def pc_fact(self) -> DataFrame:
-        return self._table("pc_fact", lambda: facts.pc_fact(self.pc_step5(), self.window))
+        return self._table("pc_fact", lambda: facts.pc_fact(self.pc_step5(), self.window), of=[self.window, self.lists])
 
     # PMPM
 
@@ -129,6 +136,8 @@ class CostDrivers:
             lambda: primary_care.pc_step5(
                 primary_care.pc_professional(self.spend(), self.lists), self.pc_wellness_npi()
             ),
+            ["yr"],
+            of=[self.lists],
         )
 
     @_once
@@ -138,7 +147,9 @@ class CostDrivers:
     @_once
     def pc_facility_split(self) -> DataFrame:
         return self._table(
-            "pc_facility_split", lambda: primary_care.pc_facility_split(self.pc_outpatient_line(), self.pc_step5())
+            "pc_facility_split",
+            lambda: primary_care.pc_facility_split(self.pc_outpatient_line(), self.pc_step5()),
+            of=[self.lists],
         )
 
     @_once
@@ -175,26 +186,44 @@ class CostDrivers:
 
     # Checks
 
+    @_once
+    def claim_sums(self) -> DataFrame:
+        return self._table("claim_sums", lambda: validation.claim_sums(self.claim_line()))
+
+    @_once
+    def category_sums(self) -> DataFrame:
+        return self._table(
+            "category_sums", lambda: validation.category_sums(self.claim_line_cat(), self.window), of=[self.window]
+        )
+
+    @_once
+    def spend_sums(self) -> DataFrame:
+        return self._table(
+            "spend_sums",
+            lambda: validation.spend_sums(self.spend(), self.sources["outpatient"], self.window),
+            of=[self.window],
+        )
+
     def checks(self) -> dict[str, Callable[[], DataFrame]]:
-        """The ten checks by name; each is built only when called."""
+        """The ten checks by name; each is built only when called.
+
+        Those on row-level tables read sums by claim file, stored with a few rows each: one pass over the claim lines, one
+        over the categorized lines and one over spend serve checks 1 to 4, 8 and 9.
+        """
         return {
-            "row_counts": lambda: validation.check_row_counts(self.sources, self.claim_line()),
-            "unmapped": lambda: validation.check_unmapped(self.claim_line_cat()),
-            "dollars_preserved": lambda: validation.check_dollars_preserved(self.claim_line(), self.claim_line_cat()),
-            "eligible_share": lambda: validation.check_eligible_share(
-                self.claim_line_cat(), self.spend(), self.window
-            ),
+            "row_counts": lambda: validation.check_row_counts(self.sources, self.claim_sums()),
+            "unmapped": lambda: validation.check_unmapped(self.category_sums()),
+            "dollars_preserved": lambda: validation.check_dollars_preserved(self.claim_sums(), self.category_sums()),
+            "eligible_share": lambda: validation.check_eligible_share(self.category_sums(), self.spend_sums()),
             "monthly_vs_annual": lambda: validation.check_monthly_vs_annual(
-                self.sources["beneficiary"], self.member_month(), self.window
+                self.sources["beneficiary"], self.mm_fact(), self.window
             ),
             "pmpm_rebuild": lambda: validation.check_pmpm_rebuild(
                 self.pmpm_by_category(), self.spend_fact(), self.mm_fact()
             ),
             "wellness": lambda: validation.check_wellness(self.pc_wellness_npi()),
-            "office_em": lambda: validation.check_office_em(self.spend()),
-            "dialysis_share": lambda: validation.check_dialysis_share(
-                self.spend(), self.sources["outpatient"], self.window
-            ),
+            "office_em": lambda: validation.check_office_em(self.spend_sums()),
+            "dialysis_share": lambda: validation.check_dialysis_share(self.spend_sums()),
             "pc_facility": lambda: validation.check_pc_facility(self.pc_facility_split(), self.pc_fqhc()),
         }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
 from claimspark.functions import codes
-from claimspark.functions.numbers import number_text, ratio, settle
+from claimspark.functions.numbers import number_text, ratio
 from claimspark.plans.pmpm import PHARMACY, year_months
 from claimspark.sources.text_tables import INSTITUTIONAL_COST_SHARE, LINE_FILES
 
@@ -79,9 +79,58 @@ def raw_row_counts(sources: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def check_row_counts(sources: Mapping[str, DataFrame], claim_lines: DataFrame) -> DataFrame:
-    standard = claim_lines.groupBy("src").agg(F.count("*").alias("kept"))
-    both = raw_row_counts(sources).join(standard, "src")
+def claim_sums(claim_lines: DataFrame) -> DataFrame:
+    """Rows and dollars of the standardized table by claim file."""
+    return claim_lines.groupBy("src").agg(F.count("*").alias("kept"), F.sum("allowed").alias("allowed"))
+
+
+def category_sums(categorized: DataFrame, window: StudyWindow) -> DataFrame:
+    """Of the categorized table by claim file: rows without a category, dollars, and dollars of the study years."""
+    unmapped = F.col("service_category").isNull() | (F.col("subcategory") == "Other facility")
+    return categorized.groupBy("src").agg(
+        F.count_if(unmapped).alias("unmapped"),
+        F.sum("allowed").alias("allowed"),
+        # A file without a row in the study years has no share to report.
+        F.max(window.contains()).alias("in_study"),
+        F.sum(F.when(window.contains(), F.col("allowed"))).alias("study_allowed"),
+    )
+
+
+def spend_sums(spend: DataFrame, outpatient: DataFrame, window: StudyWindow) -> DataFrame:
+    """Of spend by claim file: office visits, dollars of the study years, and those of claims with a dialysis line.
+
+    Spend is read once. Rows are added up per file and, for outpatient claims of the study years, per claim before the
+    shuffle; so only those claims travel to the join with the list of dialysis claims, which can be large.
+    """
+    of_study = (F.col("src") == "outpatient") & window.contains()
+    visits = (F.col("src") == "carrier") & F.col("hcpcs_cd").between(*codes.OFFICE_EM_RANGE)
+    claims = (
+        spend.withColumn("claim", F.when(of_study, F.col("clm_id")))
+        .groupBy("src", "claim")
+        .agg(
+            F.count_if(visits).alias("office_visits"),
+            F.sum(F.when(window.contains(), F.col("allowed"))).alias("study_allowed"),
+        )
+    )
+    dialysis = (
+        outpatient.where(F.col("HCPCS_CD") == codes.DIALYSIS_CODE)
+        .select(F.col("CLM_ID").alias("claim"))
+        .distinct()
+        .withColumn("dialysis_claim", F.lit(True))
+    )
+    return (
+        claims.join(dialysis, "claim", "left")
+        .groupBy("src")
+        .agg(
+            F.sum("office_visits").alias("office_visits"),
+            F.sum("study_allowed").alias("study_allowed"),
+            F.sum(F.when(F.col("dialysis_claim"), F.col("study_allowed"))).alias("dialysis"),
+        )
+    )
+
+
+def check_row_counts(sources: Mapping[str, DataFrame], of_claims: DataFrame) -> DataFrame:
+    both = raw_row_counts(sources).join(of_claims, "src")
     return _check(
         both,
         1,
@@ -94,18 +143,17 @@ def check_row_counts(sources: Mapping[str, DataFrame], claim_lines: DataFrame) -
     )
 
 
-def check_unmapped(categorized: DataFrame) -> DataFrame:
-    unmapped = F.col("service_category").isNull() | (F.col("subcategory") == "Other facility")
-    counted = categorized.agg(F.count_if(unmapped).alias("n"))
+def check_unmapped(of_categories: DataFrame) -> DataFrame:
+    counted = of_categories.agg(F.coalesce(F.sum("unmapped"), F.lit(0)).alias("n"))
     return _check(
         counted, 2, CATEGORY_NAME, "0", F.col("n").cast("string"), F.col("n") == 0, "FAIL", CATEGORY_NOTE
     )
 
 
-def check_dollars_preserved(claim_lines: DataFrame, categorized: DataFrame) -> DataFrame:
-    before = claim_lines.agg(settle(F.sum("allowed")).alias("before"))
-    after = categorized.agg(settle(F.sum("allowed"))).scalar()
-    both = before.withColumn("after", after)
+def check_dollars_preserved(of_claims: DataFrame, of_categories: DataFrame) -> DataFrame:
+    """The dollars of two tables that were written one after the other."""
+    before = of_claims.agg(F.sum("allowed").alias("before"))
+    both = before.withColumn("after", of_categories.agg(F.sum("allowed")).scalar())
     return _check(
         both,
         3,
@@ -118,32 +166,31 @@ def check_dollars_preserved(claim_lines: DataFrame, categorized: DataFrame) -> D
     )
 
 
-def check_eligible_share(categorized: DataFrame, spend: DataFrame, window: StudyWindow) -> DataFrame:
+def check_eligible_share(of_categories: DataFrame, of_spend: DataFrame) -> DataFrame:
     """A file with nothing eligible keeps its row: the share is NULL and the check is flagged."""
-    total = categorized.where(window.contains()).groupBy("src").agg(settle(F.sum("allowed")).alias("total"))
-    kept = spend.where(window.contains()).groupBy("src").agg(settle(F.sum("allowed")).alias("kept"))
-    both = total.join(kept, "src", "left")
+    total = of_categories.where("in_study").select("src", F.col("study_allowed").alias("total"))
+    both = total.join(of_spend.select("src", F.col("study_allowed").alias("kept")), "src", "left")
     share = ratio("kept", "total")
     return _check(
         both,
         4,
         F.concat(F.lit(SHARE_NAME), "src"),
         ">= 90%",
-        F.concat(number_text(ratio(F.lit(100.0) * F.col("kept"), "total"), 1), F.lit("%")),
+        F.concat(number_text(ratio(F.lit(100) * F.col("kept"), "total"), 1), F.lit("%")),
         share >= 0.9,
         "FLAG",
         SHARE_NOTE,
     )
 
 
-def check_monthly_vs_annual(beneficiary: DataFrame, member_months: DataFrame, window: StudyWindow) -> DataFrame:
+def check_monthly_vs_annual(beneficiary: DataFrame, mm_fact: DataFrame, window: StudyWindow) -> DataFrame:
     """The smaller of the two annual counts is picked by comparison, not by ``least``: an unknown Part A count falls
     back to Part B, an unknown Part B count leaves the person out."""
     hi, smi = F.col("BENE_HI_CVRAGE_TOT_MONS").cast("int"), F.col("BENE_SMI_CVRAGE_TOT_MONS").cast("int")
     annual = beneficiary.where(window.contains(F.col("BENE_ENROLLMT_REF_YR").cast("int"))).agg(
         F.sum(F.when(hi < smi, hi).otherwise(smi)).alias("annual")
     )
-    monthly = member_months.where(F.col("ab_ffs") & window.contains()).agg(F.count("*")).scalar()
+    monthly = mm_fact.agg(F.coalesce(F.sum("ab_ffs_mm"), F.lit(0))).scalar()
     both = annual.withColumn("monthly", monthly)
     return _check(
         both,
@@ -189,34 +236,22 @@ def check_wellness(wellness_npi: DataFrame) -> DataFrame:
     )
 
 
-def check_office_em(spend: DataFrame) -> DataFrame:
-    visits = (F.col("src") == "carrier") & F.col("hcpcs_cd").between(*codes.OFFICE_EM_RANGE)
-    counted = spend.where(visits).agg(F.count("*").alias("n"))
+def check_office_em(of_spend: DataFrame) -> DataFrame:
+    counted = of_spend.agg(F.coalesce(F.sum("office_visits"), F.lit(0)).alias("n"))
     return _check(counted, 8, OFFICE_NAME, "> 0", F.col("n").cast("string"), F.col("n") > 0, "FLAG", OFFICE_NOTE)
 
 
-def dialysis_dollars(spend: DataFrame, outpatient: DataFrame, window: StudyWindow) -> DataFrame:
-    """Outpatient dollars of claims with a dialysis line, and of all claims.
-
-    The claim list can be large, so it is joined, not collected; a left join keeps skew handling available.
-    """
-    dialysis = (
-        outpatient.where(F.col("HCPCS_CD") == codes.DIALYSIS_CODE)
-        .select(F.col("CLM_ID").alias("clm_id"))
-        .distinct()
-        .withColumn("dialysis_claim", F.lit(True))
-    )
-    claims = spend.where((F.col("src") == "outpatient") & window.contains()).select("clm_id", "allowed")
-    return claims.join(dialysis, "clm_id", "left").agg(
-        settle(F.sum(F.when(F.col("dialysis_claim"), F.col("allowed")))).alias("dialysis"),
-        settle(F.sum("allowed")).alias("total"),
+def dialysis_dollars(of_spend: DataFrame) -> DataFrame:
+    """Outpatient dollars of claims with a dialysis line, and of all claims."""
+    return of_spend.where(F.col("src") == "outpatient").agg(
+        F.sum("dialysis").alias("dialysis"), F.sum("study_allowed").alias("total")
     )
 
 
-def check_dialysis_share(spend: DataFrame, outpatient: DataFrame, window: StudyWindow) -> DataFrame:
-    share = ratio(F.lit(100.0) * F.col("dialysis"), "total")
+def check_dialysis_share(of_spend: DataFrame) -> DataFrame:
+    share = ratio(F.lit(100) * F.col("dialysis"), "total")
     return _check(
-        dialysis_dollars(spend, outpatient, window),
+        dialysis_dollars(of_spend),
         9,
         DIALYSIS_NAME,
         "informational",

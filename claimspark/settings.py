@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-_GB = 1 << 30
+_MB = 1 << 20
 
 
 def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
-    """Spark SQL settings for an input of ``input_bytes`` read by ``cores`` task slots.
+    """Spark SQL settings for an input of ``input_bytes`` read by ``cores`` task slots; the same rules at every size.
 
-    Shuffled rows are a fraction of the raw text, so about 2 GB of input per shuffle partition leaves a few hundred MB
-    of shuffled data each; adaptive execution merges small partitions and splits skewed ones from there.
+    Shuffled rows are a fraction of the raw text, so 2 GB of input per shuffle partition leaves a few hundred MB
+    of shuffled data each; adaptive execution merges small partitions and splits skewed ones from there. Files and merged
+    partitions are cut so that every slot gets about four, within what one task handles well.
     """
-    partitions = min(max(input_bytes // (2 * _GB), cores), 50_000)
-    large = input_bytes > 100 * _GB
+    per_task = input_bytes // (4 * cores)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # On big inputs partitions follow the advisory size instead of spreading over all slots.
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": str(not large).lower(),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB" if large else "64MB",
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": "512MB" if large else "128MB",
-        # Partitioned writes have at most nine folders: one open file each needs no sort before the write.
-        "spark.sql.maxConcurrentOutputFileWriters": "16",
+        # Partitions follow the advisory size; that size already spreads a small input over all slots.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(max(per_task, _MB // 4), 256 * _MB)),
+        "spark.sql.shuffle.partitions": str(max(-(-input_bytes // (2048 * _MB)), cores)),
+        "spark.sql.files.maxPartitionBytes": str(min(max(per_task, 4 * _MB), 512 * _MB)),
+        # Partitioned writes have at most nine claim files of a few years: their files stay open side by side.
+        "spark.sql.maxConcurrentOutputFileWriters": "100",
         # The JVM never compiles methods above this size; Spark then runs wide rows as several smaller ones instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         # Recording the source line of every column expression makes building large plans slow.

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import codes
 
-# A list up to this many rows is broadcast; a longer one is left to Spark's own size check.
-BROADCAST_ROWS = 100_000
-
 LIST_COLUMNS = {
     "pc_service_codes": ("hcpcs_cd", "claim_type", "service_group"),
     "pc_place_of_service": ("pos_cd", "description"),
@@ -19,10 +16,6 @@ LIST_COLUMNS = {
 }
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class CodeLists:
     service_codes: DataFrame
@@ -51,9 +44,13 @@ class CodeLists:
 
     @classmethod
     def from_csv(cls, spark: SparkSession, directory: str) -> CodeLists:
-        """Lists of the user, one ``<name>.csv`` each with a header row; all text, matched by column name."""
-        loaded = []
-        for name, columns in LIST_COLUMNS.items():
-            df = spark.read.csv(f"{directory}/{name}.csv", header=True, inferSchema=False)
-            loaded.append(_broadcast_if_small(df.select(*columns)))
-        return cls(*loaded)
+        """Lists of the user, one ``<name>.csv`` each with a header row; all text, matched by column name.
+
+        Whether a list is small enough to be broadcast is left to Spark, which knows its bytes.
+        """
+        return cls(
+            *[
+                spark.read.csv(f"{directory}/{name}.csv", header=True, inferSchema=False, enforceSchema=False).select(*columns)
+                for name, columns in LIST_COLUMNS.items()
+            ]
+        )

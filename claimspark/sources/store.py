@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Hashable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), dynamic: bool = False) -> DataFrame:
     """Write ``df`` as Parquet and return the written table.
 
-    ``dynamic`` replaces only the partitions present in ``df``, for reruns of single years or files.
+    Rows are brought together by the partition columns first, large partitions over several tasks: otherwise every task
+    would write a small file into every folder. ``dynamic`` replaces only the partitions present in ``df``, for reruns
+    of single years or files.
     """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode("overwrite")
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -24,54 +29,75 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), dyna
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset a single-machine session gets a new temporary folder; a
-    cluster gets none, because a folder on one machine would be of no use to the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="claimspark-")
-    return None
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the session's checkpoint folder. An error if there is none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or pass a TableStore")
+    return folder.rstrip("/")
 
 
 class TableStore:
     """Named Parquet tables below one folder.
 
     A table is built and written the first time it is asked for. Later uses scan it, so its lineage ends there: a lost
-    executor costs a re-read, not a recomputation from the raw files.
+    executor costs a re-read, not a recomputation from the raw files. A table belongs to the inputs it was built from:
+    asked for with others, it is another table. Every build goes to a folder of its own, so no table is replaced while
+    somebody reads it, by this store or by another one on the same folder.
     """
 
     def __init__(self, root: str):
         self.root = root.rstrip("/")
-        self._tables: dict[str, DataFrame] = {}
+        self._tables: dict[tuple[str, tuple[Hashable, ...]], DataFrame] = {}
+        self._inputs: list[object] = []
 
     @classmethod
-    def for_session(cls, spark: SparkSession, name: str) -> TableStore | None:
-        folder = shared_folder(spark)
-        if folder is None:
-            return None
-        app = spark.conf.get("spark.app.id", "session")
-        return cls(f"{folder}/claimspark/{app}/{name}")
-
-    def table(self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = write_table(build(), f"{self.root}/{name}", partition_by)
-        return self._tables[name]
-
-
-def export_csv(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
-    """One sorted CSV with a header row; NULL is an empty field.
-
-    For results only (a few hundred rows): the single file is written by one task, so never export a row-level table
-    this way. ``repartition`` rather than ``coalesce`` keeps the stages that compute the result parallel.
+    def for_session(cls, spark: SparkSession, name: str) -> TableStore:
+        return cls(f"{shared_folder(spark)}/claimspark/{spark.conf.get('spark.app.id', 'session')}/{name}")
+
+    def new_path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
+    def table(
+        self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (), inputs: Sequence[object] = ()
+    ) -> DataFrame:
+        """The table called ``name`` of these ``inputs``: values that compare (years), or objects told apart by identity
+        (sources, code lists)."""
+        key = (name, tuple(x if isinstance(x, Hashable) else id(x) for x in inputs))
+        if key not in self._tables:
+            self._inputs += inputs  # an id stays theirs as long as the objects live
+            self._tables[key] = write_table(build(), self.new_path(name), partition_by)
+        return self._tables[key]
+
+
+def plain_number(name: str) -> str:
+    """A double or decimal as text without exponent and with at least one decimal: ``11140748.0``."""
+    # As many decimals as a double can have; Java prints the shortest text that reads back as the same number.
+    return (
+        f"CASE WHEN isnan({name}) OR abs({name}) = double('infinity') THEN cast({name} AS string) "
+        f"ELSE format_number(cast({name} AS double), '0.0{'#' * 330}') END"
+    )
+
+
+def export_csv(df: DataFrame, path: str, order_by: Sequence[str] = (), most_rows: int = 1_000_000) -> None:
+    """One sorted CSV with a header row; NULL is an empty field, numbers are plain.
+
+    For results only: the single file is written by one task, so a table of more than ``most_rows`` rows fails the job
+    instead of passing through it. ``repartition`` rather than ``coalesce`` keeps the stages that compute the result
+    parallel.
     """
     one = df.repartition(1)
     ordered = one.sortWithinPartitions(*order_by) if order_by else one
-    ordered.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""')
+    place = F.monotonically_increasing_id()  # the only task counts from 0
+    too_long = F.raise_error(F.lit(f"more than {most_rows} rows are too many for a single file"))
+    checked = ordered.withColumn("_too_long", F.when(place >= most_rows, too_long).cast("string")).where("_too_long IS NULL")
+    shown = [
+        F.expr(plain_number(f"`{f.name}`")).alias(f.name)
+        if isinstance(f.dataType, T.FractionalType)
+        else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    checked.select(*shown).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""')
 
 
 def stack_facts(facts: dict[str, DataFrame]) -> DataFrame:

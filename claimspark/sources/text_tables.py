@@ -93,8 +93,12 @@ def as_text_table(df: DataFrame, name: str) -> DataFrame:
 
 def read_text_csv(spark: SparkSession, path: str, name: str, sep: str = ",") -> DataFrame:
     """Delimited text with a header row. Columns are matched by name, types are never inferred, and an empty cell
-    (quoted or not) is NULL while a blank one stays a blank."""
-    return as_text_table(spark.read.csv(path, header=True, sep=sep, inferSchema=False), name)
+    (quoted or not) is NULL while a blank one stays a blank.
+
+    Spark reads all files of a folder by the columns of one of them. A file whose header differs fails the job, it is
+    never read with its columns in the wrong places.
+    """
+    return as_text_table(spark.read.csv(path, header=True, sep=sep, inferSchema=False, enforceSchema=False), name)
 
 
 def read_text_parquet(spark: SparkSession, path: str, name: str) -> DataFrame:
