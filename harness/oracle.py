@@ -9,13 +9,129 @@ from __future__ import annotations
 
 import re
 
-from claimspark.functions.codes import (
-    FACILITY_ONLY,
-    FACILITY_ONLY_SERVICE_CODES,
-    PROFESSIONAL_OR_FACILITY,
-    SERVICE_CODES,
+# Service codes of primary care by group; the last group's code counts on facility claims only.
+SERVICE_CODES = (
+    (
+        "Advance care planning",
+        "professional_or_facility",
+        (
+            "99497", "99498",
+        ),
+    ),
+    (
+        "Care management",
+        "professional_or_facility",
+        (
+            "99424", "99425", "99426", "99427", "99437", "99491", "99439", "99483", "99487", "99489", "99490", "99495",
+            "99496", "G0505", "G0506",
+        ),
+    ),
+    (
+        "FQHC / clinic visit",
+        "professional_or_facility",
+        (
+            "G0466", "G0467", "T1015",
+        ),
+    ),
+    (
+        "Health risk assessment",
+        "professional_or_facility",
+        (
+            "96160", "96161",
+        ),
+    ),
+    (
+        "Home visit",
+        "professional_or_facility",
+        (
+            "99339", "99340", "99341", "99342", "99343", "99344", "99345", "99347", "99348", "99349", "99350",
+        ),
+    ),
+    (
+        "Immunization administration",
+        "professional_or_facility",
+        (
+            "90460", "90461", "90471", "90472", "90473", "90474", "G0008", "G0009", "G0010",
+        ),
+    ),
+    (
+        "Interprofessional consult",
+        "professional_or_facility",
+        (
+            "99446", "99447", "99448", "99449", "99451", "99452",
+        ),
+    ),
+    (
+        "Office visit",
+        "professional_or_facility",
+        (
+            "99201", "99202", "99203", "99204", "99205", "99211", "99212", "99213", "99214", "99215",
+        ),
+    ),
+    (
+        "Preventive / wellness visit",
+        "professional_or_facility",
+        (
+            "99381", "99382", "99383", "99384", "99385", "99386", "99387", "99391", "99392", "99393", "99394", "99395",
+            "99396", "99397", "G0402", "G0438", "G0439", "G0468", "S9117",
+        ),
+    ),
+    (
+        "Prolonged service",
+        "professional_or_facility",
+        (
+            "99358", "99359", "99360", "99417", "G0513", "G0514", "G2212",
+        ),
+    ),
+    (
+        "Screening / counseling",
+        "professional_or_facility",
+        (
+            "99078", "99173", "99401", "99402", "99403", "99404", "99406", "99407", "99408", "99409", "99411", "99412",
+            "99420", "99429", "G0102", "G0396", "G0397", "G0436", "G0437", "G0442", "G0443", "G0444",
+        ),
+    ),
+    (
+        "Team conference / care plan oversight",
+        "professional_or_facility",
+        (
+            "99366", "99367", "99368", "99374", "99375", "99376", "99377", "99378", "99379", "99380", "G0179", "G0180",
+            "G0181", "G0182",
+        ),
+    ),
+    (
+        "Telephone / digital E&M",
+        "professional_or_facility",
+        (
+            "98966", "98967", "98968", "98970", "98971", "98972", "99421", "99422", "99423", "99441", "99442", "99443",
+        ),
+    ),
+    ("Hospital outpatient clinic visit (facility)", "facility_only", ("G0463",)),
 )
-from claimspark.plans import validation as fixed
+
+# Name and note of each check.
+ROWS_NAME = "Row count preserved: "
+CATEGORY_NAME = "Every row gets a service category"
+DOLLARS_NAME = "Categorized $ = standardized $"
+SHARE_NAME = "Share of $ in an eligible month: "
+MONTHS_NAME = "Monthly A+B FFS months vs annual summary fields"
+REBUILD_NAME = "PMPM rebuilds from the fact tables"
+WELLNESS_NAME = "Primary care Step 5 (wellness-visit filter) applied"
+OFFICE_NAME = "Carrier office E&M visits (99202-99215) present"
+DIALYSIS_NAME = "Outpatient $ from dialysis (90935) claims"
+FACILITY_NAME = "Primary care facility claims (G0463 split billing, FQHC 77x)"
+ROWS_NOTE = "Institutional files collapse to one row per CLM_ID; line files keep every line"
+CATEGORY_NOTE = "Unmapped bill types would land in Other facility"
+DOLLARS_NOTE = "Categorization must not add or drop dollars"
+SHARE_NOTE = "Claims outside A+B FFS (or Part D) eligibility are excluded from PMPM"
+MONTHS_NOTE = "Annual fields count A and B separately (least of the two); monthly flags need both in the same month"
+REBUILD_NOTE = "Dashboard/Tableau fact tables give the same PMPM as the SQL views"
+WELLNESS_NOTE = "Synthetic carrier file has no wellness visits, so the rule would drop every physician; skipped"
+OFFICE_NOTE = (
+    "Office E&M visits are the core of the primary care definition; without them primary care share is understated"
+)
+DIALYSIS_NOTE = "Dialysis claims make up a large share of outpatient spend in the synthetic file"
+FACILITY_NOTE = "Step 6 logic runs but the synthetic outpatient file only has bill type 13x and no G0463"
 
 PARTS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -46,7 +162,7 @@ def pick(index: str, values: list[str | None]) -> str:
 
 
 def cents(x: str) -> str:
-    return f"round(round({x}, 4), 2)"
+    return f"CAST(round({x}, 2) AS DOUBLE)"
 
 
 def total(column: str) -> str:
@@ -104,15 +220,14 @@ part(
     "claim_head",
     """
 SELECT o_orderkey AS key, o_custkey, o_orderkey % 8 AS k, o_orderkey // 8 AS q,
-       o_orderdate + INTERVAL 21 YEAR AS day,
-       CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL 21 YEAR AS DATE) END AS svc_dt,
-       CASE WHEN o_orderkey % 211 = 0 THEN strftime(o_orderdate + INTERVAL 21 YEAR, '%d-Foo-%Y')
-            ELSE strftime(o_orderdate + INTERVAL 21 YEAR, '%d-%b-%Y') END AS day_text,
+       o_orderdate + to_years(CASE WHEN o_orderkey % 47 = 0 THEN 20 WHEN o_orderkey % 53 = 0 THEN 22 ELSE 21 END) AS day,
+       CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE CAST(day AS DATE) END AS svc_dt,
+       CASE WHEN o_orderkey % 211 = 0 THEN strftime(day, '%d-Foo-%Y') ELSE strftime(day, '%d-%b-%Y') END AS day_text,
        o_orderkey % 29 <> 0 AS medicare_primary, o_orderkey % 31 <> 0 AS not_denied,
        CAST(o_totalprice AS DECIMAL(12, 2)) AS price,
-       CASE WHEN o_orderkey % 37 = 0 OR o_orderkey % 41 = 0 THEN 0.0 ELSE o_orderkey % 1400 + 0.5 END
-       + (o_orderkey * 7 % 300 + 0.25)
-       + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 20 END AS share
+       CAST(CASE WHEN o_orderkey % 37 = 0 OR o_orderkey % 41 = 0 THEN 0.0 ELSE o_orderkey % 1400 + 0.5 END
+            + (o_orderkey * 7 % 300 + 0.25)
+            + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 20 END AS DECIMAL(12, 2)) AS share
 FROM orders
 """,
 )
@@ -144,7 +259,8 @@ SELECT r.*, f.src,
        {pick("supp % 8", ["01", "08", "11", "37", "50", "97", "06"])} AS spclty,
        {pick("part % 10", ["99213", "99202", "99215", "G0439", "99490", "99497", "G0442", "90471", "71046"])} AS hcpcs_cd,
        {pick("part % 8", ["M1A", "P1A", "I1A", "T1A", "D1A", "O1A", "Y1"])} AS betos_cd,
-       if(part % 37 = 0, 0, qty) AS paid_amount, if(part % 37 = 0, 0, ext) AS allowed_amount
+       CAST(if(part % 37 = 0, 0, qty) AS DECIMAL(12, 2)) AS paid_amount,
+       CAST(if(part % 37 = 0, 0, ext) AS DECIMAL(12, 2)) AS allowed_amount
 FROM claim_row r JOIN (VALUES (1, 'carrier'), (5, 'carrier'), (6, 'dme'), (7, 'pde')) f(k, src) ON f.k = r.k
 """,
 )
@@ -153,8 +269,8 @@ part(
     """
 SELECT src, CAST(o_custkey AS VARCHAR) AS bene_id, CAST(key AS VARCHAR) AS clm_id, CAST(NULL AS INTEGER) AS line_num,
        svc_dt, bill_type2, NULL AS pos_cd, NULL AS spclty, NULL AS hcpcs_cd, NULL AS betos_cd, NULL AS rndrng_npi,
-       NULL AS ndc, CAST(price AS DOUBLE) AS paid,
-       CAST(price AS DOUBLE) + if(k < 3, CAST(share AS DOUBLE), 0.0) AS allowed, medicare_primary,
+       NULL AS ndc, price AS paid,
+       CAST(price + if(k < 3, share, 0) AS DECIMAL(12, 2)) AS allowed, medicare_primary,
        not_denied AS medicare_paid
 FROM facility
 UNION ALL
@@ -162,7 +278,7 @@ SELECT src, CAST(o_custkey AS VARCHAR), if(src = 'pde', key || '-' || line, CAST
        if(src = 'pde', NULL, line), svc_dt, NULL, if(src = 'pde', NULL, pos_cd), if(src = 'pde', NULL, spclty),
        if(src = 'pde', NULL, hcpcs_cd), if(src = 'pde', NULL, betos_cd),
        if(src = 'carrier' AND part % 41 <> 0, CAST(supp * 20 + (part // 100) % 20 AS VARCHAR), NULL),
-       if(src = 'carrier', NULL, CAST(part AS VARCHAR)), CAST(paid_amount AS DOUBLE), CAST(allowed_amount AS DOUBLE),
+       if(src = 'carrier', NULL, CAST(part AS VARCHAR)), paid_amount, allowed_amount,
        src = 'pde' OR medicare_primary, src = 'pde' OR line <> 7
 FROM supplier_row
 """,
@@ -255,31 +371,33 @@ part(
 part(
     "category_year",
     """
-SELECT yr, service_category, round(sum(allowed), 4) AS dollars, if(service_category = 'Retail Pharmacy', rx, ab) AS months
+SELECT yr, service_category, sum(allowed) AS dollars, if(service_category = 'Retail Pharmacy', rx, ab) AS months
 FROM spend_cell JOIN year_months USING (yr) GROUP BY yr, service_category, rx, ab
 """,
 )
 part(
     "category_pmpm",
     """
-SELECT yr, service_category, round(dollars, 0) AS allowed, months AS member_months,
-       round(dollars / months, 2) AS pmpm
+SELECT yr, service_category, CAST(round(dollars, 0) AS DOUBLE) AS allowed, months AS member_months,
+       round(CAST(dollars AS DOUBLE) / months, 2) AS pmpm
 FROM category_year
 """,
 )
 part(
     "total_pmpm_year",
     """
-SELECT yr, round(sum(pmpm) FILTER (service_category <> 'Retail Pharmacy'), 4) AS medical,
-       round(sum(pmpm) FILTER (service_category = 'Retail Pharmacy'), 4) AS rx
+SELECT yr, sum(CAST(pmpm AS DECIMAL(18, 2))) FILTER (service_category <> 'Retail Pharmacy') AS medical,
+       sum(CAST(pmpm AS DECIMAL(18, 2))) FILTER (service_category = 'Retail Pharmacy') AS rx
 FROM category_pmpm GROUP BY yr
 """,
 )
 part(
     "total_growth",
     f"""
-SELECT yr, round(medical, 2) AS medical_pmpm, round(rx, 2) AS rx_pmpm, round(round(medical + rx, 4), 2) AS total_pmpm,
-       {rounded("(round(medical + rx, 4) / lag(round(medical + rx, 4)) OVER w - 1) * 100", 1)} AS total_growth_pct
+SELECT yr, CAST(medical AS DOUBLE) AS medical_pmpm, CAST(rx AS DOUBLE) AS rx_pmpm,
+       CAST(medical + rx AS DOUBLE) AS total_pmpm,
+       {rounded("(CAST(medical + rx AS DOUBLE) / CAST(lag(medical + rx) OVER w AS DOUBLE) - 1) * 100", 1)}
+         AS total_growth_pct
 FROM total_pmpm_year WINDOW w AS (ORDER BY yr)
 """,
 )
@@ -316,16 +434,12 @@ GROUP BY GROUPING SETS ((yr, dual, age_band, sex), (yr, dual, age_band), (yr, du
 # Primary care
 
 _service_rows = ", ".join(
-    [
-        f"('{members}', '{PROFESSIONAL_OR_FACILITY}', '{group}')" for group, members in SERVICE_CODES.items()
-    ]
-    + [f"('{code}', '{FACILITY_ONLY}', '{group}')" for group, code in FACILITY_ONLY_SERVICE_CODES.items()]
+    f"('{code}', '{claim_type}', '{group}')" for group, claim_type, members in SERVICE_CODES for code in members
 )
 part(
     "service_list",
     f"""
-SELECT unnest(string_split(members, ' ')) AS hcpcs_cd, claim_type, service_group
-FROM (VALUES {_service_rows}) AS t(members, claim_type, service_group)
+FROM (VALUES {_service_rows}) AS t(hcpcs_cd, claim_type, service_group)
 """,
 )
 part(
@@ -359,7 +473,7 @@ part(
     f"""
 SELECT CAST(r.o_custkey AS VARCHAR) AS bene_id,
        {pick("part % 5", ["G0463", "90935", "G0466", "99213"])} AS hcpcs_cd, f.bill_type2, r.svc_dt,
-       CAST(ext AS DOUBLE) + if(part % 37 = 0, 0.0, CAST(qty AS DOUBLE)) + if(line = 4, 0, line) AS allowed
+       CAST(ext + if(part % 37 = 0, 0, qty) + if(line = 4, 0, line) AS DECIMAL(12, 2)) AS allowed
 FROM claim_row r JOIN facility f ON f.key = r.key AND f.src = 'outpatient'
 WHERE part % 5 = 0 OR f.bill_type2 LIKE '7%'
 """,
@@ -383,8 +497,7 @@ part("facility_line", "SELECT year(svc_dt) AS yr, allowed FROM (FROM split_line
 part(
     "care_year",
     """
-SELECT yr, round(ifnull(pc, 0) + ifnull(fc, 0), 4) AS dollars, ifnull(n, 0) AS n, round(medical, 4) AS medical,
-       round(spent, 4) AS spent, ab
+SELECT yr, ifnull(pc, 0) + ifnull(fc, 0) AS dollars, ifnull(n, 0) AS n, medical, spent, ab
 FROM (SELECT yr, sum(allowed) FILTER (service_category <> 'Retail Pharmacy') AS medical, sum(allowed) AS spent
       FROM spend_cell GROUP BY yr)
 JOIN year_months USING (yr)
@@ -395,16 +508,16 @@ LEFT JOIN (SELECT yr, sum(allowed) AS fc FROM facility_line GROUP BY yr) USING (
 part(
     "rebuilt",
     """
-SELECT yr, service_category, sum(allowed) / any_value(if(service_category = 'Retail Pharmacy', rx, ab)) AS rebuilt
+SELECT yr, service_category, CAST(sum(allowed) AS DOUBLE) / any_value(if(service_category = 'Retail Pharmacy', rx, ab)) AS rebuilt
 FROM spend_cell JOIN year_months USING (yr) GROUP BY yr, service_category
 """,
 )
 part(
     "dialysis_sum",
     """
-SELECT round(sum(allowed) FILTER (clm_id IN (SELECT CAST(key AS VARCHAR) FROM claim_row WHERE k = 1 AND part % 5 = 1)), 4)
+SELECT sum(allowed) FILTER (clm_id IN (SELECT CAST(key AS VARCHAR) FROM claim_row WHERE k = 1 AND part % 5 = 1))
          AS dialysis,
-       round(sum(allowed), 4) AS total
+       sum(allowed) AS total
 FROM eligible WHERE src = 'outpatient' AND yr >= 2016 AND yr <= 2022
 """,
 )
@@ -422,67 +535,67 @@ def check(name: str, sql: str) -> None:
 
 
 check("row_counts", f"""
-SELECT 1 AS id, concat('{fixed.ROWS_NAME}', src) AS check_name, CAST(r.n AS VARCHAR) AS expected,
+SELECT 1 AS id, concat('{ROWS_NAME}', src) AS check_name, CAST(r.n AS VARCHAR) AS expected,
        CAST(s.n AS VARCHAR) AS actual, if(r.n = s.n, 'PASS', 'FAIL') AS status,
-       '{fixed.ROWS_NOTE}' AS note
+       '{ROWS_NOTE}' AS note
 FROM raw_count r JOIN (SELECT src, count(*) AS n FROM standard GROUP BY src) s USING (src)
 """)
 check("unmapped", f"""
-SELECT 2 AS id, '{fixed.CATEGORY_NAME}' AS check_name, '0' AS expected, CAST(count(*) AS VARCHAR) AS actual,
-       if(count(*) = 0, 'PASS', 'FAIL') AS status, '{fixed.CATEGORY_NOTE}' AS note
+SELECT 2 AS id, '{CATEGORY_NAME}' AS check_name, '0' AS expected, CAST(count(*) AS VARCHAR) AS actual,
+       if(count(*) = 0, 'PASS', 'FAIL') AS status, '{CATEGORY_NOTE}' AS note
 FROM categorized WHERE subcategory = 'Other facility'
 """)
 check("dollars_preserved", f"""
-SELECT 3 AS id, '{fixed.DOLLARS_NAME}' AS check_name, {number_text("round(b.t, 4)", 0)} AS expected,
-       {number_text("round(a.t, 4)", 0)} AS actual, if(abs(b.t - a.t) < 1, 'PASS', 'FAIL') AS status,
-       '{fixed.DOLLARS_NOTE}' AS note
+SELECT 3 AS id, '{DOLLARS_NAME}' AS check_name, {number_text("b.t", 0)} AS expected,
+       {number_text("a.t", 0)} AS actual, if(abs(b.t - a.t) < 1, 'PASS', 'FAIL') AS status,
+       '{DOLLARS_NOTE}' AS note
 FROM (SELECT sum(allowed) AS t FROM standard) b, (SELECT sum(allowed) AS t FROM categorized) a
 """)
 check("eligible_share", f"""
-SELECT 4 AS id, concat('{fixed.SHARE_NAME}', src) AS check_name, '>= 90%' AS expected,
-       {number_text("100 * round(kept, 4) / round(spent, 4)", 1)} || '%' AS actual,
-       if(coalesce(kept / spent >= 0.9, FALSE), 'PASS', 'FLAG') AS status,
-       '{fixed.SHARE_NOTE}' AS note
+SELECT 4 AS id, concat('{SHARE_NAME}', src) AS check_name, '>= 90%' AS expected,
+       {number_text("CAST(100 * kept AS DOUBLE) / CAST(spent AS DOUBLE)", 1)} || '%' AS actual,
+       if(coalesce(CAST(kept AS DOUBLE) / CAST(spent AS DOUBLE) >= 0.9, FALSE), 'PASS', 'FLAG') AS status,
+       '{SHARE_NOTE}' AS note
 FROM (SELECT src, sum(allowed) AS spent FROM categorized WHERE yr >= 2016 AND yr <= 2022 GROUP BY src)
 LEFT JOIN (SELECT src, sum(allowed) AS kept FROM eligible WHERE yr >= 2016 AND yr <= 2022 GROUP BY src) USING (src)
 """)
 check("monthly_vs_annual", f"""
-SELECT 5 AS id, '{fixed.MONTHS_NAME}' AS check_name, CAST(a.t AS VARCHAR) AS expected,
+SELECT 5 AS id, '{MONTHS_NAME}' AS check_name, CAST(a.t AS VARCHAR) AS expected,
        CAST(m.t AS VARCHAR) AS actual, if(abs(m.t - a.t) < 0.1 * a.t, 'PASS', 'FLAG') AS status,
-       '{fixed.MONTHS_NOTE}' AS note
+       '{MONTHS_NOTE}' AS note
 FROM (SELECT sum(6 + c % 7) AS t FROM person_year WHERE yr >= 2016 AND yr <= 2022) a,
      (SELECT count(*) AS t FROM enrolled WHERE ab_ffs AND yr >= 2016 AND yr <= 2022) m
 """)
 check("pmpm_rebuild", f"""
-SELECT 6 AS id, '{fixed.REBUILD_NAME}' AS check_name, '0.00' AS expected,
+SELECT 6 AS id, '{REBUILD_NAME}' AS check_name, '0.00' AS expected,
        {number_text("max(abs(pmpm - rebuilt))", 2)} AS actual,
        if(max(abs(pmpm - rebuilt)) < 0.01, 'PASS', 'FAIL') AS status,
-       '{fixed.REBUILD_NOTE}' AS note
+       '{REBUILD_NOTE}' AS note
 FROM category_pmpm JOIN rebuilt USING (yr, service_category)
 """)
 check("wellness", f"""
-SELECT 7 AS id, '{fixed.WELLNESS_NAME}' AS check_name, 'wellness visits > 0' AS expected,
+SELECT 7 AS id, '{WELLNESS_NAME}' AS check_name, 'wellness visits > 0' AS expected,
        concat(count(*), ' NPIs with wellness visits') AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       '{fixed.WELLNESS_NOTE}' AS note
+       '{WELLNESS_NOTE}' AS note
 FROM wellness_npi
 """)
 check("office_em", f"""
-SELECT 8 AS id, '{fixed.OFFICE_NAME}' AS check_name, '> 0' AS expected,
+SELECT 8 AS id, '{OFFICE_NAME}' AS check_name, '> 0' AS expected,
        CAST(count(*) AS VARCHAR) AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       '{fixed.OFFICE_NOTE}'
+       '{OFFICE_NOTE}'
          AS note
 FROM eligible WHERE src = 'carrier' AND hcpcs_cd >= '99202' AND hcpcs_cd <= '99215'
 """)
 check("dialysis_share", f"""
-SELECT 9 AS id, '{fixed.DIALYSIS_NAME}' AS check_name, 'informational' AS expected,
-       {number_text("100 * dialysis / total", 1)} || '%' AS actual, 'FLAG' AS status,
-       '{fixed.DIALYSIS_NOTE}' AS note
+SELECT 9 AS id, '{DIALYSIS_NAME}' AS check_name, 'informational' AS expected,
+       {number_text("CAST(100 * dialysis AS DOUBLE) / CAST(total AS DOUBLE)", 1)} || '%' AS actual, 'FLAG' AS status,
+       '{DIALYSIS_NOTE}' AS note
 FROM dialysis_sum
 """)
 check("pc_facility", f"""
-SELECT 10 AS id, '{fixed.FACILITY_NAME}' AS check_name, '> 0' AS expected,
+SELECT 10 AS id, '{FACILITY_NAME}' AS check_name, '> 0' AS expected,
        CAST(count(*) AS VARCHAR) AS actual, if(count(*) > 0, 'PASS', 'FLAG') AS status,
-       '{fixed.FACILITY_NOTE}' AS note
+       '{FACILITY_NOTE}' AS note
 FROM facility_line
 """)
 part("all_reports", " UNION ALL ".join(f"FROM {p}" for p in PARTS if p.startswith("report_")))
@@ -532,7 +645,14 @@ FROM service_list s
 oracle("inline_values", "SELECT mo, count(*) AS person_years, count(buyin_cd) AS entitled FROM person_month GROUP BY mo")
 oracle("materialize", "SELECT yr, count(*) AS n, count(*) FILTER (ab_ffs) AS ab_ffs FROM enrolled GROUP BY yr")
 oracle("derived_view", "SELECT yr, count(*) AS categories, max(pmpm) AS highest_pmpm FROM category_pmpm GROUP BY yr")
-oracle("export_csv", "SELECT * FROM category_growth")
+oracle(
+    "export_csv",
+    """
+SELECT CAST(yr AS VARCHAR) AS yr, service_category, CAST(CAST(allowed AS BIGINT) AS VARCHAR) || '.0' AS allowed,
+       CAST(member_months AS VARCHAR) AS member_months, CAST(pmpm AS VARCHAR) AS pmpm
+FROM category_pmpm
+""",
+)
 oracle(
     "stacked_fact_export",
     f"""
@@ -615,8 +735,8 @@ oracle(
 oracle(
     "round_half_up",
     """
-SELECT src, round(round(sum(allowed), 4), 0) AS whole, round(round(sum(allowed), 4) / count(*), 1) AS mean_1,
-       round(round(sum(allowed), 4) / count(*), 2) AS mean_2
+SELECT src, CAST(round(sum(allowed), 0) AS DOUBLE) AS whole, round(CAST(sum(allowed) AS DOUBLE) / count(*), 1) AS mean_1,
+       round(CAST(sum(allowed) AS DOUBLE) / count(*), 2) AS mean_2
 FROM standard GROUP BY src
 """,
 )
@@ -631,10 +751,12 @@ FROM enrolled GROUP BY bene_id
 oracle(
     "growth_arithmetic",
     f"""
-SELECT src, yr, {rounded("(t / lag(t) OVER w - 1) * 100", 1)} AS growth_pct,
+SELECT src, yr, {rounded("(CAST(t AS DOUBLE) / CAST(lag(t) OVER w AS DOUBLE) - 1) * 100", 1)} AS growth_pct,
        {cents("t - lag(t) OVER w")} AS change,
-       CASE WHEN yr > 2016 THEN {rounded("((t / first(t) OVER w) ^ (1 / (yr - 2016)) - 1) * 100", 1)} END AS annual_pct
-FROM (SELECT src, yr, round(sum(allowed), 4) AS t FROM categorized WHERE yr >= 2016 AND yr <= 2022 GROUP BY ALL)
+       CASE WHEN yr > 2016
+            THEN {rounded("((CAST(t AS DOUBLE) / CAST(first(t) OVER w AS DOUBLE)) ^ (1 / (yr - 2016)) - 1) * 100", 1)}
+       END AS annual_pct
+FROM (SELECT src, yr, sum(allowed) AS t FROM categorized WHERE yr >= 2016 AND yr <= 2022 GROUP BY ALL)
 WINDOW w AS (PARTITION BY src ORDER BY yr)
 """,
 )
@@ -650,7 +772,7 @@ oracle(
     f"""
 SELECT 'allowed: ' || src AS label, {number_text("t", 0)} AS whole, {number_text("t / n", 1)} || '%' AS one,
        {number_text("t / n", 2)} AS two
-FROM (SELECT src, round(sum(allowed), 4) AS t, count(*) AS n FROM standard GROUP BY src)
+FROM (SELECT src, CAST(sum(allowed) AS DOUBLE) AS t, count(*) AS n FROM standard GROUP BY src)
 """,
 )
 oracle(
@@ -761,8 +883,19 @@ SELECT yr, src, dual, age_band, sex, count(*) AS n, {total("allowed")}, {total("
 """,
 )
 oracle("count_distinct", "SELECT src, n FROM raw_count")
-oracle("distinct_rows", "SELECT rndrng_npi FROM wellness_npi")
-oracle("cube_members", "SELECT * FROM member_count")
+oracle(
+    "distinct_rows",
+    "SELECT bene_id, CAST(svc_dt AS VARCHAR) AS svc_dt FROM eligible WHERE src = 'carrier' GROUP BY ALL",
+)
+oracle(
+    "cube_members",
+    """
+SELECT yr, if(grouping(dual) = 1, 'all', CAST(dual AS VARCHAR)) AS dual,
+       if(grouping(age_band) = 1, 'all', age_band) AS age_band, if(grouping(sex) = 1, 'all', sex) AS sex,
+       count(DISTINCT bene_id) AS members
+FROM enrolled WHERE yr >= 2016 AND yr <= 2022 GROUP BY yr, CUBE (dual, age_band, sex)
+""",
+)
 oracle(
     "grouping_label",
     """
@@ -834,9 +967,10 @@ oracle("pc_fqhc", f"SELECT {_line_shown} FROM fqhc_line")
 oracle(
     "primary_care_by_year",
     """
-SELECT yr, round(dollars, 0) AS primary_care_allowed, n AS primary_care_services,
-       round(dollars / ab, 2) AS primary_care_pmpm, round(100 * dollars / medical, 2) AS pct_of_medical,
-       round(100 * dollars / spent, 2) AS pct_of_total
+SELECT yr, CAST(round(dollars, 0) AS DOUBLE) AS primary_care_allowed, n AS primary_care_services,
+       round(CAST(dollars AS DOUBLE) / ab, 2) AS primary_care_pmpm,
+       round(CAST(100 * dollars AS DOUBLE) / CAST(medical AS DOUBLE), 2) AS pct_of_medical,
+       round(CAST(100 * dollars AS DOUBLE) / CAST(spent AS DOUBLE), 2) AS pct_of_total
 FROM care_year
 """,
 )
@@ -860,10 +994,10 @@ oracle("members_fact", "SELECT yr, dual, age_band, sex, members FROM member_coun
 part(
     "stay_rate",
     """
-SELECT yr, dual, age_band, sex, stays * 1.0 / mm AS rate, allowed / stays AS cost
-FROM (SELECT yr, 'all' AS dual, 'all' AS age_band, 'all' AS sex, sum(stays) AS stays, round(sum(allowed), 4) AS allowed
+SELECT yr, dual, age_band, sex, CAST(stays AS DOUBLE) / mm AS rate, CAST(allowed AS DOUBLE) / CAST(stays AS DOUBLE) AS cost
+FROM (SELECT yr, 'all' AS dual, 'all' AS age_band, 'all' AS sex, sum(stays) AS stays, sum(allowed) AS allowed
       FROM stay_cell GROUP BY yr
-      UNION ALL SELECT yr, CAST(dual AS VARCHAR), age_band, sex, stays, round(allowed, 4) FROM stay_cell)
+      UNION ALL SELECT yr, CAST(dual AS VARCHAR), age_band, sex, stays, allowed FROM stay_cell)
 JOIN (SELECT yr, 'all' AS dual, 'all' AS age_band, 'all' AS sex, ab AS mm FROM year_months
       UNION ALL SELECT yr, CAST(dual AS VARCHAR), age_band, sex, ab_ffs_mm FROM months_cell)
 USING (yr, dual, age_band, sex)
@@ -883,11 +1017,12 @@ FULL JOIN (SELECT * EXCLUDE (yr) FROM stay_rate WHERE yr = 2022) b USING (dual,
 oracle(
     "growth_contribution",
     f"""
-SELECT service_category, first_pmpm, last_pmpm, round(last_pmpm - first_pmpm, 2) AS pmpm_change,
-       {cents("100 * first_pmpm / sum(first_pmpm) OVER ()")} AS pct_of_first,
-       {cents("100 * (last_pmpm - first_pmpm) / sum(last_pmpm - first_pmpm) OVER ()")} AS pct_of_change
-FROM (SELECT service_category, ifnull(max(pmpm) FILTER (yr = 2016), 0.0) AS first_pmpm,
-             ifnull(max(pmpm) FILTER (yr = 2022), 0.0) AS last_pmpm
+SELECT service_category, CAST(a AS DOUBLE) AS first_pmpm, CAST(b AS DOUBLE) AS last_pmpm,
+       CAST(b - a AS DOUBLE) AS pmpm_change,
+       {cents("CAST(100 * a AS DOUBLE) / CAST(sum(a) OVER () AS DOUBLE)")} AS pct_of_first,
+       {cents("CAST(100 * (b - a) AS DOUBLE) / CAST(sum(b - a) OVER () AS DOUBLE)")} AS pct_of_change
+FROM (SELECT service_category, CAST(ifnull(max(pmpm) FILTER (yr = 2016), 0.0) AS DECIMAL(18, 2)) AS a,
+             CAST(ifnull(max(pmpm) FILTER (yr = 2022), 0.0) AS DECIMAL(18, 2)) AS b
       FROM category_pmpm WHERE yr IN (2016, 2022) GROUP BY service_category)
 """,
 )
@@ -895,15 +1030,15 @@ oracle(
     "utilization_rate",
     f"""
 SELECT yr, CAST(sum(stays) AS BIGINT) AS stays, any_value(ab) AS member_months,
-       {cents("sum(stays) * 12000.0 / any_value(ab)")} AS stays_per_1000,
-       {cents("round(sum(allowed), 4) / sum(stays)")} AS allowed_per_stay
+       {cents("CAST(sum(stays) AS DOUBLE) * 12000.0 / any_value(ab)")} AS stays_per_1000,
+       {cents("CAST(sum(allowed) AS DOUBLE) / CAST(sum(stays) AS DOUBLE)")} AS allowed_per_stay
 FROM stay_cell JOIN year_months USING (yr) GROUP BY yr
 """,
 )
 oracle(
     "fact_slice",
     f"""
-SELECT yr, {cents("s.t")} AS allowed, m.t AS ab_ffs_mm, members, {cents("s.t / m.t")} AS pmpm
+SELECT yr, {cents("s.t")} AS allowed, m.t AS ab_ffs_mm, members, {cents("CAST(s.t AS DOUBLE) / m.t")} AS pmpm
 FROM (SELECT yr, sum(allowed) AS t FROM spend_cell WHERE NOT dual AND sex = 'Female' GROUP BY yr) s
 JOIN (SELECT yr, CAST(sum(ab_ffs_mm) AS BIGINT) AS t FROM months_cell WHERE NOT dual AND sex = 'Female' GROUP BY yr) m
   USING (yr)

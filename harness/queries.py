@@ -19,14 +19,14 @@ from claimspark.functions.numbers import (
     number_text,
     ratio,
     round_half_up,
-    settle,
 )
 from claimspark.functions.parsing import bill_type, parse_claim_date, parse_int, parse_money
-from claimspark.operators import claim_lines, member_months, primary_care, service_categories
+from claimspark.operators import claim_lines, facts, member_months, primary_care, service_categories
 from claimspark.operators.facts import CELL
 from claimspark.plans import drivers, pmpm, validation
 from claimspark.sources.store import TableStore, export_csv, stack_facts, write_table
-from claimspark.sources.text_tables import INSTITUTIONAL_COST_SHARE
+from claimspark.sources.text_tables import INSTITUTIONAL_COST_SHARE, Sources
+from harness.session import ensure_shared_folder
 from harness.tables import FILE_NUMBERS, source_tables
 
 _open: dict[tuple[str, str], CostDrivers] = {}
@@ -36,6 +36,7 @@ def open_tables(spark: SparkSession, sf_dir: str) -> CostDrivers:
     """The analysis over one data folder; shared tables are written once per application and folder."""
     key = (spark.conf.get("spark.app.id", "session"), sf_dir.rstrip("/"))
     if key not in _open:
+        ensure_shared_folder(spark)
         store = TableStore.for_session(spark, key[1].strip("/").replace("/", "_"))
         _open[key] = CostDrivers(source_tables(spark, key[1], store), CodeLists.builtin(spark), store=store)
     return _open[key]
@@ -52,7 +53,7 @@ def query(build: Query) -> Query:
 
 
 def cents(c: Column | str) -> Column:
-    return round_half_up(settle(c), 2)
+    return round_half_up(c, 2)
 
 
 def money_sum(name: str) -> Column:
@@ -60,12 +61,13 @@ def money_sum(name: str) -> Column:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Dates as text, doubles rounded to cents."""
+    """Dates as text, amounts and doubles rounded to cents."""
     shown = []
     for f in df.schema.fields:
         c = F.col(f.name)
         kind = f.dataType.simpleString()
-        shown.append((c.cast("string") if kind == "date" else cents(c) if kind == "double" else c).alias(f.name))
+        amount = kind == "double" or kind.startswith("decimal")
+        shown.append((c.cast("string") if kind == "date" else cents(c) if amount else c).alias(f.name))
     return df.select(*shown)
 
 
@@ -87,11 +89,28 @@ _RAW_CELLS = {
 
 @query
 def scan_enrollment(cd):
-    return cd.sources["beneficiary"]
+    """Written as CSV with columns in another order, and read by the library's reader."""
+    table = cd.sources["beneficiary"]
+    folder = cd.store.new_path("enrollment_csv")
+    columns = [*reversed(table.columns)]
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.select(*columns).write.options(**blanks).csv(f"{folder}/beneficiary.csv", header=True)
+    return Sources.from_csv(table.sparkSession, folder)["beneficiary"]
 
 
 @query
 def scan_claims(cd):
+    """Institutional files written as CSV, the others as Parquet, and all read by the library's readers."""
+    spark = cd.sources["pde"].sparkSession
+    folder = cd.store.new_path("claim_files")
+    for src in FILE_NUMBERS:
+        writer = cd.sources[src].write
+        if src in INSTITUTIONAL_COST_SHARE:
+            writer.csv(f"{folder}/{src}.csv", header=True, sep="|")
+        else:
+            writer.parquet(f"{folder}/{src}")
+    from_csv, from_parquet = Sources.from_csv(spark, folder, sep="|"), Sources.from_parquet(spark, folder)
+
     def raw(src, df):
         clm, day, paid, allowed = _RAW_CELLS[src]
         return df.select(
@@ -103,7 +122,8 @@ def scan_claims(cd):
             F.col(allowed).alias("allowed_text"),
         )
 
-    return each_file(cd, raw)
+    files = [(src, (from_csv if src in INSTITUTIONAL_COST_SHARE else from_parquet)[src]) for src in FILE_NUMBERS]
+    return reduce(DataFrame.unionByName, [raw(src, df) for src, df in files])
 
 
 @query
@@ -125,9 +145,7 @@ def inline_values(cd):
 
 @query
 def materialize(cd):
-    table = cd.member_month()
-    if cd.store is not None:
-        table = write_table(table, f"{cd.store.root}/materialize_check", ["yr"], dynamic=True)
+    table = write_table(cd.member_month(), cd.store.new_path("materialize_check"), ["yr"], dynamic=True)
     return table.groupBy("yr").agg(F.count("*").alias("n"), F.count_if("ab_ffs").alias("ab_ffs"))
 
 
@@ -142,13 +160,11 @@ def derived_view(cd):
 
 @query
 def export_csv_query(cd):
-    growth = cd.pmpm_growth()
-    if cd.store is None:
-        return growth
-    path = f"{cd.store.root}/pmpm_growth.csv"
-    export_csv(growth, path, ["service_category", "yr"])
-    text = growth.sparkSession.read.csv(path, header=True, inferSchema=False)
-    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in growth.schema.fields])
+    """The text of the file itself."""
+    results = cd.pmpm_by_category()
+    path = cd.store.new_path("pmpm_by_category.csv")
+    export_csv(results, path, ["service_category", "yr"])
+    return results.sparkSession.read.csv(path, header=True, inferSchema=False)
 
 
 @query
@@ -277,7 +293,7 @@ def date_parts(cd):
 
 @query
 def round_half_up_query(cd):
-    totals = cd.claim_line().groupBy("src").agg(settle(F.sum("allowed")).alias("t"), F.count("*").alias("n"))
+    totals = cd.claim_line().groupBy("src").agg(F.sum("allowed").alias("t"), F.count("*").alias("n"))
     return totals.select(
         "src",
         round_half_up("t", 0).alias("whole"),
@@ -302,7 +318,7 @@ def growth_arithmetic(cd):
         cd.claim_line_cat()
         .where(cd.window.contains())
         .groupBy("src", "yr")
-        .agg(settle(F.sum("allowed")).alias("allowed"))
+        .agg(F.sum("allowed").alias("allowed"))
     )
     by_src = Window.partitionBy("src").orderBy("yr")
     previous, first = F.lag("allowed").over(by_src), F.first("allowed").over(by_src)
@@ -326,7 +342,7 @@ def abs_diff(cd):
 
 @query
 def format_check_text(cd):
-    totals = cd.claim_line().groupBy("src").agg(settle(F.sum("allowed")).alias("t"), F.count("*").alias("n"))
+    totals = cd.claim_line().groupBy("src").agg(F.sum("allowed").alias("t"), F.count("*").alias("n"))
     return totals.select(
         F.concat(F.lit("allowed: "), "src").alias("label"),
         number_text("t", 0).alias("whole"),
@@ -456,13 +472,15 @@ def left_join_default(cd):
     split = cd.pc_facility_split().groupBy("bene_id").agg(F.sum("allowed").alias("facility"))
     people = cd.member_month().select("bene_id").distinct()
     return people.join(split, "bene_id", "left").select(
-        "bene_id", cents(F.coalesce("facility", F.lit(0.0))).alias("facility")
+        "bene_id", cents(F.coalesce("facility", F.lit(0))).alias("facility")
     )
 
 
 @query
 def in_subquery_in_aggregate(cd):
-    return plain(validation.dialysis_dollars(cd.spend(), cd.sources["outpatient"], cd.window))
+    return plain(
+        validation.dialysis_dollars(validation.spend_sums(cd.spend(), cd.sources["outpatient"], cd.window))
+    )
 
 
 # Aggregations
@@ -498,12 +516,15 @@ def count_distinct(cd):
 
 @query
 def distinct_rows(cd):
-    return cd.pc_wellness_npi()
+    """Distinct person-days with a professional line."""
+    lines = cd.spend().where(F.col("src") == "carrier").select("bene_id", "svc_dt").distinct()
+    return plain(lines)
 
 
 @query
 def cube_members(cd):
-    return cd.members_fact()
+    """Distinct members for every combination, built anew from member months that need not be eligible."""
+    return facts.members_fact(cd.member_month().withColumn("ab_ffs", F.lit(True)), cd.window)
 
 
 @query

@@ -13,8 +13,9 @@ from claimspark.sources.store import TableStore
 from claimspark.sources.text_tables import MONTHS, Sources
 
 FIRST_YEAR, LAST_YEAR = 2015, 2023
-# Order dates move by this many months, from 1995-2001 to 2016-2022.
-DATE_SHIFT_MONTHS = 252
+# Order dates move by 21 years, from 1995-2001 to 2016-2022; some orders by a year less or more, so that there are
+# claims on both sides of the study years.
+YEARS_LATER = "CASE WHEN o_orderkey % 47 = 0 THEN 20 WHEN o_orderkey % 53 = 0 THEN 22 ELSE 21 END"
 # Remainder of the order key that selects a claim file; carrier shares the orders of outpatient so that facility and
 # professional lines of one person and day exist.
 FILE_NUMBERS = {
@@ -48,7 +49,7 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         "o_custkey",
         "o_totalprice",
-        F.add_months(F.to_date("o_orderdate"), DATE_SHIFT_MONTHS).alias("day"),
+        F.expr(f"add_months(to_date(o_orderdate), 12 * {YEARS_LATER})").alias("day"),
         (F.col("o_orderkey") % 8).cast("int").alias("k"),
     )
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -58,12 +59,8 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A person becomes 9 wide rows and later 108 months, so the narrow keys are spread over all tasks first."""
-    tasks = spark.sparkContext.defaultParallelism
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
-    people = keys.repartition(tasks, "c").withColumn(
-        "yr", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
-    )
+    people = keys.withColumn("yr", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))))
     columns = {
         "BENE_ID": "cast(c AS string)",
         "BENE_ENROLLMT_REF_YR": "cast(yr AS string)",
@@ -185,13 +182,14 @@ def claim_file(src: str, order_lines: DataFrame) -> DataFrame:
     return _supplier_lines(src, lines) if src in ("carrier", "dme") else _institutional(src, lines)
 
 
-def source_tables(spark: SparkSession, sf_dir: str, store: TableStore | None) -> Sources:
-    """The source tables as lazy projections; only the order join is staged."""
+def source_tables(spark: SparkSession, sf_dir: str, store: TableStore) -> Sources:
+    """The claim files as lazy projections of the staged order join; the wide enrollment table is staged by year."""
 
     def joined() -> DataFrame:
-        if store is None:
-            return order_line(spark, sf_dir)
-        return store.table("order_line", lambda: order_line(spark, sf_dir), ["k"])
+        return store.table("order_line", lambda: order_line(spark, sf_dir), ["k"], [sf_dir])
+
+    def enrolled() -> DataFrame:
+        return store.table("beneficiary", lambda: beneficiary(spark, sf_dir), ["BENE_ENROLLMT_REF_YR"], [sf_dir])
 
     claims = {src: lambda src=src: claim_file(src, joined()) for src in FILE_NUMBERS}
-    return Sources({"beneficiary": lambda: beneficiary(spark, sf_dir), **claims})
+    return Sources({"beneficiary": enrolled, **claims})

@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
@@ -180,10 +181,25 @@ def test_growth(spark):
     assert evaluate(spark, numbers.annual_growth(value, base, F.lit(2)), pair) == [pytest.approx(0.1)]
 
 
-def test_settled_sums_round_alike(spark):
-    # The same cents in two orders differ in the last bits; settled first, they round to the same dollar.
-    one, other = 0.1 + 0.2 + 0.2, 0.2 + 0.2 + 0.1
-    rounded = spark.range(1).select(
-        numbers.round_half_up(numbers.settle(F.lit(one)), 0), numbers.round_half_up(numbers.settle(F.lit(other)), 0)
+def test_rounding_is_done_once(spark):
+    """0.4449 is 0.44 in cents; rounded to four digits and then to two it would be too, but 0.44499 would not."""
+    check(spark, numbers.round_half_up(F.col(A).cast("decimal(18,5)"), 2), {"0.44499": 0.44, "0.445": 0.45, "-0.445": -0.45})
+
+
+def test_money_is_exact_or_fails(spark):
+    check(spark, parsing.parse_money(A), {"0.1": Decimal("0.1"), " 12.3456 ": Decimal("12.3456"), " ": 0, None: 0, "1e3": 1000})
+    with pytest.raises(Exception, match="more than four decimals"):
+        evaluate(spark, parsing.parse_money(A), [("0.12345",)])
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    """Doubles added over 1 and 13 partitions differ, the amounts do not."""
+    cents = spark.range(0, 400_000, 1, 1).select(
+        F.concat((F.col("id") * 7919 % 9_999_991).cast("string"), F.lit("."), F.lpad((F.col("id") % 100).cast("string"), 2, "0")).alias("a"),
+        "id",
     )
-    assert tuple(rounded.first()) == (1.0, 1.0)
+    as_double, as_money = F.sum(F.col("a").cast("double")), F.sum(parsing.parse_money("a"))
+    seen = {
+        tuple(cents.repartition(n, F.hash("id")).groupBy().agg(as_double, as_money).first()) for n in (1, 13, 64)
+    }
+    assert len({s[0] for s in seen}) > 1 and len({s[1] for s in seen}) == 1

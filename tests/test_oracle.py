@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from harness.oracle import ORACLE
+from harness.queries import bound_queries
 from tests.conftest import SF_TINY
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = bound_queries(), ORACLE
 DUCKDB_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -22,6 +24,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -9,55 +9,62 @@ from tests.conftest import values
 WINDOW = StudyWindow()
 YEARS = range(2016, 2023)
 
-# Allowed dollars, PMPM, growth %, change and compound growth % per category, 2016 to 2022.
-PUBLISHED = {
-    "Inpatient Hospital": (
-        "11140748 11467817 15232397 15337032 23665453 25906726 33499834",
-        "156.56 153.22 192.36 182.17 267.01 277.78 341.49",
-        "-2.1 25.5 -5.3 46.6 4.0 22.9",
-        "-3.34 39.14 -10.19 84.84 10.77 63.71",
-        "-2.1 10.8 5.2 14.3 12.2 13.9",
-    ),
-    "Long-Term Care": (
-        "4269415 3894432 5471711 5621033 5538014 6210522 6063383",
-        "60.0 52.03 69.1 66.76 62.48 66.59 61.81",
-        "-13.3 32.8 -3.4 -6.4 6.6 -7.2",
-        "-7.97 17.07 -2.34 -4.28 4.11 -4.78",
-        "-13.3 7.3 3.6 1.0 2.1 0.5",
-    ),
-    "Other": (
-        "26362 26485 28141 29452 32273 32593 35104",
-        "0.37 0.35 0.36 0.35 0.36 0.35 0.36",
-        "-5.4 2.9 -2.8 2.9 -2.8 2.9",
-        "-0.02 0.01 -0.01 0.01 -0.01 0.01",
-        "-5.4 -1.4 -1.8 -0.7 -1.1 -0.5",
-    ),
-    "Outpatient Hospital": (
-        "72294916 86914686 87498990 79150520 87034639 97289879 109983605",
-        "1015.95 1161.28 1104.95 940.12 981.98 1043.17 1121.14",
-        "14.3 -4.9 -14.9 4.5 6.2 7.5",
-        "145.33 -56.33 -164.83 41.86 61.19 77.97",
-        "14.3 4.3 -2.6 -0.8 0.5 1.7",
-    ),
-    "Professional": (
-        "17414847 18409015 19769018 21465905 23159557 24110440 25249357",
-        "244.73 245.97 249.65 254.96 261.3 258.52 257.38",
-        "0.5 1.5 2.1 2.5 -1.1 -0.4",
-        "1.24 3.68 5.31 6.34 -2.78 -1.14",
-        "0.5 1.0 1.4 1.7 1.1 0.8",
-    ),
-    "Retail Pharmacy": (
-        "8816921 9417896 10458583 11174197 11901246 12221648 13741120",
-        "179.23 180.8 190.57 192.43 195.52 191.84 205.21",
-        "0.9 5.4 1.0 1.6 -1.9 7.0",
-        "1.57 9.77 1.86 3.09 -3.68 13.37",
-        "0.9 3.1 2.4 2.2 1.4 2.3",
-    ),
-}
-
-# Eligible member months, and those with Part D, 2016 to 2022.
-MONTHS = "71160 74844 79188 84192 88632 93264 98100"
-PART_D_MONTHS = "49194 52090 54881 58068 60871 63708 66962"
+# Year, category, allowed dollars, PMPM, growth %, change, compound growth %.
+PUBLISHED = [
+    (2016, "Inpatient Hospital", 11140748.0, 156.56, None, None, None),
+    (2017, "Inpatient Hospital", 11467817.0, 153.22, -2.1, -3.34, -2.1),
+    (2018, "Inpatient Hospital", 15232397.0, 192.36, 25.5, 39.14, 10.8),
+    (2019, "Inpatient Hospital", 15337032.0, 182.17, -5.3, -10.19, 5.2),
+    (2020, "Inpatient Hospital", 23665453.0, 267.01, 46.6, 84.84, 14.3),
+    (2021, "Inpatient Hospital", 25906726.0, 277.78, 4.0, 10.77, 12.2),
+    (2022, "Inpatient Hospital", 33499834.0, 341.49, 22.9, 63.71, 13.9),
+    (2016, "Long-Term Care", 4269415.0, 60.0, None, None, None),
+    (2017, "Long-Term Care", 3894432.0, 52.03, -13.3, -7.97, -13.3),
+    (2018, "Long-Term Care", 5471711.0, 69.1, 32.8, 17.07, 7.3),
+    (2019, "Long-Term Care", 5621033.0, 66.76, -3.4, -2.34, 3.6),
+    (2020, "Long-Term Care", 5538014.0, 62.48, -6.4, -4.28, 1.0),
+    (2021, "Long-Term Care", 6210522.0, 66.59, 6.6, 4.11, 2.1),
+    (2022, "Long-Term Care", 6063383.0, 61.81, -7.2, -4.78, 0.5),
+    (2016, "Other", 26362.0, 0.37, None, None, None),
+    (2017, "Other", 26485.0, 0.35, -5.4, -0.02, -5.4),
+    (2018, "Other", 28141.0, 0.36, 2.9, 0.01, -1.4),
+    (2019, "Other", 29452.0, 0.35, -2.8, -0.01, -1.8),
+    (2020, "Other", 32273.0, 0.36, 2.9, 0.01, -0.7),
+    (2021, "Other", 32593.0, 0.35, -2.8, -0.01, -1.1),
+    (2022, "Other", 35104.0, 0.36, 2.9, 0.01, -0.5),
+    (2016, "Outpatient Hospital", 72294916.0, 1015.95, None, None, None),
+    (2017, "Outpatient Hospital", 86914686.0, 1161.28, 14.3, 145.33, 14.3),
+    (2018, "Outpatient Hospital", 87498990.0, 1104.95, -4.9, -56.33, 4.3),
+    (2019, "Outpatient Hospital", 79150520.0, 940.12, -14.9, -164.83, -2.6),
+    (2020, "Outpatient Hospital", 87034639.0, 981.98, 4.5, 41.86, -0.8),
+    (2021, "Outpatient Hospital", 97289879.0, 1043.17, 6.2, 61.19, 0.5),
+    (2022, "Outpatient Hospital", 109983605.0, 1121.14, 7.5, 77.97, 1.7),
+    (2016, "Professional", 17414847.0, 244.73, None, None, None),
+    (2017, "Professional", 18409015.0, 245.97, 0.5, 1.24, 0.5),
+    (2018, "Professional", 19769018.0, 249.65, 1.5, 3.68, 1.0),
+    (2019, "Professional", 21465905.0, 254.96, 2.1, 5.31, 1.4),
+    (2020, "Professional", 23159557.0, 261.3, 2.5, 6.34, 1.7),
+    (2021, "Professional", 24110440.0, 258.52, -1.1, -2.78, 1.1),
+    (2022, "Professional", 25249357.0, 257.38, -0.4, -1.14, 0.8),
+    (2016, "Retail Pharmacy", 8816921.0, 179.23, None, None, None),
+    (2017, "Retail Pharmacy", 9417896.0, 180.8, 0.9, 1.57, 0.9),
+    (2018, "Retail Pharmacy", 10458583.0, 190.57, 5.4, 9.77, 3.1),
+    (2019, "Retail Pharmacy", 11174197.0, 192.43, 1.0, 1.86, 2.4),
+    (2020, "Retail Pharmacy", 11901246.0, 195.52, 1.6, 3.09, 2.2),
+    (2021, "Retail Pharmacy", 12221648.0, 191.84, -1.9, -3.68, 1.4),
+    (2022, "Retail Pharmacy", 13741120.0, 205.21, 7.0, 13.37, 2.3),
+]
+
+# Year, eligible member months, and those with Part D.
+MONTHS = [
+    (2016, 71_160, 49_194),
+    (2017, 74_844, 52_090),
+    (2018, 79_188, 54_881),
+    (2019, 84_192, 58_068),
+    (2020, 88_632, 60_871),
+    (2021, 93_264, 63_708),
+    (2022, 98_100, 66_962),
+]
 
 # Medical, pharmacy and total PMPM and growth of the total, 2016 to 2022.
 TOTALS = [
@@ -74,41 +81,27 @@ TOTALS = [
 STAYS = [(2016, 1945, 11140747.50), (2022, 3248, 33499834.10)]
 
 
-def numbers(text):
-    return [float(x) for x in text.split()]
-
-
 @pytest.fixture
 def mm_fact(spark):
-    rows = zip(YEARS, map(int, MONTHS.split()), map(int, PART_D_MONTHS.split()), strict=True)
     # Two cells a year, so that the facts really are added up.
-    cells = [(yr, dual, ab - 100 if dual else 100, d - 7 if dual else 7) for yr, ab, d in rows for dual in (True, False)]
+    cells = [
+        (yr, dual, ab - 100 if dual else 100, d - 7 if dual else 7) for yr, ab, d in MONTHS for dual in (True, False)
+    ]
     return spark.createDataFrame(cells, "yr int, dual boolean, ab_ffs_mm bigint, partd_mm bigint")
 
 
 @pytest.fixture
 def by_category(spark, mm_fact):
-    rows = [
-        (yr, category, sub, allowed / 2)
-        for category, (dollars, *_) in PUBLISHED.items()
-        for yr, allowed in zip(YEARS, numbers(dollars), strict=True)
-        for sub in ("a", "b")
-    ]
+    rows = [(yr, category, sub, allowed / 2) for yr, category, allowed, *_ in PUBLISHED for sub in ("a", "b")]
     spend = spark.createDataFrame(rows, "yr int, service_category string, subcategory string, allowed double")
     return pmpm.pmpm_by_category(spend, mm_fact)
 
 
 def test_pmpm_by_category(by_category):
+    months = {yr: (ab, rx) for yr, ab, rx in MONTHS}
     expected = [
-        (yr, category, allowed, months, value)
-        for category, (dollars, per_member, *_) in PUBLISHED.items()
-        for yr, allowed, months, value in zip(
-            YEARS,
-            numbers(dollars),
-            map(int, (PART_D_MONTHS if category == "Retail Pharmacy" else MONTHS).split()),
-            numbers(per_member),
-            strict=True,
-        )
+        (yr, category, allowed, months[yr][category == "Retail Pharmacy"], value)
+        for yr, category, allowed, value, *_ in PUBLISHED
     ]
     assert values(by_category) == sorted(expected, key=repr)
 
@@ -118,12 +111,7 @@ def test_pmpm_total(by_category):
 
 
 def test_pmpm_growth(by_category):
-    expected = []
-    for category, (_, per_member, yoy, change, cagr) in PUBLISHED.items():
-        rows = zip(
-            YEARS, numbers(per_member), *([None, *numbers(x)] for x in (yoy, change, cagr)), strict=True
-        )
-        expected += [(yr, category, *rest) for yr, *rest in rows]
+    expected = [(yr, category, value, *growth) for yr, category, _, value, *growth in PUBLISHED]
     assert values(pmpm.pmpm_growth(by_category, WINDOW)) == sorted(expected, key=repr)
 
 

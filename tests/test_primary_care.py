@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tests.conftest import values
 WINDOW = StudyWindow()
 SPEND = (
     "src string, bene_id string, clm_id string, line_num int, svc_dt date, pos_cd string, spclty string, "
-    "hcpcs_cd string, rndrng_npi string, allowed double, medicare_primary boolean, yr int"
+    "hcpcs_cd string, rndrng_npi string, allowed decimal(18,4), medicare_primary boolean, yr int"
 )
 DAY = datetime.date(2017, 5, 4)
 
@@ -30,6 +31,7 @@ def spend(spark):
         )
         names = [part.split()[0] for part in SPEND.split(", ")]
         data = [tuple((base | {"clm_id": str(i)} | row)[n] for n in names) for i, row in enumerate(rows)]
+        data = [tuple(Decimal(str(x)) if isinstance(x, float) else x for x in row) for row in data]
         return spark.createDataFrame(data, SPEND)
 
     return make
@@ -74,6 +76,24 @@ def test_step_5_drops_physicians_without_wellness_visits(spend, lists):
     assert "is_physician" not in kept.columns
 
 
+def test_step_5_looks_up_everyone_not_marked_0(spark, spend, lists):
+    """A user's list may mark physicians with anything, or not at all; only ``'0'`` is exempt."""
+    marks = [("01", "a", "1"), ("08", "b", "Y"), ("11", "c", None), ("50", "d", "0")]
+    own = CodeLists(
+        lists.service_codes,
+        lists.places,
+        spark.createDataFrame(marks, "prvdr_spclty string, description string, is_physician string"),
+    )
+    rows = spend(
+        {"hcpcs_cd": "G0439", "rndrng_npi": "n1"},
+        *[{"spclty": spclty, "rndrng_npi": npi} for spclty, _, _ in marks for npi in ("n1", "n2")],
+    )
+    _, kept = steps(rows, own)
+    assert values(kept, "spclty", "rndrng_npi") == [
+        ("01", "n1"), ("01", "n1"), ("08", "n1"), ("11", "n1"), ("50", "n1"), ("50", "n2"),
+    ]
+
+
 def test_step_5_counts_wellness_visits_of_any_year(spend, lists):
     rows = spend({"hcpcs_cd": "G0439", "yr": 2015}, {}, {"rndrng_npi": "n2"})
     _, kept = steps(rows, lists)

@@ -130,8 +130,8 @@ def skewed_lines(spark):
         "spclty": F.lit("01"),
         "hcpcs_cd": F.when(F.col("id") % 50 == 0, "G0439").otherwise("99213"),
         "rndrng_npi": F.when(hot, "n").otherwise(F.concat(F.lit("n"), F.col("id") % 499)),
-        "paid": F.lit(1.0),
-        "allowed": F.lit(2.0),
+        "paid": F.lit(1).cast("decimal(18,4)"),
+        "allowed": F.lit(2).cast("decimal(18,4)"),
         "medicare_primary": F.lit(True),
         "medicare_paid": F.lit(True),
     }
@@ -213,7 +213,53 @@ def test_claim_counts_survive_a_hot_file(tables):
 
 
 def test_settings_grow_with_the_input():
-    small, large = scale_settings(1 << 30, 8), scale_settings(100 << 40, 4000)
-    assert small["spark.sql.shuffle.partitions"] == "8"
-    assert large["spark.sql.shuffle.partitions"] == "50000"
-    assert large["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
+    small, large, larger = (scale_settings(tb << 40, 4000) for tb in (50, 100, 1000))
+    partitions = [int(x["spark.sql.shuffle.partitions"]) for x in (small, large, larger)]
+    assert partitions == [25600, 51200, 512000]
+    assert scale_settings(1 << 30, 8)["spark.sql.shuffle.partitions"] == "8"
+    fixed = [{k: v for k, v in x.items() if "Bytes" not in k and "partitions" not in k} for x in (small, large, larger)]
+    assert fixed[0] == fixed[1] == fixed[2] == {
+        k: v for k, v in scale_settings(1 << 20, 4).items() if "Bytes" not in k and "partitions" not in k
+    }
+
+
+def scans(df, folder: str) -> int:
+    return len(re.findall(rf"FileScan parquet [^\n]*{folder}", plan(df)))
+
+
+LONG_PATHS = {"spark.sql.maxMetadataStringLength": "2000"}
+
+
+def test_reports_read_raw_files_a_fixed_number_of_times(spark, tmp_path, with_conf):
+    """Once the shared tables are there, the checks count each claim file once and the enrollment table once."""
+    with_conf(LONG_PATHS)
+    root = f"{tmp_path}/store"
+    store = TableStore(root)
+    cd = CostDrivers(source_tables(spark, SF_TINY, store), CodeLists.builtin(spark), store=store)
+    report = cd.validation()
+    assert scans(report, f"{root}/order_line") == 8 + 1  # check 1 by file; check 10 the clinic lines
+    assert scans(report, f"{root}/beneficiary") == 1
+    for name in ("claim_line-", "claim_line_cat-", "spend-"):
+        assert scans(report, f"{root}/{name}") == 0
+    by_year = cd.primary_care_by_year()
+    assert scans(by_year, f"{root}/order_line") == 1
+    assert scans(by_year, f"{root}/claim_line") == scans(by_year, f"{root}/spend-") == 0
+
+
+def test_checks_read_claims_twice_and_spend_once(tables, with_conf):
+    with_conf(LONG_PATHS)
+    text = [plan(x) for x in (validation.claim_sums(tables.claim_line()), validation.category_sums(tables.claim_line_cat(), tables.window))]
+    assert [t.count("FileScan") for t in text] == [1, 1]
+    spend = plan(validation.spend_sums(tables.spend(), tables.sources["outpatient"], tables.window))
+    assert len(re.findall(r"FileScan parquet [^\n]*/spend-", spend)) == 1
+
+
+def test_facts_read_the_study_years_only(tables):
+    for fact in (facts.spend_fact(tables.spend(), tables.window), facts.ip_fact(tables.spend(), tables.window), facts.pc_fact(tables.pc_step5(), tables.window)):
+        assert re.search(r"PartitionFilters: \[[^\]]*yr#\d+ >= 2016", plan(fact))
+
+
+def test_members_are_reduced_to_a_number(tables):
+    text = plan(facts.members_fact(tables.member_month(), tables.window))
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(yr#\d+, bene_id#\d+", text)) == 1

@@ -1,28 +1,34 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
-from claimspark import CodeLists, CostDrivers, Sources
+from claimspark import CodeLists, CostDrivers, Sources, StudyWindow
 from claimspark.sources import store
 from claimspark.sources.text_tables import REQUIRED_COLUMNS, read_text_csv
 from tests.conftest import person, values
 
 
-def test_shared_folder_comes_from_the_session(spark, monkeypatch):
-    settings = {"spark.checkpoint.dir": "hdfs://shared/checkpoints/", "spark.master": "yarn"}
+class Session:
+    """A session with the settings of a test."""
 
-    class Session:
-        class conf:
-            @staticmethod
-            def get(key, default=None):
-                return settings.get(key, default)
+    def __init__(self, folder=None, checkpoint=None):
+        self.conf = self
+        self.sparkContext = self
+        self.folder, self.checkpoint = folder, checkpoint
 
-    assert store.shared_folder(Session) == "hdfs://shared/checkpoints"
-    # A cluster without a shared folder stages nothing; a single machine gets a folder of its own.
-    del settings["spark.checkpoint.dir"]
-    assert store.shared_folder(Session) is None
-    settings["spark.master"] = "local[4]"
-    assert "claimspark-" in store.shared_folder(Session)
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" and self.folder else default
+
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+
+def test_shared_folder_comes_from_the_session():
+    assert store.shared_folder(Session("hdfs://shared/checkpoints/")) == "hdfs://shared/checkpoints"
+    assert store.shared_folder(Session(checkpoint="s3a://b/c")) == "s3a://b/c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(Session())
 
 
 def test_tables_are_written_once(spark, tmp_path):
@@ -37,7 +43,25 @@ def test_tables_are_written_once(spark, tmp_path):
     assert built == [1]
     assert first.columns == ["n", "src", "flag"]
     assert values(first) == values(second) == [(1, "a", True)]
-    assert glob.glob(f"{tmp_path}/t/src=a/*.parquet")
+    assert glob.glob(f"{tmp_path}/t-*/src=a/*.parquet")
+
+
+def test_tables_belong_to_their_inputs(spark, tmp_path):
+    one, other = store.TableStore(str(tmp_path)), store.TableStore(str(tmp_path))
+
+    def number(n):
+        return lambda: spark.range(n, n + 1)
+
+    first = one.table("t", number(1), inputs=["a", {}])
+    assert values(one.table("t", number(2), inputs=["b", {}])) == [(2,)]
+    assert values(other.table("t", number(3), inputs=["a", {}])) == [(3,)]
+    assert values(first) == [(1,)]
+
+
+def test_partitioned_writes_make_few_files(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 40).selectExpr("id", "id % 8 AS k")
+    store.write_table(df, f"{tmp_path}/t", ["k"])
+    assert len(glob.glob(f"{tmp_path}/t/k=*/*.parquet")) <= 16
 
 
 def test_dynamic_overwrite_replaces_single_partitions(spark, tmp_path):
@@ -58,10 +82,27 @@ def test_csv_export_is_one_sorted_file(spark, tmp_path):
         "yr,name,v,note",
         '1,A,,""',
         '1,"a, b",0.1,x',
-        "2,b,1.205848778E9,",
+        "2,b,1205848778.0,",
     ]
 
 
+def test_numbers_of_an_export_are_plain(spark, tmp_path):
+    numbers = [11140748.0, 0.1, -2.5e-7, 1e22, 123456.789, float("nan"), None, -0.5, 5e-324, 100.0]
+    df = spark.createDataFrame(list(enumerate(numbers)), "k int, v double").withColumn("d", F.lit("7.2500").cast("decimal(9,4)"))
+    store.export_csv(df, f"{tmp_path}/out", ["k"])
+    (part,) = glob.glob(f"{tmp_path}/out/*.csv")
+    cells = [line.split(",") for line in open(part).read().splitlines()[1:]]
+    assert [c[1] for c in cells][:6] == ["11140748.0", "0.1", "-0.00000025", "10000000000000000000000.0", "123456.789", "NaN"]
+    assert [float(c[1]) for c in cells if c[1] not in ("", "NaN")] == [n for n in numbers if n is not None and n == n]
+    assert {c[2] for c in cells} == {"7.25"}
+
+
+def test_row_tables_are_not_exported_as_one_file(spark, tmp_path):
+    store.export_csv(spark.range(100), f"{tmp_path}/fits", ["id"], most_rows=100)
+    with pytest.raises(Exception, match="too many for a single file"):
+        store.export_csv(spark.range(101), f"{tmp_path}/out", ["id"], most_rows=100)
+
+
 def test_csv_cells(spark, tmp_path):
     columns = REQUIRED_COLUMNS["pde"]
     header = ["EXTRA", *reversed(columns)]
@@ -91,7 +132,7 @@ def csv_folder(tmp_path):
 
 
 def test_from_csv_files_to_growth(spark, csv_folder, tmp_path):
-    """The whole analysis from text files, with and without stored tables."""
+    """The whole analysis from text files, with a store of its own and with the session's folder."""
     expected = [
         (2016, "Inpatient Hospital", 50.0, None, None, None),
         (2016, "Retail Pharmacy", 2.0, None, None, None),
@@ -106,3 +147,50 @@ def test_from_csv_files_to_growth(spark, csv_folder, tmp_path):
 def test_sources_know_their_tables(spark):
     with pytest.raises(ValueError, match="claims"):
         Sources({"claims": spark.range(1)})
+
+
+def test_from_parquet_files(spark, csv_folder, tmp_path):
+    for name in REQUIRED_COLUMNS:
+        read_text_csv(spark, f"{csv_folder}/{name}.csv", name).write.parquet(f"{tmp_path}/parquet/{name}")
+    one, other = Sources.from_csv(spark, csv_folder), Sources.from_parquet(spark, f"{tmp_path}/parquet")
+    for name in REQUIRED_COLUMNS:
+        assert values(one[name]) == values(other[name])
+    typed = spark.range(1).selectExpr(*[f"id AS {c}" for c in REQUIRED_COLUMNS["pde"]])
+    typed.write.parquet(f"{tmp_path}/typed/pde")
+    with pytest.raises(ValueError, match="must be all text"):
+        Sources.from_parquet(spark, f"{tmp_path}/typed")["pde"]
+
+
+def test_a_file_with_other_columns_fails(spark, tmp_path):
+    columns = REQUIRED_COLUMNS["pde"]
+    (tmp_path / "pde.csv").mkdir()
+    for name, header in (("a", columns), ("b", columns[::-1])):
+        (tmp_path / "pde.csv" / f"{name}.csv").write_text(f"{','.join(header)}\n{','.join(f'v_{c}' for c in header)}\n")
+    table = read_text_csv(spark, f"{tmp_path}/pde.csv", "pde")
+    for df in (table, table.select("BENE_ID")):
+        with pytest.raises(Exception, match="(?i)header"):
+            df.collect()
+
+
+def test_two_windows_over_one_store(spark, csv_folder, tmp_path):
+    shared = store.TableStore(f"{tmp_path}/store")
+    sources, lists = Sources.from_csv(spark, csv_folder), CodeLists.builtin(spark)
+    wide = CostDrivers(sources, lists, StudyWindow(), store=shared)
+    narrow = CostDrivers(sources, lists, StudyWindow(2017, 2017, 2017), store=shared)
+    alone = CostDrivers(sources, lists, StudyWindow(2017, 2017, 2017), store=store.TableStore(f"{tmp_path}/alone"))
+    assert {r[0] for r in values(wide.mm_fact())} == {2016, 2017}
+    for name in ("mm_fact", "spend_fact", "members_fact", "pmpm_growth", "validation"):
+        assert values(getattr(narrow, name)()) == values(getattr(alone, name)())
+
+
+def test_two_code_lists_over_one_store(spark, csv_folder, tmp_path):
+    shared = store.TableStore(f"{tmp_path}/store")
+    sources = Sources.from_csv(spark, csv_folder)
+    full = CodeLists.builtin(spark)
+    none = CodeLists(full.service_codes.limit(0), full.places, full.specialties)
+    paths = []
+    for lists in (full, none):
+        cd = CostDrivers(sources, lists, store=shared)
+        paths.append(cd.pc_step5().inputFiles())
+        assert cd.spend().inputFiles() == CostDrivers(sources, full, store=shared).spend().inputFiles()
+    assert not set(paths[0]) & set(paths[1])
