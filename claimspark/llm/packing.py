@@ -6,6 +6,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,49 +16,93 @@ from pyspark.sql import functions as F
 from claimspark.llm.scratch import slots, stored
 from claimspark.llm.text import slices
 
-#: White space that only one of Python and the tokenizer splits at, and the start of special tokens.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+#: The one kind of tokenizer whose texts are put together from words: what it does before it looks at single words.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+_SPLIT = (
+    f'Sequence(pretokenizers=[Split(pattern=Regex("{_WORD_PATTERN}"), behavior=Removed, invert=True), '
+    "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"
+)
+#: White space that only one of Python and the tokenizer splits at, the start of special tokens, and a letter whose
+#: small form has two characters.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0İ]|<\\|")
+_BEYOND_LATIN = re.compile("[ɐ-\U0010ffff]")
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, for tokenizers that never join across blanks.
-
-    Most words of a corpus come again and again, so ids are kept by word and a text is put together from them. Texts with
-    unusual white space or special tokens go to the tokenizer whole. The kept words are dropped when there are too many.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    A tokenizer that lower-cases and never joins across blanks gives a word the same ids wherever it stands, and most
+    words of a corpus come again and again. So ids are kept by word and a text is put together from them; new words are
+    looked up in one call per batch. Latin texts are lower-cased and new words split here, by the tokenizer's own
+    pattern; in the simple range up to U+024F that is the same in any version of Unicode. Words of other texts go through
+    the whole tokenizer, texts with unusual white space or special tokens go there as they are. With tokenizers of
+    another kind all texts do. The kept words are dropped when there are too many.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 250_000):
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = str(self.tokenizer.normalizer) == _NORMAL and str(self.tokenizer.pre_tokenizer) == _SPLIT
+        self.bare = Tokenizer(self.tokenizer.model)  # for words that are lower-cased and split
+        self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pattern = regex.compile(_WORD_PATTERN)
         self.most_words = most_words
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words: all in one call, then cut where the tokenizer says a word ends."""
+    def look_up(self, tokenizer, words: list[str]) -> None:
+        """Ids of words: all in one call, then cut where the tokenizer says a word ends."""
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            encoding = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4")
-            of = np.array(encoding.word_ids, np.int64)
-            cuts = np.searchsorted(of, np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
+            encoding = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(encoding.ids, "<u4").tobytes()
+            cuts = np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(part) + 1)) * 4
             self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of new lower-case Latin words: those of letters as they are, others from the parts the pattern finds."""
+        known, find = self.known, self.pattern.findall
+        whole = [w for w in words if w.isalpha()]
+        rest = [(w, find(w)) for w in words if not w.isalpha()]
+        new = {p for _, ps in rest for p in ps if p not in known}
+        new.update(whole)
+        self.look_up(self.bare, list(new))
+        for w, ps in rest:
+            known[w] = b"".join([known[p] for p in ps])
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        if not self.by_words:
+            return [self.whole(t) for t in texts]
         if len(self.known) > self.most_words:
             self.known.clear()
-        new = set().union(*[w for w in split if w]) - self.known.keys()
-        if new:
-            self.learn(list(new))
+        split: list[list[str] | None] = []
+        latin: set[str] = set()
+        others: set[str] = set()
+        for t in texts:
+            odd = _ODD.search(t)
+            simple = not odd and (t.isascii() or not _BEYOND_LATIN.search(t))
+            words = None if odd else t.lower().split() if simple else t.split()
+            split.append(words)
+            if words:
+                (latin if simple else others).update(words)
         known = self.known
+        self.look_up(self.tokenizer, [w for w in others if w not in known])
+        self.learn([w for w in latin if w not in known])
         return [self.whole(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that words stay known from task to task."""
+    return Encoder(path)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -71,11 +116,11 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        ids_of = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
                 row, piece, start, crc, ids = [], [], [], [], []
-                for k, raw in enumerate(encoder.encode([x or "" for x in part.column("text").to_pylist()])):
+                for k, raw in enumerate(ids_of.encode([x or "" for x in part.column("text").to_pylist()])):
                     raw += end
                     for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]
