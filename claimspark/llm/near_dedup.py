@@ -8,6 +8,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +126,80 @@ def weighted_jaccard(texts: pa.Array, others: pa.Array, size: int) -> tuple[np.n
     return common / (np.bincount(row, count, n) - common), keys
 
 
+def sketches(column: pa.Array, size: int, most: int) -> list[np.ndarray]:
+    """The ``most`` smallest 32-bit hashes of each text's shingles, a shingle that occurs n times counting as n of them.
+
+    Texts with no more than that keep all, so comparing them is exact but for hashes that happen to be equal.
+    """
+    row, shingle, count = shingles(column, size)
+    one = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(one)) - np.repeat(np.cumsum(count) - count, count)
+    value = (mix(shingle[one] + nth.astype(np.uint64) * _FEW) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((value, row[one]))
+    cuts = np.searchsorted(row[one], np.arange(len(column) + 1))
+    value = value[order]
+    return [np.unique(value[a:b])[:most] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def close_pairs(
+    left: list[np.ndarray], right: list[np.ndarray], most: int, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each pair of sketches can belong to texts of the given similarity, and whether it surely does.
+
+    Of two sketches the one that ends first is complete for the other one up to there; the estimate counts what both have
+    up to that end. Complete sketches are compared as they are. For others the estimate can be off by five standard
+    errors either way, which is wrong with a probability below one in a million.
+    """
+    _, of = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    by_value = np.argsort(of, kind="stable")
+    of, row = of[by_value], row[by_value]
+    shared = np.bincount(of) > 1
+    row, column = row[shared[of]], (np.cumsum(shared) - 1)[of[shared[of]]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):  # so that memory doesn't grow with the texts
+        a, b = np.searchsorted(column, (at, at + 4096))
+        has = np.zeros((len(left) + len(right), min(4096, int(shared.sum()) - at)), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        common += has[: len(left)] @ has[len(left) :].T
+    end = lambda xs: np.array([x[-1] if len(x) >= most else 1 << 32 for x in xs], np.float64)
+    ends_l, ends_r = end(left), end(right)
+    to_l = np.stack([np.searchsorted(y, ends_l, "right") for y in right], axis=1)  # of y up to the end of x
+    to_r = np.stack([np.searchsorted(x, ends_r, "right") for x in left], axis=0)
+    first_l = ends_l[:, None] <= ends_r[None, :]
+    sizes_l, sizes_r = np.array([len(x) for x in left])[:, None], np.array([len(y) for y in right])[None, :]
+    seen = np.where(first_l, sizes_l + to_l, to_r + sizes_r) - common
+    whole = np.minimum(ends_l[:, None], ends_r[None, :]) >= 1 << 32
+    slack = np.where(whole, 0.0, 5 * np.sqrt(similarity * (1 - similarity) / np.maximum(seen, 1)))
+    return common >= (similarity - slack) * seen - 1e-6, common >= (similarity + slack) * seen - 1e-6
+
+
+def connecting(a: np.ndarray, b: np.ndarray, main: int) -> np.ndarray:
+    """Places of pairs of labels (a, b) that are enough to connect what all of them connect, those with ``main`` first.
+
+    So other blocks with the same ``main`` choose the same pairs of labels.
+    """
+    names, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    above = list(range(len(names)))
+
+    def root(k: int) -> int:
+        while above[k] != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    pairs, first = np.unique(np.stack([of[: len(a)], of[len(a) :]]), axis=1, return_index=True)
+    order = np.argsort(~(names[pairs] == main).any(axis=0), kind="stable")
+    pairs, first = pairs[:, order], first[order]
+    needed = []
+    for x, y, k in zip(*pairs.tolist(), first.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            above[x] = y
+            needed.append(k)
+    return np.array(needed, np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the same label for nodes that edges (u, v) connect, whatever way round.
 
@@ -157,12 +232,36 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def tile_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (bucket, left_tile, right_tile) at a time, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("bucket", "left_tile", "right_tile")]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            if any(last.column(c)[0].as_py() != k[0] for c, k in zip(("bucket", "left_tile", "right_tile"), keys, strict=True)):
+                yield pa.Table.from_batches(held)
+                held = []
+        for a, b in zip(np.r_[0, new], np.r_[new, batch.num_rows], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = 0.8,
     shingle_words: int = 5,
     bands: int = 42,
     rows: int = 7,
+    sketch_size: int = 2048,
+    tile: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -173,8 +272,10 @@ def near_duplicates(
     probability 0.99995, closer pairs more surely. Texts with the same shingle counts are one node from the start.
 
     Within a band's bucket all nodes are first compared with its smallest. Then, in buckets whose nodes fell into several
-    components, every pair of nodes from different components is compared too, so no link within a bucket is missed,
-    while a bucket of copies of one text costs one comparison each. Every comparison is of whole texts.
+    components, every pair of nodes from different components is looked at too, so no link within a bucket is missed,
+    while a bucket of copies of one text costs one comparison each. For these pairs sketches of ``sketch_size`` hashes
+    decide which are worth comparing (see ``close_pairs``), block by block of ``tile`` nodes; of pairs that are sure to be
+    links as many are kept as connect the components, of the others all. Every link is confirmed on whole texts.
 
     A null text is empty; texts without words are alike. Null ids come last in a class. Rows that repeat an id are rows of
     their own. An empty table gives an empty result; other columns are ignored. Content keys have 64 bits.
@@ -218,15 +319,92 @@ def near_duplicates(
     )
     shared = stored(members.select("node", "bucket").join(buckets, "bucket"), "buckets")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node, text of the distinct nodes in ``wanted``; a node has several where its id names several texts."""
+        ids = wanted.join(nodes.select("node", "text_id"), "node")
+        return source.join(ids, F.col("doc_id").eqNullSafe(F.col("text_id"))).select("node", "text").dropDuplicates(["node", "text"])
+
+    def pairs_across(marked: DataFrame) -> DataFrame:
+        """Pairs of nodes that share a bucket but no component, and whose sketches are close.
+
+        A bucket's nodes outside its largest component are compared with all its nodes. Both sides are cut into tiles, a
+        pair of tiles is one piece of work, and only close pairs become rows.
+        """
+        by_label = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        plan = (
+            by_label.groupBy("bucket")
+            .agg(
+                F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_labels")
+            )
+            .where("n_labels > 1")
+            .select(
+                F.col("bucket").alias("in_bucket"),
+                F.col("main.label").alias("main"),
+                F.ceil((F.col("n_all") - F.col("main.n")) / tile).cast("int").alias("left_tiles"),
+                F.ceil(F.col("n_all") / tile).cast("int").alias("right_tiles"),
+            )
+        )
+        rest = stored(marked.join(plan, F.col("bucket") == F.col("in_bucket")).drop("in_bucket"), "mixed")
+        kind = "node bigint, sketch binary"
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    own = [x.tobytes() for x in sketches(part.column("text"), shingle_words, sketch_size)]
+                    same = pa.array(content_keys(part.num_rows, *shingles(part.column("text"), shingle_words)).view(np.int64))
+                    out = pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "sketch"])
+                    yield out.filter(pc.equal(same, part.column("node")))
+
+        drawn = stored(texts_of(rest.select("node").distinct()).mapInArrow(sketch, kind).dropDuplicates(["node"]), "sketches")
+        every = rest.join(drawn, "node")
+        own = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles)).cast("int")
+        others = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+        columns = ("bucket", "left_tile", "right_tile", "is_left", "node", "label", "main", "sketch")
+        left = every.where("label <> main").withColumn("left_tile", own("left_tiles")).withColumn("right_tile", others("right_tiles"))
+        right = every.withColumn("right_tile", own("right_tiles")).withColumn("left_tile", others("left_tiles"))
+        tiles = left.withColumn("is_left", F.lit(True)).select(*columns).union(
+            right.withColumn("is_left", F.lit(False)).select(*columns)
+        )
+        keys = ("bucket", "left_tile", "right_tile")
+        found = stored(
+            tiles.repartition(*keys)
+            .sortWithinPartitions(*keys)
+            .mapInArrow(compare_tiles, "u bigint, v bigint, low bigint, high bigint, sure boolean"),
+            "close",
+        )
+        # One sure link is enough to connect two components.
+        sure = found.where("sure").groupBy("low", "high").agg(F.min(F.struct("u", "v")).alias("pair")).select("pair.u", "pair.v")
+        return sure.union(found.where("NOT sure").select("u", "v")).distinct()
+
+    def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in tile_groups(batches):
+            is_left = group.column("is_left").to_numpy(zero_copy_only=False)
+            node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+            own = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("sketch")]
+            a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            if not len(a) or not len(b):
+                continue
+            close, sure = close_pairs([own[k] for k in a], [own[k] for k in b], sketch_size, similarity)
+            # Pairs of two nodes outside the largest component come up twice; once is enough.
+            once = (label[b] == group.column("main").to_numpy()[b])[None, :] | (node[a][:, None] < node[b][None, :])
+            apart = once & (label[a][:, None] != label[b][None, :])
+            x, y = np.nonzero(sure & apart)
+            needed = connecting(label[a[x]], label[b[y]], group.column("main")[0].as_py())
+            unsure = np.nonzero(close & ~sure & apart)
+            i, j = a[np.r_[x[needed], unsure[0]]], b[np.r_[y[needed], unsure[1]]]
+            columns = [
+                pa.array(np.minimum(node[i], node[j])),
+                pa.array(np.maximum(node[i], node[j])),
+                pa.array(np.minimum(label[i], label[j])),
+                pa.array(np.maximum(label[i], label[j])),
+                pa.array(np.arange(len(i)) < len(needed)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "low", "high", "sure"])
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of nodes whose texts are similar enough."""
         pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        ids = wanted.join(nodes.select("node", "text_id"), "node")
-        texts = stored(
-            source.join(ids, F.col("doc_id").eqNullSafe(F.col("text_id"))).select("node", "text").dropDuplicates(["node", "text"]),
-            "texts",
-        )
+        texts = stored(texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), "texts")
         both = (
             pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text")), "u")
             .join(texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
@@ -244,26 +422,11 @@ def near_duplicates(
 
         return stored(both.mapInArrow(compare, "u bigint, v bigint"), "links")
 
-    links = linked(shared.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    tested = stored(shared.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "tested")
+    links = linked(tested)
     found = components(links)
     marked = shared.join(found, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
-    marked = stored(marked, "marked")
-    mixed = (
-        marked.groupBy("bucket", F.pmod("bucket", F.lit(7)).alias("spread"))
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high")
-        .select("bucket")
-    )
-    rest = stored(marked.join(mixed, "bucket"), "mixed")
-    other = rest.select(F.col("node").alias("other"), "bucket", F.col("label").alias("other_label"))
-    across = (
-        rest.join(other, "bucket")
-        .where("label < other_label")
-        .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        .distinct()
-        .join(shared.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), ["u", "v"], "left_anti")
-    )
-    more = linked(across)
+    more = linked(stored(pairs_across(stored(marked, "marked")), "across").join(tested, ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     classed = stored(
