@@ -78,10 +78,17 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[new], np.add.reduceat(counts, new)
 
 
+def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; sorts ``keys`` in place."""
+    keys.sort()
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[new], np.diff(np.r_[new, len(keys)])
+
+
 _PACKED = "n int, segment int, once binary, often binary, counts binary"
 
 
-def ngram_counts(docs: DataFrame, text_col: str, bits: int, flush: int = 1 << 22) -> DataFrame:
+def ngram_counts(docs: DataFrame, text_col: str, bits: int, flush: int = 1 << 21) -> DataFrame:
     """Counts of all words and pairs of ``docs``, one row per order and segment.
 
     A task adds up ``flush`` tokens at a time and sends what it has by segment, as sorted arrays in one value per segment,
@@ -90,24 +97,23 @@ def ngram_counts(docs: DataFrame, text_col: str, bits: int, flush: int = 1 << 22
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("n", pa.int32()), ("segment", pa.int32()), *[(x, pa.binary()) for x in ("once", "often", "counts")]])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
 
-        def send() -> pa.RecordBatch:
-            rows = []
-            for order in (1, 2):
-                keys = np.concatenate([h[order - 1] for h in held])
-                rows += packed(order, *added(keys, np.ones(len(keys), np.int64)), bits)
-            held.clear()
-            return pa.RecordBatch.from_pylist(rows, schema)
+        def send() -> Iterator[pa.RecordBatch]:
+            for order, arrays in held.items():
+                keys = np.concatenate(arrays)
+                arrays.clear()
+                yield pa.RecordBatch.from_pylist([*packed(order, *counted_keys(keys), bits)], schema)
 
         for batch in batches:
             for part in slices(batch, "text"):
                 token, before, _ = chain(words(part.column(0), SPACED))
-                held.append((token, pair(before, token)))
-                if sum(len(h[0]) for h in held) >= flush:
-                    yield send()
-        if held:
-            yield send()
+                held[1].append(token)
+                held[2].append(pair(before, token))
+                if sum(map(len, held[1])) >= flush:
+                    yield from send()
+        if held[1]:
+            yield from send()
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
         order, segment = int(parts["n"].iloc[0]), int(parts["segment"].iloc[0])
@@ -207,7 +213,7 @@ def train(
     entries = lambda: sum(int((per_level[n, low:] * np.arange(low, 64)).sum()) for n, low in lowest.items())
     while entries() * 8 > filter_bytes * 8:
         lowest[2 if lowest[2] <= lowest[1] + 1 else 1] += 1
-    words_of = max(1, -(-min(filter_bytes * 8, entries() * 12) // (64 << bits)))
+    words_of = max(64, -(-min(filter_bytes * 8, entries() * 12) // (64 << bits)))
 
     from_level = 1
     while per_level[1, from_level:].sum() > exact_words:
