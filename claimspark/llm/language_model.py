@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -182,7 +182,9 @@ class Model:
     tokens: int  # N
     distinct: int  # V
     texts: int  # ends, and so starts
-    filter: Filter
+    bits: int  # of a key that name its segment
+    words_of: int  # 64-bit words of a segment
+    filter: DataFrame | None  # segment, data
     keys: np.ndarray  # the most frequent words with exact counts
     counts: np.ndarray
     exact_from: int  # the count from which words are among them
@@ -190,13 +192,13 @@ class Model:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", filter_bytes: int = 32 << 20, exact_words: int = 1 << 20, weight: float = 0.6
+    docs: DataFrame, text_col: str = "text", entry_bits: int = 12, exact_words: int = 1 << 20, weight: float = 0.6
 ) -> tuple[Model, DataFrame]:
     """A model of the texts of ``docs``, and the table of all word counts (by segment, packed).
 
-    All words and neighbouring pairs are counted. Pairs that came once stay out of the filter, as is usual; beyond
-    that it takes the highest levels of pairs and words that fit ``filter_bytes`` at 8 bits an entry, so what is broadcast
-    is bounded whatever the corpus. The same holds for the ``exact_words`` most frequent words with exact counts.
+    All words and neighbouring pairs are counted. Pairs that came once stay out of the filter, as is usual; all others and
+    all words are in it, at ``entry_bits`` an entry, so it grows with the corpus. It stays a table of segments and is
+    never in one place. The ``exact_words`` most frequent words with exact counts are gathered.
     """
     spark = docs.sparkSession
     bits = max(4, (4 * slots(spark) - 1).bit_length())
@@ -208,12 +210,9 @@ def train(
         per_level[r["n"], r["level"]] = r["size"]
     tokens = counted.where("n = 1").agg(F.sum("total")).first()[0] or 0
 
-    # Lowest levels that go into the filter: pairs from 2 on, words from 1 on, raised in turn while it doesn't fit.
-    lowest = {1: 1, 2: 2}
-    entries = lambda: sum(int((per_level[n, low:] * np.arange(low, 64)).sum()) for n, low in lowest.items())
-    while entries() * 8 > filter_bytes * 8:
-        lowest[2 if lowest[2] <= lowest[1] + 1 else 1] += 1
-    words_of = max(64, -(-min(filter_bytes * 8, entries() * 12) // (64 << bits)))
+    lowest = {1: 1, 2: 2}  # levels that go into the filter: pairs from 2 on, words from 1 on
+    entries = sum(int((per_level[n, low:] * np.arange(low, 64)).sum()) for n, low in lowest.items())
+    words_of = max(64, -(-entries * entry_bits // (64 << bits)))
 
     from_level = 1
     while per_level[1, from_level:].sum() > exact_words:
@@ -232,85 +231,176 @@ def train(
                 keys, counts = k[q >= from_level], c[q >= from_level]
         return pd.DataFrame([{"segment": segment, "data": own.data.tobytes(), "keys": keys.tobytes(), "counts": counts.tobytes()}])
 
-    made = (
-        counted.groupBy("segment")
-        .applyInPandas(segments, "segment int, data binary, keys binary, counts binary")
-        .toArrow()  # at most filter_bytes and exact_words entries
+    made = stored(
+        counted.groupBy("segment").applyInPandas(segments, "segment int, data binary, keys binary, counts binary"), "filter"
     )
-    data = np.zeros(words_of << bits, np.uint64)
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for segment, raw, k, c in zip(*(made.column(x).to_pylist() for x in ("segment", "data", "keys", "counts")), strict=True):
-        data[segment * words_of : (segment + 1) * words_of] = np.frombuffer(raw, np.uint64)
+    exact = made.select("keys", "counts").toArrow()  # at most exact_words entries
+    for k, c in zip(exact.column("keys").to_pylist(), exact.column("counts").to_pylist(), strict=True):
         keys.append(np.frombuffer(k, np.uint64))
         counts.append(np.frombuffer(c, np.int64))
     all_keys, all_counts = added(np.concatenate(keys), np.concatenate(counts))
     at = np.searchsorted(all_keys, END)
     texts = int(all_counts[at]) if at < len(all_keys) and all_keys[at] == END else 0
     model = Model(
-        tokens, int(per_level[1].sum()), texts, Filter(bits, words_of, data), all_keys, all_counts, 1 << (from_level - 1), weight
-    )
+        tokens, int(per_level[1].sum()), texts, bits, words_of, made.select("segment", "data"),
+        all_keys, all_counts, 1 << (from_level - 1), weight,
+    )
     return model, counted.where("n = 1").select("segment", "once", "often", "counts")
 
 
+def in_blocks(rows: DataFrame, flush: int = 1 << 21) -> DataFrame:
+    """Tokens of the texts in blocks of about ``flush``, a row each: ids of its texts, how many tokens each has, the distinct
+    tokens of the block in order, and which of them each token is."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
+
+        def send() -> pa.RecordBatch:
+            unique, of = np.unique(np.concatenate(tokens), return_inverse=True)
+            names = pa.concat_arrays(ids)
+            columns = [
+                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(sizes), unique, of.astype(np.uint32))),
+            ]
+            for x in (ids, sizes, tokens):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["doc_ids", "sizes", "words", "places"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                token, _, row = chain(words(part.column("text"), SPACED))
+                ids.append(part.column("doc_id"))
+                sizes.append(np.bincount(row, minlength=part.num_rows))
+                tokens.append(token)
+                if sum(map(len, tokens)) >= flush:
+                    yield send()
+        if ids:
+            yield send()
+
+    made = rows.mapInArrow(gather, f"doc_ids array<{kind}>, sizes binary, words binary, places binary")
+    return stored(made.withColumn("block", F.monotonically_increasing_id()), "lm_blocks")
+
+
+def opened(sizes: bytes, unique: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: tokens of each text, distinct tokens, which of them each token is, and the pairs."""
+    counts, words_, of = np.frombuffer(sizes, np.int64), np.frombuffer(unique, np.uint64), np.frombuffer(places, np.uint32)
+    token = words_[of]
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[np.cumsum(counts) - counts] = START
+    return counts, words_, of, pair(before, token)
+
+
+def levels_of(blocks: DataFrame, model: Model) -> DataFrame:
+    """For each block and segment the levels of the block's distinct words and pairs in that segment, in order of key.
+
+    The keys go to the filter's segments, as one value per block and segment, and the levels come back.
+    """
+    bits, words_of = model.bits, model.words_of
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, *packed_ = (batch.column(c)[k].as_py() for c in ("block", "sizes", "words", "places"))
+                _, unique, _, pairs = opened(*packed_)
+                keys = np.unique(np.concatenate([unique, pairs]))
+                cuts = [*np.searchsorted(keys, starts), len(keys)]
+                some = [s for s in range(1 << bits) if cuts[s] < cuts[s + 1]]
+                columns = [
+                    pa.array([block] * len(some), pa.int64()),
+                    pa.array(some, pa.int32()),
+                    pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "segment", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        levels = []
+        for segment, keys in zip(asked.column("segment").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            k = np.frombuffer(keys, np.uint64)
+            if own.num_rows:
+                data = np.frombuffer(own.column("data")[0].as_buffer(), np.uint64)
+                found = Filter(bits, words_of, data, segment).levels(k)
+            else:
+                found = np.zeros(len(k))
+            levels.append(found.astype(np.int8).tobytes())
+        columns = [*(asked.column(c).combine_chunks() for c in ("block", "segment")), pa.array(levels, pa.binary())]
+        return pa.Table.from_arrays(columns, ["block", "segment", "levels"])
+
+    asked = blocks.select("block", "sizes", "words", "places").mapInArrow(ask, "block bigint, segment int, keys binary")
+    return (
+        asked.groupBy("segment")
+        .cogroup(model.filter.groupBy("segment"))
+        .applyInArrow(answer, "block bigint, segment int, levels binary")
+    )
+
+
 def score(docs: DataFrame, model: Model, word_counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` uses exact counts: those of frequent words are broadcast, those of the other words come by a join of
     the words of each text with ``word_counts``. ``score`` uses the filter alone: a word's probability is that of the
     pair with the word before, mixed with its own, both from quantised counts. A null text is empty; its only token is
-    its end. Rows are scored one by one, whatever ids they have. An empty table gives no rows; a model of no texts knows
+    its end. Words and pairs of the texts go to the filter's segments in blocks, each distinct one once per block, and no
+    task has the whole filter. Rows are scored one by one, whatever ids they have. An empty table gives no rows; a model of no texts knows
     no word.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, filter=None))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    blocks = in_blocks(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         m = shared.value
         scale = m.tokens + 0.1 * (m.distinct + 1)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n = part.num_rows
-                token, before, row = chain(words(part.column("text"), SPACED))
-                unique, of = np.unique(token, return_inverse=True)
-                near = np.minimum(np.searchsorted(m.keys, unique), max(0, len(m.keys) - 1))
-                exact = m.keys[near] == unique if len(m.keys) else np.zeros(len(unique), bool)
-                count = np.where(exact, m.counts[near], 0) if len(m.keys) else np.zeros(len(unique), np.int64)
-                log = np.log10(count + 0.1)
-                here = exact[of] if m.exact_from > 1 else np.ones(len(token), bool)
-                base = np.bincount(row[here], log[of][here], n)
-                known = np.bincount(row, exact[of], n).astype(np.int64)
-                # Words left to the join, once per text.
-                rest = np.flatnonzero(~here)
-                rest = rest[np.lexsort((token[rest], row[rest]))]
-                new = np.r_[True, (np.diff(row[rest]) > 0) | (token[rest][1:] != token[rest][:-1])][: len(rest)]
-                once = rest[new]
-                times = np.diff(np.r_[np.flatnonzero(new), len(rest)])
-                first = np.searchsorted(row[once], np.arange(n + 1))
-
-                single = typical(m.filter.levels(unique))
-                p1 = (single[of] + 0.1) / scale
-                c0 = np.empty(len(token))
-                c0[1:] = single[of][:-1]
-                c0[before == START] = m.texts
-                both = typical(m.filter.levels(pair(before, token)))
-                p2 = np.minimum(1.0, both / np.maximum(c0, 1.0))
-                lm = np.bincount(row, np.log10(m.weight * p2 + (1 - m.weight) * p1), n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.bincount(row, minlength=n), pa.int64()),
-                        pa.array(known),
-                        pa.array(base),
-                        pa.array(lm),
-                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token[once].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(times, pa.int64())),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rest", "times"],
-                )
+        sizes, unique, of, pairs = opened(*(block.column(c)[0].as_py() for c in ("sizes", "words", "places")))
+        n = len(sizes)
+        row = np.repeat(np.arange(n), sizes)
+        near = np.minimum(np.searchsorted(m.keys, unique), max(0, len(m.keys) - 1))
+        exact = m.keys[near] == unique if len(m.keys) else np.zeros(len(unique), bool)
+        count = np.where(exact, m.counts[near], 0) if len(m.keys) else np.zeros(len(unique), np.int64)
+        log = np.log10(count + 0.1)
+        here = exact[of] if m.exact_from > 1 else np.ones(len(of), bool)
+        base = np.bincount(row[here], log[of][here], n)
+        known = np.bincount(row, exact[of], n).astype(np.int64)
+        # Words left to the join, once per text.
+        rest = np.flatnonzero(~here)
+        rest = rest[np.lexsort((of[rest], row[rest]))]
+        new = np.r_[True, (np.diff(row[rest]) > 0) | (of[rest][1:] != of[rest][:-1])][: len(rest)]
+        once = rest[new]
+        times = np.diff(np.r_[np.flatnonzero(new), len(rest)])
+        first = np.searchsorted(row[once], np.arange(n + 1))
+
+        parts = dict(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist(), strict=True))
+        stands_for = typical(np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.int8).astype(np.int64))
+        keys = np.unique(np.concatenate([unique, pairs]))
+        single = stands_for[np.searchsorted(keys, unique)]
+        both = stands_for[np.searchsorted(keys, pairs)]
+        p1 = (single[of] + 0.1) / scale
+        c0 = np.empty(len(of))
+        c0[1:] = single[of][:-1]
+        c0[np.cumsum(sizes) - sizes] = m.texts
+        p2 = np.minimum(1.0, both / np.maximum(c0, 1.0))
+        lm = np.bincount(row, np.log10(m.weight * p2 + (1 - m.weight) * p1), n)
+        return pa.Table.from_arrays(
+            [
+                block.column("doc_ids").combine_chunks().flatten(),
+                pa.array(sizes, pa.int64()),
+                pa.array(known),
+                pa.array(base),
+                pa.array(lm),
+                pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(unique[of[once]].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(times, pa.int64())),
+            ],
+            ["doc_id", "n_tokens", "n_known", "base", "score", "rest", "times"],
+        )
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>, times array<bigint>"
-    scored = rows.mapInArrow(run, schema)
+    scored = blocks.groupBy("block").cogroup(levels_of(blocks, model).groupBy("block")).applyInArrow(run, schema)
     per_token = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
     final = lambda base, known: [
         "doc_id",

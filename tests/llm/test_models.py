@@ -14,7 +14,7 @@ import pytest
 from claimspark.llm import language_model as lm
 from claimspark.llm import toxicity as toxic
 from claimspark.llm.queries import op6_toxicity, op9_bloom_lm
-from claimspark.llm.text import ALNUM, words
+from claimspark.llm.text import ALNUM, SPACED, words
 from tests.llm.conftest import ODD
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -132,6 +132,32 @@ def test_scores_follow_the_model(spark, documents):
         assert r.score == pytest.approx(want, rel=1e-6)
 
 
+def trained_levels(documents, texts):
+    """The model of ``texts``, all their words and pairs with counts, and the level each has in the filter's table."""
+    model, _ = lm.train(documents([*enumerate(texts)]))
+    token, before, _ = lm.chain(words(pa.array(texts), SPACED))
+    (single, n), (both, m) = (np.unique(x, return_counts=True) for x in (token, lm.pair(before, token)))
+    keys, counts = np.concatenate([single, both]), np.concatenate([n, m])
+    held = {r.segment: np.frombuffer(r.data, np.uint64) for r in model.filter.collect()}
+    of = (keys >> np.uint64(64 - model.bits)).astype(int)
+    levels = np.zeros(len(keys), np.int64)
+    for segment, data in held.items():
+        levels[of == segment] = lm.Filter(model.bits, model.words_of, data, segment).levels(keys[of == segment])
+    return model, counts, levels, np.arange(len(keys)) >= len(single)
+
+
+def test_the_filter_is_a_table_that_grows_with_the_ngrams(documents):
+    sizes = []
+    for n in (2_000, 40_000):
+        texts = [" ".join(f"w{k}_{j % 50}" for j in range(100)) for k in range(n // 50)]  # each word and nearly each pair twice
+        model, counts, levels, is_pair = trained_levels(documents, texts)
+        often = (counts > 1) | ~is_pair
+        assert (levels >= lm.level(counts))[often].all()
+        sizes.append((model.words_of << model.bits) * 64)
+        assert sizes[-1] >= 12 * lm.level(counts)[often].sum()
+    assert sizes[1] > 10 * sizes[0]
+
+
 def test_language_model_of_odd_rows(odd, documents):
     model, counts = lm.train(odd)
     rows = lm.score(odd, model, counts).collect()
