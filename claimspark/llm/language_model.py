@@ -121,11 +121,10 @@ def ngram_counts(docs: DataFrame, text_col: str, bits: int, flush: int = 1 << 21
         keys, counts = added(np.concatenate([a for a, _ in arrays]), np.concatenate([b for _, b in arrays]))
         levels = np.bincount(level(counts), minlength=64)[:64]
         single = counts == 1
-        keep = ~single if order > 1 else np.ones(len(keys), bool)
         return pd.DataFrame(
             [
                 {
-                    "n": order, "segment": segment, "once": keys[single & keep].tobytes(),
+                    "n": order, "segment": segment, "once": keys[single].tobytes(),
                     "often": keys[~single].tobytes(), "counts": counts[~single].tobytes(),
                     "total": int(counts.sum()), "levels": levels,
                 }
@@ -196,9 +195,8 @@ def train(
 ) -> tuple[Model, DataFrame]:
     """A model of the texts of ``docs``, and the table of all word counts (by segment, packed).
 
-    All words and neighbouring pairs are counted. Pairs that came once stay out of the filter, as is usual; all others and
-    all words are in it, at ``entry_bits`` an entry, so it grows with the corpus. It stays a table of segments and is
-    never in one place. The ``exact_words`` most frequent words with exact counts are gathered.
+    All words and neighbouring pairs are counted and go into the filter, those that came once too, at ``entry_bits`` an
+    entry, so it grows with the corpus. It stays a table of segments and is never in one place. The ``exact_words`` most frequent words with exact counts are gathered.
     """
     spark = docs.sparkSession
     bits = max(4, (4 * slots(spark) - 1).bit_length())
@@ -210,8 +208,7 @@ def train(
         per_level[r["n"], r["level"]] = r["size"]
     tokens = counted.where("n = 1").agg(F.sum("total")).first()[0] or 0
 
-    lowest = {1: 1, 2: 2}  # levels that go into the filter: pairs from 2 on, words from 1 on
-    entries = sum(int((per_level[n, low:] * np.arange(low, 64)).sum()) for n, low in lowest.items())
+    entries = int((per_level * np.arange(64)).sum())
     words_of = max(64, -(-entries * entry_bits // (64 << bits)))
 
     from_level = 1
@@ -225,8 +222,7 @@ def train(
         for order, *blobs in zip(*(parts[c] for c in ("n", "once", "often", "counts")), strict=True):
             k, c = unpacked(*blobs)
             q = level(c)
-            use = q >= lowest[order]
-            own.add(k[use], q[use])
+            own.add(k, q)
             if order == 1:
                 keys, counts = k[q >= from_level], c[q >= from_level]
         return pd.DataFrame([{"segment": segment, "data": own.data.tobytes(), "keys": keys.tobytes(), "counts": counts.tobytes()}])

@@ -158,6 +158,15 @@ def test_the_filter_is_a_table_that_grows_with_the_ngrams(documents):
     assert sizes[1] > 10 * sizes[0]
 
 
+def test_pairs_that_came_once_are_in_the_filter(spark, documents):
+    texts = [f"a{k} b{k} c{k}" for k in range(300)]
+    model, counts, levels, is_pair = trained_levels(documents, texts)
+    assert (counts[is_pair] == 1).sum() == 1200 and (levels >= lm.level(counts)).all()
+    seen, unseen = ("a7 b7 c7", "a7 b8 c9")  # the same words' counts, other pairs
+    rows = {r.doc_id: r.score for r in lm.score(documents([(0, seen), (1, unseen)]), *lm.train(documents([*enumerate(texts)]))).collect()}
+    assert rows[0] > rows[1] + 2
+
+
 def test_language_model_of_odd_rows(odd, documents):
     model, counts = lm.train(odd)
     rows = lm.score(odd, model, counts).collect()
