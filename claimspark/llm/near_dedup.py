@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.scratch import stored
@@ -254,7 +254,12 @@ def tile_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(
+def smallest() -> Column:
+    """What ``min`` takes to find the row with the smallest id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")
+
+
+def labelled(
     docs: DataFrame,
     similarity: float = 0.8,
     shingle_words: int = 5,
@@ -265,22 +270,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), class_size.
-
-    Two texts are linked if the weighted Jaccard similarity of their shingles, weighted by how often each occurs, is at
-    least ``similarity``; classes are what links connect. With the default bands a pair at 0.8 shares one with
-    probability 0.99995, closer pairs more surely. Texts with the same shingle counts are one node from the start.
-
-    Within a band's bucket all nodes are first compared with its smallest. Then, in buckets whose nodes fell into several
-    components, every pair of nodes from different components is looked at too, so no link within a bucket is missed,
-    while a bucket of copies of one text costs one comparison each. For these pairs sketches of ``sketch_size`` hashes
-    decide which are worth comparing (see ``close_pairs``), block by block of ``tile`` nodes; of pairs that are sure to be
-    links as many are kept as connect the components, of the others all. Every link is confirmed on whole texts.
+    """One row per row of ``docs``: doc_id, content (hash of the text) and the label of its class; see ``near_duplicates``.
 
-    A null text is empty; texts without words are alike. Null ids come last in a class. Rows that repeat an id are rows of
-    their own. An empty table gives an empty result; other columns are ignored. Content keys have 64 bits.
+    Rows with the same id, or none, are told apart by content.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("content", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,14 +295,15 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("content"),
                         pa.array(node.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "node", "bands"],
+                    ["doc_id", "content", "node", "bands"],
                 )
 
-    signed = stored(source.mapInArrow(sign, f"doc_id {kind}, node bigint, bands array<bigint>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("text_id"))
+    signed = stored(source.mapInArrow(sign, f"doc_id {kind}, content bigint, node bigint, bands array<bigint>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(smallest()).alias("text"))
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     # Grouping by the band as well leaves the join below its own shuffles, whose large partitions Spark can split.
@@ -320,9 +316,10 @@ def near_duplicates(
     shared = stored(members.select("node", "bucket").join(buckets, "bucket"), "buckets")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """node, text of the distinct nodes in ``wanted``; a node has several where its id names several texts."""
-        ids = wanted.join(nodes.select("node", "text_id"), "node")
-        return source.join(ids, F.col("doc_id").eqNullSafe(F.col("text_id"))).select("node", "text").dropDuplicates(["node", "text"])
+        """node, text of the distinct nodes in ``wanted``."""
+        ids = wanted.join(nodes.select("node", F.col("text.doc_id").alias("text_id"), F.col("text.content").alias("own")), "node")
+        same = F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("content") == F.col("own"))
+        return source.join(ids, same).select("node", "text").dropDuplicates(["node", "text"])
 
     def pairs_across(marked: DataFrame) -> DataFrame:
         """Pairs of nodes that share a bucket but no component, and whose sketches are close.
@@ -415,7 +412,7 @@ def near_duplicates(
             for batch in batches:
                 for part in slices(batch, "text"):
                     alike, keys = weighted_jaccard(part.column("text"), part.column("other"), shingle_words)
-                    # An id can name several texts; only those of the two nodes count.
+                    # Texts come by hash; only those of the two nodes count.
                     u, v = (part.column(c).to_numpy().view(np.uint64) for c in ("u", "v"))
                     keep = (alike >= similarity - 1e-12) & (keys[0] == u) & (keys[1] == v)
                     yield part.select(["u", "v"]).filter(pa.array(keep))
@@ -429,12 +426,41 @@ def near_duplicates(
     more = linked(stored(pairs_across(stored(marked, "marked")), "across").join(tested, ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    classed = stored(
-        signed.select("doc_id", "node")
+    return stored(
+        signed.select("doc_id", "content", "node")
         .join(found, "node", "left")
-        .select("doc_id", F.coalesce("label", "node").alias("label")),
+        .select("doc_id", "content", F.coalesce("label", "node").alias("label")),
         "classed",
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    shingle_words: int = 5,
+    bands: int = 42,
+    rows: int = 7,
+    sketch_size: int = 2048,
+    tile: int = 1024,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), class_size.
+
+    Two texts are linked if the weighted Jaccard similarity of their shingles, weighted by how often each occurs, is at
+    least ``similarity``; classes are what links connect. With the default bands a pair at 0.8 shares one with
+    probability 0.99995, closer pairs more surely. Texts with the same shingle counts are one node from the start.
+
+    Within a band's bucket all nodes are first compared with its smallest. Then, in buckets whose nodes fell into several
+    components, every pair of nodes from different components is looked at too, so no link within a bucket is missed,
+    while a bucket of copies of one text costs one comparison each. For these pairs sketches of ``sketch_size`` hashes
+    decide which are worth comparing (see ``close_pairs``), block by block of ``tile`` nodes; of pairs that are sure to be
+    links as many are kept as connect the components, of the others all. Every link is confirmed on whole texts.
+
+    A null text is empty; texts without words are alike. Null ids come last in a class. Rows that repeat an id are rows of
+    their own. An empty table gives an empty result; other columns are ignored. Content keys have 64 bits.
+    """
+    classed = labelled(docs, similarity, shingle_words, bands, rows, sketch_size, tile, id_col, text_col)
     sizes = (
         classed.groupBy("label", F.pmod("label", F.lit(7)).alias("spread"))
         .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -444,12 +470,13 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, with all columns: the smallest id, and of its rows the first."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("class_id").alias("_class_id")).groupBy("_class_id").agg(F.count(F.lit(1)).alias("_rows"))
-    first = Window.partitionBy("_class_id").orderBy(F.lit(1))
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_class_id")))
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stand for their class, with all columns: the smallest id, null ids last. Of several texts of
+    a class under one id one stays, and of equal rows one."""
+    classed = labelled(docs, id_col=id_col, text_col=text_col, **options)
+    kept = classed.groupBy("label").agg(F.min(smallest()).alias("best"))
+    kept = kept.select(F.col("label").alias("_label"), F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_content"))
+    return docs.join(kept, same).dropDuplicates(["_label"]).select(*[docs[c] for c in docs.columns])
 
 
 def exact_links(texts: list[str], similarity: float = 0.8, shingle_words: int = 5) -> pd.DataFrame:

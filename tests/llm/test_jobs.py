@@ -300,6 +300,15 @@ def test_near_duplicates_of_odd_rows(odd, documents):
     assert left.columns == odd.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 6, 7, 8]
 
 
+def test_one_of_each_keeps_a_text_of_every_class_without_or_with_repeated_ids(documents):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " tail"), (None, text("c")), (None, text("c")), (None, None)]
+    rows += [(5, text("d")), (5, text("e")), (5, text("e", 59)), (5, text("f")), (6, text("f")), (7, text("a") + " end")]
+    left = sorted(((r.doc_id, (r.text or "").split(" ")[0]) for r in near_dedup.one_of_each(documents(rows).repartition(3)).collect()), key=repr)
+    want = [(5, "d0"), (5, "e0"), (5, "f0"), (7, "a0"), (None, ""), (None, "b0"), (None, "c0")]
+    assert left == sorted(want, key=repr)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 1000))
 def test_signatures_estimate_weighted_similarity(seed):
