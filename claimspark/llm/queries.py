@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import language_model, licenses, packing, pii, warc
+from claimspark.llm import language_model, licenses, packing, pii, runs, warc
 from claimspark.llm import toxicity as toxic
 from claimspark.llm.curriculum import curriculum_mix
 from claimspark.llm.exact_dedup import exact_duplicates
@@ -77,6 +77,10 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_planted_loops(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_bloom_lm,
         op10_curriculum_mix,
+        op11_periodic_runs,
     )
 }

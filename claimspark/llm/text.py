@@ -106,10 +106,10 @@ class Words:
         return self.data[self.start[k] : self.end[k]].tobytes().decode()
 
 
-def words(column: pa.Array, inside: np.ndarray) -> Words:
-    """Maximal runs of ``inside`` bytes in each text, A-Z lower-cased."""
+def words(column: pa.Array, inside: np.ndarray, fold: bool = True) -> Words:
+    """Maximal runs of ``inside`` bytes in each text, A-Z lower-cased unless ``fold`` is off."""
     raw, offsets = flat(column)
-    data = LOWER[raw]
+    data = LOWER[raw] if fold else raw
     on = np.zeros(len(data) + 2, bool)
     on[1:-1] = inside[data]
     begins = on[1:-1] & ~on[:-2]
