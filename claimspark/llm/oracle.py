@@ -82,9 +82,96 @@ SELECT doc_id, size, source_size, target, taken,
 FROM f
 """
 
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), n AS (
+  SELECT *, floor(turn / 128.0) AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t
+), m AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id, part ORDER BY k) = role, false) AS joined,
+         regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+         regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head
+  FROM n
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(body) + CASE WHEN joined THEN length('<|im_next|>')
+                               ELSE length('<|im_start|>') + length(head) + 1 + length('<|im_end|>') + 1 END)::BIGINT
+         AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+#: CRC-32 of a text, bit by bit.
+CRC32 = """xor(list_reduce([4294967295] || [ascii(c)::BIGINT FOR c IN string_split({0}, '')],
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+MANIFEST = (
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, lang, n_chars, row_number() OVER () AS id,
+         CASE WHEN doc_id IS NOT NULL AND """
+    + CRC32.format("doc_id::VARCHAR")
+    + r""" % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM documents
+), e AS (
+  SELECT doc_id, source, id, text, other,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d
+), f AS (
+  SELECT doc_id, source, id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed
+  FROM e
+), l AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM f
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, n, pos // 3
+), top AS (
+  SELECT -1::BIGINT AS tree, 100 AS lvl, tree AS pos, digest, (SELECT count(*) FROM nodes WHERE n = 1) AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3
+  FROM top WHERE n > 1 GROUP BY tree, lvl, n, pos // 3
+), runs AS (
+  SELECT tree, lvl, pos // 3 AS run, list(digest ORDER BY pos) AS digests
+  FROM (SELECT * FROM nodes UNION ALL SELECT * FROM top) WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), ways AS (
+  SELECT id, lvl, digests, (pos // (3 ** lvl)::BIGINT) % 3 AS place
+  FROM l JOIN runs USING (tree) WHERE runs.run = pos // (3 ** (lvl + 1))::BIGINT
+  UNION ALL
+  SELECT id, lvl, digests, (l.tree // (3 ** (lvl - 100))::BIGINT) % 3 AS place
+  FROM l JOIN runs ON runs.tree = -1 WHERE runs.run = l.tree // (3 ** (lvl - 99))::BIGINT
+), steps AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY lvl) AS k,
+         array_to_string(digests[1:place], '') AS before, array_to_string(digests[place + 2:], '') AS after
+  FROM ways
+), fold AS (
+  SELECT id, 0 AS k, changed AS digest FROM l
+  UNION ALL
+  SELECT fold.id, steps.k, sha256(before || digest || after) FROM fold JOIN steps ON steps.id = fold.id AND steps.k = fold.k + 1
+), ends AS (SELECT id, arg_max(digest, k) AS folded_root FROM fold GROUP BY id),
+proofs AS (SELECT id, string_agg(before || after, '' ORDER BY k) AS proof FROM steps GROUP BY id),
+subroots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN subroots USING (tree) JOIN ends USING (id) LEFT JOIN proofs USING (id)
+CROSS JOIN (SELECT digest AS root FROM top WHERE n = 1)
+"""
+)
+
 ORACLE = {
     "op3_zip_warc": WARC,
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_branch_and_bound": TOP_K,
     "op10_curriculum_mix": CURRICULUM,
+    "op12_chat_format": CHAT,
+    "op13_merkle_manifest": MANIFEST,
 }

@@ -34,7 +34,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLE[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
