@@ -68,8 +68,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = language_model.train(docs.where(~toxic.held_out("doc_id", 10)))
-    scored = language_model.score(docs, model, counts)
+    model = language_model.train(docs.where(~toxic.held_out("doc_id", 10)))
+    scored = language_model.score(docs, model)
     return scored.withColumn("held_out", toxic.held_out("doc_id", 10))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +30,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Frees the shuffles of a query when it ends, instead of when the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: its lineage ends here, and every reader sees the same rows."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once and read back: its lineage ends here, and every reader sees the same rows. Nothing needs the
+    shuffles that made it any more, so they go."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written with a key per row: row, and doc with all columns, so none of a caller's names can clash.
+
+    Ids may be null or repeat and equal rows exist; an operator that decides about rows decides by this key.
+    """
+    every = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), every), name)
 
 
 def slots(spark: SparkSession) -> int:

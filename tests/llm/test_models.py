@@ -89,14 +89,13 @@ def expected_base(rows, train):
     ]
 
 
-@pytest.mark.parametrize("exact_words", [1 << 20, 40])
-def test_base_scores_are_exact_with_and_without_the_join(spark, exact_words):
+@pytest.mark.parametrize("flush", [lm.FLUSH, 700])
+def test_base_scores_are_exact(spark, flush):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
     data = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    model, counts = lm.train(docs.where(~toxic.held_out("doc_id", 10)), exact_words=exact_words)
-    got = sorted(lm.score(docs, model, counts).collect(), key=lambda r: r.doc_id)
+    model = lm.train(docs.where(~toxic.held_out("doc_id", 10)), flush=flush)
+    got = sorted(lm.score(docs, model, flush=flush).collect(), key=lambda r: r.doc_id)
     want = expected_base([t for _, t in data], [t for k, t in data if not held(k, 10)])
-    assert (model.exact_from > 1) == (exact_words == 40)
     for r, (n, known, total, base) in zip(got, want, strict=True):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9)
@@ -105,26 +104,43 @@ def test_base_scores_are_exact_with_and_without_the_join(spark, exact_words):
 
 def test_filter_never_forgets_and_seldom_invents():
     rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
+    keys = np.unique(rng.integers(0, 1 << 39, 20_000).astype(np.uint64) * np.uint64(2))
     levels = rng.integers(1, 8, len(keys))
-    f = lm.Filter(4, -(-int(levels.sum()) * 12 // (64 << 4)), None)
-    f.data = np.zeros(f.words_of << 4, np.uint64)
-    f.add(keys, levels)
+    f = lm.Filter.from_bytes(lm.Filter.of(keys, levels, 12).to_bytes())
     assert (f.levels(keys) >= levels).all() and (f.levels(keys) == levels).mean() > 0.97
-    assert (f.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)) == 0).mean() > 0.97
+    assert (f.levels(rng.integers(0, 1 << 39, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)) == 0).mean() > 0.97
+
+
+def test_names_and_counts_come_back_from_bytes():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
+    short = lm.names(keys, 9)
+    assert (lm.lengthened(lm.shortened(short)) == short).all() and len(lm.shortened(short)) == 5000
+    assert (short == (keys & np.uint64((1 << 55) - 1)) >> np.uint64(15)).all()
+    for values in ([], [1, 2, 3], [1, 1 << 40]):
+        back = lm.from_whole_numbers(lm.whole_numbers(np.array(values, np.int64)), len(values))
+        assert back.tolist() == values
+
+
+def test_places_beyond_sixteen_bits(spark, documents):
+    """A block with more distinct words than 16 bits can name, some of them frequent."""
+    texts = [" ".join(f"w{k * 10_000 + j} the" for j in range(10_000)) for k in range(9)]
+    docs = documents([*enumerate(texts)]).coalesce(1)
+    rows = sorted(lm.score(docs, lm.train(docs)).collect(), key=lambda r: r.doc_id)
+    for r, (n, known, total, base) in zip(rows, expected_base(texts, texts), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base, rel=1e-9)
 
 
 def test_scores_follow_the_model(spark, documents):
     """Against the same formula from exact pairs, up to the filter's rare false members."""
     texts = ["a b c a b", "a b b", "c a b", "b a c"] * 5
     docs = documents([(k, t) for k, t in enumerate(texts)])
-    model, counts = lm.train(docs)
+    model = lm.train(docs)
     q = lambda c: 0 if c == 0 else 1 if c == 1 else 0.75 * 2 ** (int(math.log2(c)) + 1)
     single = Counter(t for x in texts for t in tokens(x))
     pairs = Counter(p for x in texts for p in zip(["<s>", *tokens(x)], tokens(x), strict=False))
     single_q = lambda t: len(texts) if t == "<s>" else q(single[t])
     n, v = sum(single.values()), len(single)
-    for r in lm.score(docs, model, counts).collect():
+    for r in lm.score(docs, model).collect():
         want = 0.0
         for a, b in zip(["<s>", *tokens(texts[r.doc_id])], tokens(texts[r.doc_id]), strict=False):
             p2 = min(1.0, q(pairs[a, b]) / max(1.0, single_q(a)))
@@ -133,16 +149,16 @@ def test_scores_follow_the_model(spark, documents):
 
 
 def trained_levels(documents, texts):
-    """The model of ``texts``, all their words and pairs with counts, and the level each has in the filter's table."""
-    model, _ = lm.train(documents([*enumerate(texts)]))
-    token, before, _ = lm.chain(words(pa.array(texts), SPACED))
-    (single, n), (both, m) = (np.unique(x, return_counts=True) for x in (token, lm.pair(before, token)))
+    """The model of ``texts``, all their words and pairs with counts, and the level each has in the filters' table."""
+    model = lm.train(documents([*enumerate(texts)]))
+    token, sizes = lm.chain(words(pa.array(texts), SPACED))
+    (single, n), (both, m) = (np.unique(x, return_counts=True) for x in (token, lm.pairs_of(token, sizes)))
     keys, counts = np.concatenate([single, both]), np.concatenate([n, m])
-    held = {r.segment: np.frombuffer(r.data, np.uint64) for r in model.filter.collect()}
     of = (keys >> np.uint64(64 - model.bits)).astype(int)
     levels = np.zeros(len(keys), np.int64)
-    for segment, data in held.items():
-        levels[of == segment] = lm.Filter(model.bits, model.words_of, data, segment).levels(keys[of == segment])
+    for r in model.segments.collect():
+        own = of == r.segment
+        levels[own] = lm.Filter.from_bytes(r.filter).levels(lm.names(keys[own], model.bits))
     return model, counts, levels, np.arange(len(keys)) >= len(single)
 
 
@@ -153,7 +169,7 @@ def test_the_filter_is_a_table_that_grows_with_the_ngrams(documents):
         model, counts, levels, is_pair = trained_levels(documents, texts)
         often = (counts > 1) | ~is_pair
         assert (levels >= lm.level(counts))[often].all()
-        sizes.append((model.words_of << model.bits) * 64)
+        sizes.append(8 * sum(len(r.filter) for r in model.segments.collect()))
         assert sizes[-1] >= 12 * lm.level(counts)[often].sum()
     assert sizes[1] > 10 * sizes[0]
 
@@ -163,17 +179,17 @@ def test_pairs_that_came_once_are_in_the_filter(spark, documents):
     model, counts, levels, is_pair = trained_levels(documents, texts)
     assert (counts[is_pair] == 1).sum() == 1200 and (levels >= lm.level(counts)).all()
     seen, unseen = ("a7 b7 c7", "a7 b8 c9")  # the same words' counts, other pairs
-    rows = {r.doc_id: r.score for r in lm.score(documents([(0, seen), (1, unseen)]), *lm.train(documents([*enumerate(texts)]))).collect()}
+    rows = {r.doc_id: r.score for r in lm.score(documents([(0, seen), (1, unseen)]), lm.train(documents([*enumerate(texts)]))).collect()}
     assert rows[0] > rows[1] + 2
 
 
 def test_language_model_of_odd_rows(odd, documents):
-    model, counts = lm.train(odd)
-    rows = lm.score(odd, model, counts).collect()
+    model = lm.train(odd)
+    rows = lm.score(odd, model).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
-    assert lm.score(documents([]), model, counts).count() == 0
-    model, counts = lm.train(documents([]))
-    rows = lm.score(odd, model, counts).collect()
+    assert lm.score(documents([]), model).count() == 0
+    model = lm.train(documents([]))
+    rows = lm.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == pytest.approx(0) for r in rows)
 
 
