@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,14 +14,21 @@ def _list(members: Iterable[str]) -> str:
     return ", ".join(f"'{m}'" for m in members)
 
 
-def _case(code: str, labels: Mapping[str, str], otherwise: str) -> str:
+def _literal(label: str, names: Sequence[str] | None) -> str:
+    """A label, or its place in ``names``, as SQL."""
+    return f"'{label}'" if names is None else f"{names.index(label)}Y"
+
+
+def _case(code: str, labels: Mapping[str, str], otherwise: str, names: Sequence[str] | None = None) -> str:
     """First label whose blank-separated list holds the code; NULL codes get ``otherwise``."""
-    whens = " ".join(f"WHEN {code} IN ({_list(members.split())}) THEN '{label}'" for label, members in labels.items())
+    whens = " ".join(
+        f"WHEN {code} IN ({_list(members.split())}) THEN {_literal(label, names)}" for label, members in labels.items()
+    )
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-def _by_code(code: str, labels: Mapping[str, str], otherwise: str) -> str:
-    whens = " ".join(f"WHEN {code} = '{value}' THEN '{label}'" for value, label in labels.items())
+def _by_code(code: str, labels: Mapping[str, str], otherwise: str, names: Sequence[str] | None = None) -> str:
+    whens = " ".join(f"WHEN {code} = '{value}' THEN {_literal(label, names)}" for value, label in labels.items())
     return f"CASE {whens} ELSE {otherwise} END"
 
 
@@ -52,22 +59,37 @@ def sex_label(code: str) -> Column:
     return F.expr(_by_code(code, codes.SEX_LABELS, f"'{codes.UNKNOWN_SEX}'"))
 
 
-def service_category(src: str, bill: str) -> Column:
-    """Topline category: the claim file decides first, then the bill type. Never NULL."""
-    return F.expr(_by_code(src, codes.SOURCE_CATEGORY, _case(bill, codes.BILL_TYPE_CATEGORY, "'Other'")))
+# Every label a category function can give; its place is its code.
+CATEGORY_LABELS = tuple(dict.fromkeys([*codes.SOURCE_CATEGORY.values(), *codes.BILL_TYPE_CATEGORY, "Other"]))
+SUBCATEGORY_LABELS = tuple(
+    dict.fromkeys(
+        [*codes.SOURCE_SUBCATEGORY.values(), *codes.PLACE_SUBCATEGORY, "Other professional", *codes.BILL_TYPE_SUBCATEGORY, "Other facility"]
+    )
+)
+SERVICE_LABELS = (*codes.BETOS_LABELS.values(), "Exceptions/unclassified", "Unclassified")
+
+
+def service_category(src: str, bill: str, names: Sequence[str] | None = None) -> Column:
+    """Topline category: the claim file decides first, then the bill type. Never NULL. With ``names`` the place of the label
+    among them, here and below."""
+    by_bill = _case(bill, codes.BILL_TYPE_CATEGORY, _literal("Other", names), names)
+    return F.expr(_by_code(src, codes.SOURCE_CATEGORY, by_bill, names))
 
 
-def subcategory(src: str, bill: str, place: str) -> Column:
+def subcategory(src: str, bill: str, place: str, names: Sequence[str] | None = None) -> Column:
     """Place of setting; bill types without a setting of their own are ``Other facility``."""
-    by_place = _case(place, codes.PLACE_SUBCATEGORY, "'Other professional'")
-    by_bill = _case(bill, codes.BILL_TYPE_SUBCATEGORY, "'Other facility'")
-    by_file = _by_code(src, codes.SOURCE_SUBCATEGORY, by_bill)
+    by_place = _case(place, codes.PLACE_SUBCATEGORY, _literal("Other professional", names), names)
+    by_bill = _case(bill, codes.BILL_TYPE_SUBCATEGORY, _literal("Other facility", names), names)
+    by_file = _by_code(src, codes.SOURCE_SUBCATEGORY, by_bill, names)
     return F.expr(f"CASE WHEN {src} = 'carrier' THEN {by_place} ELSE {by_file} END")
 
 
-def type_of_service(src: str, betos: str) -> Column:
+def type_of_service(src: str, betos: str, names: Sequence[str] | None = None) -> Column:
     """Professional lines only: first BETOS letter. Empty text is an exception, NULL is unclassified."""
-    by_letter = _by_code(f"substring({betos}, 1, 1)", codes.BETOS_LABELS, "'Exceptions/unclassified'")
-    return F.expr(
-        f"CASE WHEN {src} = 'carrier' THEN CASE WHEN {betos} IS NULL THEN 'Unclassified' ELSE {by_letter} END END"
-    )
+    by_letter = _by_code(f"substring({betos}, 1, 1)", codes.BETOS_LABELS, _literal("Exceptions/unclassified", names), names)
+    unclassified = _literal("Unclassified", names)
+    return F.expr(f"CASE WHEN {src} = 'carrier' THEN CASE WHEN {betos} IS NULL THEN {unclassified} ELSE {by_letter} END END")
+
+
+def label_of(code: str, names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(name) for name in names]), F.col(code) + 1)

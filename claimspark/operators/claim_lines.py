@@ -88,10 +88,10 @@ def conform(df: DataFrame, columns: Mapping[str, str] = CLAIM_LINE_COLUMNS) -> D
     )
 
 
-def institutional_headers(src: str, lines: DataFrame) -> DataFrame:
+def institutional_headers(src: str, lines: DataFrame, strict: bool = True) -> DataFrame:
     """Header fields of an institutional file, still one row per revenue line."""
     cost_share = reduce(
-        lambda total, name: total + parse_money(name), INSTITUTIONAL_COST_SHARE[src], F.lit(0).cast(MONEY)
+        lambda total, name: total + parse_money(name, strict), INSTITUTIONAL_COST_SHARE[src], F.lit(0).cast(MONEY)
     )
     return lines.select(
         F.lit(src).alias("src"),
@@ -101,7 +101,7 @@ def institutional_headers(src: str, lines: DataFrame) -> DataFrame:
         bill_type().alias("bill_type2"),
         F.col("NCH_PRMRY_PYR_CD").alias("msp_cd"),
         F.col("CLM_MDCR_NON_PMT_RSN_CD").alias("nonpay_cd"),
-        parse_money("CLM_PMT_AMT").alias("paid"),
+        parse_money("CLM_PMT_AMT", strict).alias("paid"),
         cost_share.cast(MONEY).alias("cost_share"),
     )
 
@@ -116,16 +116,16 @@ def collapse_claim_headers(headers: DataFrame) -> DataFrame:
     return headers.groupBy("src", "clm_id").agg(*[F.max(c).alias(c) for c in fields])
 
 
-def institutional_claims(sources: Mapping[str, DataFrame]) -> DataFrame:
+def institutional_claims(sources: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
     """Standard rows of the five institutional files: allowed is Medicare paid plus the beneficiary's share."""
     headers = reduce(
-        DataFrame.unionByName, [institutional_headers(src, sources[src]) for src in INSTITUTIONAL_COST_SHARE]
+        DataFrame.unionByName, [institutional_headers(src, sources[src], strict) for src in INSTITUTIONAL_COST_SHARE]
     )
     claims = collapse_claim_headers(headers)
     return conform(
         claims.withColumns(
             {
-                "svc_dt": parse_claim_date("from_dt"),
+                "svc_dt": parse_claim_date("from_dt", strict),
                 "allowed": F.col("paid") + F.col("cost_share"),
                 "medicare_primary": is_blank("msp_cd"),
                 "medicare_paid": is_blank("nonpay_cd"),
@@ -134,26 +134,29 @@ def institutional_claims(sources: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def line_claims(src: str, lines: DataFrame) -> DataFrame:
+def line_claims(src: str, lines: DataFrame, strict: bool = True) -> DataFrame:
     """Standard rows of a line-level file; every line stays a row, no shuffle."""
     spec = LINE_FILE_COLUMNS[src]
-    number = [parse_int("LINE_NUM").alias("line_num")] if "LINE_NUM" in lines.columns else []
+    number = [parse_int("LINE_NUM", strict).alias("line_num")] if "LINE_NUM" in lines.columns else []
     return conform(
         lines.select(
             F.lit(src).alias("src"),
             F.col("BENE_ID").alias("bene_id"),
             *number,
-            parse_claim_date(spec.date).alias("svc_dt"),
+            parse_claim_date(spec.date, strict).alias("svc_dt"),
             *[F.col(column).alias(name) for name, column in spec.columns.items()],
-            parse_money(spec.paid).alias("paid"),
-            parse_money(spec.allowed).alias("allowed"),
+            parse_money(spec.paid, strict).alias("paid"),
+            parse_money(spec.allowed, strict).alias("allowed"),
             F.expr(spec.primary).alias("medicare_primary"),
             F.expr(spec.accepted).alias("medicare_paid"),
         )
     )
 
 
-def claim_line(sources: Mapping[str, DataFrame]) -> DataFrame:
-    """All eight files as one table: a row per institutional claim, per professional or supplier line, per fill."""
-    lines = [line_claims(src, sources[src]) for src in LINE_FILES]
-    return reduce(DataFrame.unionByName, [institutional_claims(sources), *lines])
+def claim_line(sources: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
+    """All eight files as one table: a row per institutional claim, per professional or supplier line, per fill.
+
+    A cell that can't be read fails the job, or counts as blank if not ``strict``.
+    """
+    lines = [line_claims(src, sources[src], strict) for src in LINE_FILES]
+    return reduce(DataFrame.unionByName, [institutional_claims(sources, strict), *lines])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
@@ -62,13 +63,24 @@ def pc_fact(pc_step5: DataFrame, window: StudyWindow) -> DataFrame:
     )
 
 
+# The labels of a cell in the order of their numbers.
+BANDS = ("<65", "65-74", "75-84", "85+")
+SEXES = (*codes.SEX_LABELS.values(), codes.UNKNOWN_SEX)
 #: All cells a person can be in, in the order of their bits.
-CELLS = tuple(
-    (dual, band, sex)
-    for dual in (False, True)
-    for band in ("<65", "65-74", "75-84", "85+")
-    for sex in (*codes.SEX_LABELS.values(), codes.UNKNOWN_SEX)
-)
+CELLS = tuple((dual, band, sex) for dual in (False, True) for band in BANDS for sex in SEXES)
+
+
+def cell_number() -> Column:
+    """The place of a row's cell in ``CELLS``, put together from the numbers of its three labels. A label that is none
+    fails the job."""
+
+    def number(name: str, labels: Sequence[str]) -> str:
+        whens = " ".join(f"WHEN '{label}' THEN {k}" for k, label in enumerate(labels))
+        unknown = f"cast(raise_error(concat('no such {name}: ', coalesce({name}, 'NULL'))) AS int)"
+        return f"CASE {name} {whens} ELSE {unknown} END"
+
+    dual = "coalesce(cast(dual AS int), cast(raise_error('no such dual: NULL') AS int))"
+    return F.expr(f"{len(BANDS) * len(SEXES)} * {dual} + {len(SEXES)} * {number('age_band', BANDS)} + {number('sex', SEXES)}")
 
 
 def members_fact(member_months: DataFrame, window: StudyWindow) -> DataFrame:
@@ -79,15 +91,11 @@ def members_fact(member_months: DataFrame, window: StudyWindow) -> DataFrame:
     one bit per cell they were in, and people are counted per number. The grouping sets then work on those few numbers:
     each counts once, with all its people, in each combination it touches. A label that is no cell fails the job.
     """
-    whens = " ".join(
-        f"WHEN dual = {str(dual).lower()} AND age_band = '{band}' AND sex = '{sex}' THEN {1 << bit}L"
-        for bit, (dual, band, sex) in enumerate(CELLS)
-    )
-    unknown = "raise_error(concat('no such cell: ', dual, ', ', age_band, ', ', sex))"
     people = (
         member_months.where(F.col("ab_ffs") & window.contains())
+        .select("yr", "bene_id", F.call_function("shiftleft", F.lit(1).cast("bigint"), cell_number()).alias("bit"))
         .groupBy("yr", "bene_id")
-        .agg(F.bit_or(F.expr(f"CASE {whens} ELSE {unknown} END")).alias("profile"))
+        .agg(F.bit_or("bit").alias("profile"))
     )
     # A person without an id makes its combinations appear but is not counted, like any distinct count.
     profiles = people.groupBy("yr", "profile").agg(F.count("bene_id").alias("n"))

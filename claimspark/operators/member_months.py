@@ -11,20 +11,20 @@ from claimspark.functions.parsing import parse_int
 from claimspark.sources.text_tables import MONTHLY_FAMILIES, MONTHS
 
 
-def person_years(beneficiary: DataFrame) -> DataFrame:
+def person_years(beneficiary: DataFrame, strict: bool = True) -> DataFrame:
     """Demographics of a person-year next to its monthly columns; worked out here, once instead of twelve times."""
     monthly = [f"{family}_{mm}" for family in MONTHLY_FAMILIES for mm in MONTHS]
     parsed = beneficiary.select(
         F.col("BENE_ID").alias("bene_id"),
-        parse_int("BENE_ENROLLMT_REF_YR").alias("yr"),
-        parse_int("AGE_AT_END_REF_YR").alias("age"),
+        parse_int("BENE_ENROLLMT_REF_YR", strict).alias("yr"),
+        parse_int("AGE_AT_END_REF_YR", strict).alias("age"),
         labels.sex_label("SEX_IDENT_CD").alias("sex"),
         *monthly,
     )
     return parsed.select("bene_id", "yr", labels.age_band("age").alias("age_band"), "sex", *monthly)
 
 
-def unpivot_months(beneficiary: DataFrame) -> DataFrame:
+def unpivot_months(beneficiary: DataFrame, strict: bool = True) -> DataFrame:
     """One row per person, year and month from the four aligned groups of twelve columns.
 
     ``stack`` generates the rows inside the scan stage: no join with a month table and no shuffle.
@@ -33,7 +33,7 @@ def unpivot_months(beneficiary: DataFrame) -> DataFrame:
         f"{number}, {', '.join(f'{family}_{mm}' for family in MONTHLY_FAMILIES)}"
         for number, mm in enumerate(MONTHS, start=1)
     )
-    return person_years(beneficiary).selectExpr(
+    return person_years(beneficiary, strict).selectExpr(
         "bene_id",
         "yr",
         "age_band",
@@ -47,9 +47,9 @@ def entitled_months(months: DataFrame) -> DataFrame:
     return months.where(F.col("buyin_cd").isNotNull())
 
 
-def member_month(beneficiary: DataFrame) -> DataFrame:
+def member_month(beneficiary: DataFrame, strict: bool = True) -> DataFrame:
     """Entitled months with eligibility flags and demographics."""
-    return entitled_months(unpivot_months(beneficiary)).select(
+    return entitled_months(unpivot_months(beneficiary, strict)).select(
         "bene_id",
         "yr",
         "mo",

@@ -60,18 +60,18 @@ def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
     return kept.select(*[c for c in professional.columns if c != "is_physician"])
 
 
-def pc_outpatient_line(outpatient: DataFrame) -> DataFrame:
+def pc_outpatient_line(outpatient: DataFrame, strict: bool = True) -> DataFrame:
     """Outpatient revenue lines Step 6 looks at, with the line's own date and allowed dollars."""
     wanted = (F.col("HCPCS_CD") == codes.CLINIC_VISIT_CODE) | (F.col("CLM_FAC_TYPE_CD") == codes.CLINIC_FACILITY_TYPE)
     return outpatient.where(wanted).select(
         F.col("BENE_ID").alias("bene_id"),
         F.col("HCPCS_CD").alias("hcpcs_cd"),
         bill_type().alias("bill_type2"),
-        parse_claim_date("REV_CNTR_DT").alias("svc_dt"),
+        parse_claim_date("REV_CNTR_DT", strict).alias("svc_dt"),
         (
-            parse_money("REV_CNTR_PMT_AMT_AMT")
-            + parse_money("REV_CNTR_CASH_DDCTBL_AMT")
-            + parse_money("REV_CNTR_COINSRNC_WGE_ADJSTD_C")
+            parse_money("REV_CNTR_PMT_AMT_AMT", strict)
+            + parse_money("REV_CNTR_CASH_DDCTBL_AMT", strict)
+            + parse_money("REV_CNTR_COINSRNC_WGE_ADJSTD_C", strict)
         )
         .cast(MONEY)
         .alias("allowed"),

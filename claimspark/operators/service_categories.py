@@ -14,23 +14,41 @@ def with_month(claim_lines: DataFrame) -> DataFrame:
     return claim_lines.withColumns({"yr": F.year("svc_dt"), "mo": F.month("svc_dt")})
 
 
-def with_category(rows: DataFrame) -> DataFrame:
-    """Add the topline category, subcategory and type of service."""
-    return rows.withColumns(
+#: Columns with a small code for each label of a row.
+CODES = ("category_cd", "subcategory_cd", "service_cd")
+CATEGORY_COLUMNS = ("service_category", "subcategory", "type_of_service", "yr", "mo")
+
+
+def categorized(claim_lines: DataFrame) -> DataFrame:
+    """Every standardized row with year, month and small codes for its topline category, subcategory and type of service.
+
+    Spend is built from this table, and the checks on categories read it; codes instead of labels make it cheap to
+    shuffle.
+    """
+    return with_month(claim_lines).withColumns(
         {
-            "service_category": labels.service_category("src", "bill_type2"),
-            "subcategory": labels.subcategory("src", "bill_type2", "pos_cd"),
-            "type_of_service": labels.type_of_service("src", "betos_cd"),
+            "category_cd": labels.service_category("src", "bill_type2", labels.CATEGORY_LABELS),
+            "subcategory_cd": labels.subcategory("src", "bill_type2", "pos_cd", labels.SUBCATEGORY_LABELS),
+            "service_cd": labels.type_of_service("src", "betos_cd", labels.SERVICE_LABELS),
         }
     )
 
 
-CATEGORY_COLUMNS = ("service_category", "subcategory", "type_of_service", "yr", "mo")
+def labelled(rows: DataFrame, *more: str) -> DataFrame:
+    """``categorized`` rows with the labels their codes stand for, year, month and the columns ``more``."""
+    own = [c for c in rows.columns if c not in (*CODES, *CATEGORY_COLUMNS, *more)]
+    return rows.withColumns(
+        {
+            "service_category": labels.label_of("category_cd", labels.CATEGORY_LABELS),
+            "subcategory": labels.label_of("subcategory_cd", labels.SUBCATEGORY_LABELS),
+            "type_of_service": labels.label_of("service_cd", labels.SERVICE_LABELS),
+        }
+    ).select(*own, *CATEGORY_COLUMNS, *more)
 
 
 def claim_line_cat(claim_lines: DataFrame) -> DataFrame:
     """Every standardized row with its category, subcategory, type of service, year and month."""
-    return with_category(with_month(claim_lines)).select(*claim_lines.columns, *CATEGORY_COLUMNS)
+    return labelled(categorized(claim_lines))
 
 
 def paid_by_medicare_first(rows: DataFrame) -> DataFrame:
@@ -55,10 +73,11 @@ def eligibility_join(claims: DataFrame, member_months: DataFrame) -> DataFrame:
     return claims.join(months, [*on, covered]).select("c.*", *[f"m.{c}" for c in CELL])
 
 
-def spend(claim_lines: DataFrame, member_months: DataFrame) -> DataFrame:
-    """Eligible rows Medicare paid as primary, with category and the demographics of the month they fall in.
+def eligible_spend(rows: DataFrame, member_months: DataFrame) -> DataFrame:
+    """Eligible rows Medicare paid as primary, of ``categorized`` rows, with category and the demographics of the month they
+    fall in. Codes travel through the join; labels take their place after it."""
+    return labelled(eligibility_join(paid_by_medicare_first(rows), member_months), *CELL)
 
-    Categories depend on the row alone, so they are added after the join: the label text need not be shuffled.
-    """
-    eligible = eligibility_join(paid_by_medicare_first(with_month(claim_lines)), member_months)
-    return with_category(eligible).select(*claim_lines.columns, *CATEGORY_COLUMNS, *CELL)
+
+def spend(claim_lines: DataFrame, member_months: DataFrame) -> DataFrame:
+    return eligible_spend(categorized(claim_lines), member_months)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from functools import wraps
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from claimspark.config import StudyWindow
+from claimspark.functions.parsing import parse_int
 from claimspark.operators import claim_lines, facts, member_months, primary_care, service_categories
-from claimspark.plans import drivers, pmpm, validation
+from claimspark.plans import drivers, input_report, pmpm, validation
 from claimspark.sources.code_lists import CodeLists
 from claimspark.sources.store import TableStore
+from claimspark.sources.text_tables import CLAIM_FILES
 
 
 def _once(build: Callable[[CostDrivers], DataFrame]) -> Callable[[CostDrivers], DataFrame]:
@@ -32,6 +35,9 @@ class CostDrivers:
     The tables many results share (member months, claim lines, spend, the facts) are written once when first needed and
     scanned from there: below ``store``, or without one below the session's checkpoint folder, which then has to be
     set. Several analyses can use one store; each gets the tables of its own sources, lists and window.
+
+    A cell that can't be read fails a ``strict`` analysis. In another one it counts as blank, and ``input_report`` says how
+    many there are.
     """
 
     def __init__(
@@ -40,8 +46,10 @@ class CostDrivers:
         lists: CodeLists,
         window: StudyWindow | None = None,
         store: TableStore | None = None,
+        strict: bool = True,
     ):
         self.sources = sources
+        self.strict = strict
         self.lists = lists
         self.window = window or StudyWindow()
         self.store = store or TableStore.for_session(lists.places.sparkSession, "analysis")
@@ -51,14 +59,46 @@ class CostDrivers:
         self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (), of: Sequence[object] = ()
     ) -> DataFrame:
         """A stored table of the sources and of what else it depends on (``of``)."""
-        return self.store.table(name, build, partition_by, [self.sources, *of])
+        return self.store.table(name, build, partition_by, [self.sources, self.strict, *of])
+
+    def rebuild(
+        self, sources: Mapping[str, DataFrame], years: Collection[int] = (), files: Collection[str] = ()
+    ) -> CostDrivers:
+        """The analysis of ``sources`` that differ from this one's in the enrollment of some ``years`` and in some claim
+        ``files``, and in nothing else.
+
+        Member months of those years, claim lines of those files and spend of either are built and written; the other
+        partitions are read where this analysis wrote them. Reports and facts follow from the tables. This analysis
+        stays as it is.
+        """
+        unknown = set(files) - set(CLAIM_FILES)
+        if unknown:
+            raise ValueError(f"no such claim files: {', '.join(sorted(unknown))}")
+        new = CostDrivers(sources, self.lists, self.window, self.store, self.strict)
+        of = [new.sources, new.strict]
+
+        def member_month() -> DataFrame:
+            # Told from the enrollment row, so that other years aren't unpivoted.
+            changed = new.sources["beneficiary"].where(parse_int("BENE_ENROLLMT_REF_YR", self.strict).isin(list(years)))
+            return member_months.member_month(changed, self.strict)
+
+        self.store.rebuilt("member_month", self.member_month(), member_month, {"yr": years}, ["yr"], of)
+        self.store.rebuilt("claim_line", self.claim_line(), lambda: claim_lines.claim_line(new.sources, new.strict), {"src": files}, ["src"], of)
+
+        def spend() -> DataFrame:
+            rows = new.categorized()
+            changed = F.coalesce(F.col("yr").isin(list(years)), F.lit(False)) | F.col("src").isin(list(files))
+            return service_categories.eligible_spend(rows.where(changed), new.member_month())
+
+        self.store.rebuilt("spend", self.spend(), spend, {"yr": years, "src": files}, ["yr", "src"], of)
+        return new
 
     # Enrollment
 
     @_once
     def member_month(self) -> DataFrame:
         """Partitioned by year: the study window then skips whole folders."""
-        return self._table("member_month", lambda: member_months.member_month(self.sources["beneficiary"]), ["yr"])
+        return self._table("member_month", lambda: member_months.member_month(self.sources["beneficiary"], self.strict), ["yr"])
 
     @_once
     def member_months_by_year(self) -> DataFrame:
@@ -69,19 +109,21 @@ class CostDrivers:
     @_once
     def claim_line(self) -> DataFrame:
         """Partitioned by claim file: results on one file or one category read that folder only."""
-        return self._table("claim_line", lambda: claim_lines.claim_line(self.sources), ["src"])
+        return self._table("claim_line", lambda: claim_lines.claim_line(self.sources, self.strict), ["src"])
+
+    @_once
+    def categorized(self) -> DataFrame:
+        """Not stored: codes are worked out as ``claim_line`` is read. ``spend`` and the checks on categories have it in common."""
+        return service_categories.categorized(self.claim_line())
 
     @_once
     def claim_line_cat(self) -> DataFrame:
-        """Stored like the table it is made from, so that the checks compare two tables."""
-        return self._table("claim_line_cat", lambda: service_categories.claim_line_cat(self.claim_line()), ["src"])
+        return service_categories.labelled(self.categorized())
 
     @_once
     def spend(self) -> DataFrame:
         """Partitioned by year and claim file: the facts read the study years and their files only."""
-        return self._table(
-            "spend", lambda: service_categories.spend(self.claim_line(), self.member_month()), ["yr", "src"]
-        )
+        return self._table("spend", lambda: service_categories.eligible_spend(self.categorized(), self.member_month()), ["yr", "src"])
 
     # Facts
 
@@ -142,7 +184,7 @@ class CostDrivers:
 
     @_once
     def pc_outpatient_line(self) -> DataFrame:
-        return primary_care.pc_outpatient_line(self.sources["outpatient"])
+        return primary_care.pc_outpatient_line(self.sources["outpatient"], self.strict)
 
     @_once
     def pc_facility_split(self) -> DataFrame:
@@ -208,7 +250,7 @@ class CostDrivers:
         """The ten checks by name; each is built only when called.
 
         Those on row-level tables read sums by claim file, stored with a few rows each: one pass over the claim lines, one
-        over the categorized lines and one over spend serve checks 1 to 4, 8 and 9.
+        over the same lines with their categories, as spend takes them, and one over spend serve checks 1 to 4, 8 and 9.
         """
         return {
             "row_counts": lambda: validation.check_row_counts(self.sources, self.claim_sums()),
@@ -227,6 +269,11 @@ class CostDrivers:
             "pc_facility": lambda: validation.check_pc_facility(self.pc_facility_split(), self.pc_fqhc()),
         }
 
+    @_once
+    def input_report(self) -> DataFrame:
+        """Cells that can't be read and enrollment listed twice; from the source tables alone."""
+        return input_report.input_report(self.sources)
+
     @_once
     def validation(self) -> DataFrame:
         return validation.validation([build() for build in self.checks().values()])

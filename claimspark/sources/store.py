@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Collection, Hashable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +70,37 @@ class TableStore:
             self._tables[key] = write_table(build(), self.new_path(name), partition_by)
         return self._tables[key]
 
+    def rebuilt(
+        self,
+        name: str,
+        old: DataFrame,
+        build: Callable[[], DataFrame],
+        changed: Mapping[str, Collection],
+        partition_by: Sequence[str],
+        inputs: Sequence[object],
+    ) -> DataFrame:
+        """The table called ``name`` of new ``inputs``: that of ``old``, with other rows in the partitions that have one of the
+        values in ``changed`` in a column.
+
+        ``build`` gives the rows; those of unchanged partitions are left out, and only the changed ones are written, to a
+        folder of their own. The new version reads the others where they are. Nothing is deleted or overwritten, so whoever
+        reads the old version goes on reading it.
+        """
+        unknown = set(changed) - set(partition_by)
+        if unknown:
+            raise ValueError(f"{name} isn't partitioned by {', '.join(sorted(unknown))}")
+        tests = [F.coalesce(F.col(c).isin(list(values)), F.lit(False)) for c, values in changed.items() if len(values)]
+        if not tests:
+            return self._take(name, old, inputs)
+        hit = reduce(Column.__or__, tests)
+        new = write_table(build().where(hit), self.new_path(name), partition_by)
+        return self._take(name, old.where(~hit).unionByName(new), inputs)
+
+    def _take(self, name: str, table: DataFrame, inputs: Sequence[object]) -> DataFrame:
+        self._inputs += inputs
+        self._tables[(name, tuple(x if isinstance(x, Hashable) else id(x) for x in inputs))] = table
+        return table
+
 
 def plain_number(name: str) -> str:
     """A double or decimal as text without exponent and with at least one decimal: ``11140748.0``."""

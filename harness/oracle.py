@@ -1056,3 +1056,62 @@ SELECT min(yr) AS first_year, max(yr) AS last_year, arg_min(total_pmpm, yr) AS f
 FROM total_growth
 """,
 )
+
+# Input quality and rebuilds
+
+oracle(
+    "input_report",
+    """
+SELECT table_name, column_name, problem, count(*) AS n
+FROM (
+  SELECT src AS table_name, unnest(if(src = 'outpatient', ['CLM_FROM_DT', 'REV_CNTR_DT'], ['CLM_FROM_DT'])) AS column_name,
+         'unknown month' AS problem
+  FROM facility f JOIN lineitem ON l_orderkey = f.key WHERE key % 211 = 0
+  UNION ALL
+  SELECT src, if(src = 'pde', 'SRVC_DT', 'LINE_1ST_EXPNS_DT'), 'unknown month'
+  FROM supplier_row WHERE key % 211 = 0 AND (src <> 'pde' OR key % 79 <> 0)
+  UNION ALL
+  SELECT src, 'SRVC_DT', 'no such day' FROM supplier_row WHERE src = 'pde' AND key % 79 = 0
+  UNION ALL
+  SELECT src, 'LINE_ALOWD_CHRG_AMT', 'not an amount' FROM supplier_row WHERE src = 'carrier' AND key % 97 = 0
+  UNION ALL
+  SELECT src, 'LINE_NUM', 'not a whole number' FROM supplier_row WHERE src = 'carrier' AND key % 89 = 0
+  UNION ALL
+  SELECT src, 'LINE_NCH_PMT_AMT', 'more than four decimals' FROM supplier_row WHERE src = 'dme' AND key % 83 = 0
+  UNION ALL
+  SELECT src, 'CLM_PMT_AMT', 'too large' FROM facility f JOIN lineitem ON l_orderkey = f.key WHERE src = 'snf' AND key % 73 = 0
+  UNION ALL
+  SELECT 'beneficiary', 'AGE_AT_END_REF_YR', 'not a whole number'
+  FROM person_year, range(if(c % 67 = 0 AND yr = 2018, 2, 1)) WHERE c % 71 = 0
+  UNION ALL
+  SELECT 'beneficiary', 'BENE_ID, BENE_ENROLLMT_REF_YR', 'person and year listed before'
+  FROM person_year WHERE c % 67 = 0 AND yr = 2018
+) GROUP BY ALL
+""",
+)
+oracle(
+    "permissive_claims",
+    f"""
+SELECT src, CAST(ifnull(year(day_seen), 0) AS INTEGER) AS yr, count(*) AS n, count(number) AS numbered,
+       {cents("sum(paid)")} AS paid, {cents("sum(allowed)")} AS allowed
+FROM (
+  SELECT src, svc_dt AS day_seen, NULL AS number, if(src = 'snf' AND key % 73 = 0, 0, price) AS paid,
+         if(src = 'snf' AND key % 73 = 0, 0, price) + if(k < 3, share, 0) AS allowed
+  FROM facility
+  UNION ALL
+  SELECT src, if(src = 'pde' AND key % 79 = 0, NULL, svc_dt),
+         if(src = 'pde' OR (src = 'carrier' AND key % 89 = 0), NULL, line),
+         if(src = 'dme' AND key % 83 = 0, 0.1235, paid_amount), if(src = 'carrier' AND key % 97 = 0, 0, allowed_amount)
+  FROM supplier_row
+) GROUP BY ALL
+""",
+)
+oracle(
+    "partial_rebuild",
+    f"""
+SELECT yr, src, count(*) AS n, {total("allowed")} FROM eligible
+WHERE NOT (yr = 2019 AND CAST(bene_id AS BIGINT) % 7 = 0)
+  AND NOT (src = 'pde' AND CAST(string_split(clm_id, '-')[1] AS BIGINT) % 5 = 0)
+GROUP BY yr, src
+""",
+)

@@ -27,7 +27,7 @@ from claimspark.plans import drivers, pmpm, validation
 from claimspark.sources.store import TableStore, export_csv, stack_facts, write_table
 from claimspark.sources.text_tables import INSTITUTIONAL_COST_SHARE, Sources
 from harness.session import ensure_shared_folder
-from harness.tables import FILE_NUMBERS, source_tables
+from harness.tables import FILE_NUMBERS, disenrolled, soiled, source_tables
 
 _open: dict[tuple[str, str], CostDrivers] = {}
 
@@ -669,6 +669,29 @@ def average_annual_growth(cd):
     return plain(cd.average_annual_growth())
 
 
+@query
+def input_report(cd):
+    """Of the source tables with cells soiled on purpose."""
+    return CostDrivers(soiled(cd.sources), cd.lists, store=cd.store, strict=False).input_report()
+
+
+@query
+def permissive_claims(cd):
+    """Rows and dollars of soiled claim files by file and year; a cell that can't be read counts as blank."""
+    return (
+        claim_lines.claim_line(soiled(cd.sources), strict=False)
+        .groupBy("src", F.coalesce(F.year("svc_dt"), F.lit(0)).alias("yr"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("line_num").alias("numbered"), money_sum("paid"), money_sum("allowed"))
+    )
+
+
+@query
+def partial_rebuild(cd):
+    """Spend after one year's enrollment and one claim file changed, with only their partitions built again."""
+    new = cd.rebuild(disenrolled(cd.sources), years=[2019], files=["pde"])
+    return new.spend().groupBy("yr", "src").agg(F.count(F.lit(1)).alias("n"), money_sum("allowed"))
+
+
 def _check_query(name: str) -> None:
     QUERIES[f"check_{name}"] = lambda cd: cd.checks()[name]()
 

@@ -193,3 +193,32 @@ def source_tables(spark: SparkSession, sf_dir: str, store: TableStore) -> Source
 
     claims = {src: lambda src=src: claim_file(src, joined()) for src in FILE_NUMBERS}
     return Sources({"beneficiary": enrolled, **claims})
+
+
+def soiled(sources: Sources) -> Sources:
+    """The same tables with cells that can't be read, chosen by claim and person, and with some enrollment listed twice."""
+
+    def cell(table: str, column: str, test: str, text: str) -> dict[str, DataFrame]:
+        return {table: sources[table].withColumn(column, F.expr(f"CASE WHEN {test} THEN '{text}' ELSE {column} END"))}
+
+    carrier = cell("carrier", "LINE_ALOWD_CHRG_AMT", "cast(CLM_ID AS bigint) % 97 = 0", "n/a")["carrier"]
+    carrier = carrier.withColumn("LINE_NUM", F.expr("CASE WHEN cast(CLM_ID AS bigint) % 89 = 0 THEN '1x' ELSE LINE_NUM END"))
+    people = cell("beneficiary", "AGE_AT_END_REF_YR", "cast(BENE_ID AS bigint) % 71 = 0", "old")["beneficiary"]
+    twice = people.where("cast(BENE_ID AS bigint) % 67 = 0 AND BENE_ENROLLMT_REF_YR = '2018'")
+    return Sources(
+        {
+            **{name: sources[name] for name in sources},
+            "carrier": carrier,
+            "beneficiary": people.unionByName(twice),
+            **cell("dme", "LINE_NCH_PMT_AMT", "cast(CLM_ID AS bigint) % 83 = 0", "0.123456"),
+            **cell("pde", "SRVC_DT", "cast(substring_index(PDE_ID, '-', 1) AS bigint) % 79 = 0", "31-Feb-2018"),
+            **cell("snf", "CLM_PMT_AMT", "cast(CLM_ID AS bigint) % 73 = 0", "123456789012345678"),
+        }
+    )
+
+
+def disenrolled(sources: Sources) -> Sources:
+    """The same tables a year later: some people's enrollment of 2019 is gone, and so are some fills."""
+    people = sources["beneficiary"].where("NOT (BENE_ENROLLMT_REF_YR = '2019' AND cast(BENE_ID AS bigint) % 7 = 0)")
+    fills = sources["pde"].where("cast(substring_index(PDE_ID, '-', 1) AS bigint) % 5 <> 0")
+    return Sources({**{name: sources[name] for name in sources}, "beneficiary": people, "pde": fills})

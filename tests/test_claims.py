@@ -167,3 +167,19 @@ def test_spend_has_category_and_cell(sources):
     assert values(kept, "service_category", "yr", "mo", "dual", "age_band", "sex") == [
         ("Retail Pharmacy", 2016, 2, True, "65-74", "Female")
     ]
+
+
+def test_dollars_lost_before_spend_fail_the_check(spark, sources, tmp_path, monkeypatch):
+    """The rows spend is built from are those checks 2 and 3 read."""
+    from claimspark import CodeLists, CostDrivers
+    from claimspark.operators import service_categories
+    from claimspark.sources.store import TableStore
+
+    rows = [{"BENE_ID": "a", "PDE_ID": str(k), "SRVC_DT": "01-Jan-2016", "TOT_RX_CST_AMT": "24"} for k in range(4)]
+    tables = sources(beneficiary=[person("a")], pde=rows)
+    whole = CostDrivers(tables, CodeLists.builtin(spark), store=TableStore(f"{tmp_path}/whole"))
+    assert whole.spend().count() == 4 and values(whole.checks()["dollars_preserved"](), "status") == [("PASS",)]
+    real = service_categories.with_month
+    monkeypatch.setattr(service_categories, "with_month", lambda df: real(df).where("clm_id <> '2'"))
+    short = CostDrivers(tables, CodeLists.builtin(spark), store=TableStore(f"{tmp_path}/short"))
+    assert short.spend().count() == 3 and values(short.checks()["dollars_preserved"](), "status") == [("FAIL",)]

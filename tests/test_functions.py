@@ -203,3 +203,40 @@ def test_sums_do_not_depend_on_the_order(spark):
         tuple(cents.repartition(n, F.hash("id")).groupBy().agg(as_double, as_money).first()) for n in (1, 13, 64)
     }
     assert len({s[0] for s in seen}) > 1 and len({s[1] for s in seen}) == 1
+
+
+# Strict and permissive cells
+
+AMOUNTS = {
+    "12.50": None, " 7 ": None, "": None, " ": None, None: None, "1e3": None, "0.12340": None, "-3.1": None,
+    "12,50": "not an amount", "n/a": "not an amount", "0.12345": "more than four decimals", "1e-5": "more than four decimals",
+    "123456789012345": "too large", "99999999999999.9999": None,
+}
+
+
+def test_problems_of_cells(spark):
+    check(spark, parsing.problem_of(A, "money"), AMOUNTS)
+    check(spark, parsing.problem_of(A, "int"), {"7": None, " 7 ": None, "": None, None: None, "x": "not a whole number", "99999999999": "not a whole number"})
+    check(spark, parsing.problem_of(A, "date"), {"01-Mar-2018": None, None: None, "31-Feb-2018": "no such day", "01-Foo-2018": "unknown month", "": "unknown month"})
+
+
+def test_permissive_cells_count_as_blank(spark):
+    want = {a: Decimal(0) if p in ("not an amount", "too large") else Decimal(str(float(a))) if p is None and (a or "").strip() else 0 for a, p in AMOUNTS.items()}
+    want |= {"0.12345": Decimal("0.1235"), "1e-5": Decimal(0), "99999999999999.9999": Decimal("99999999999999.9999")}
+    check(spark, parsing.parse_money(A, strict=False), want)
+    check(spark, parsing.parse_int(A, strict=False), {"x": None, "7": 7, "": None})
+    got = evaluate(spark, parsing.parse_claim_date(A, strict=False).cast("string"), ["31-Feb-2018", "01-Mar-2018", "01-Foo-2018", None])
+    assert got == [None, "2018-03-01", None, None]
+
+
+def test_what_is_reported_is_what_fails(spark):
+    for amount, problem in AMOUNTS.items():
+        if problem:
+            with pytest.raises(Exception):
+                evaluate(spark, parsing.parse_money(A), [amount])
+
+
+def test_an_amount_is_parsed_once(spark):
+    """Only a cell with more digits after its point, or an exponent, meets a second cast."""
+    plan = spark.createDataFrame([("1",)], "a string").select(parsing.parse_money(A))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as double") == 2 and "instr" in plan

@@ -239,7 +239,7 @@ def test_reports_read_raw_files_a_fixed_number_of_times(spark, tmp_path, with_co
     report = cd.validation()
     assert scans(report, f"{root}/order_line") == 8 + 1  # check 1 by file; check 10 the clinic lines
     assert scans(report, f"{root}/beneficiary") == 1
-    for name in ("claim_line-", "claim_line_cat-", "spend-"):
+    for name in ("claim_line-", "spend-"):
         assert scans(report, f"{root}/{name}") == 0
     by_year = cd.primary_care_by_year()
     assert scans(by_year, f"{root}/order_line") == 1

@@ -1,4 +1,5 @@
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from claimspark import CodeLists, CostDrivers, Sources, StudyWindow
 from claimspark.sources import store
 from claimspark.sources.text_tables import REQUIRED_COLUMNS, read_text_csv
-from tests.conftest import person, values
+from harness.tables import disenrolled, source_tables
+from tests.conftest import SF_TINY, person, values
 
 
 class Session:
@@ -194,3 +196,44 @@ def test_two_code_lists_over_one_store(spark, csv_folder, tmp_path):
         paths.append(cd.pc_step5().inputFiles())
         assert cd.spend().inputFiles() == CostDrivers(sources, full, store=shared).spend().inputFiles()
     assert not set(paths[0]) & set(paths[1])
+
+
+def test_changed_partitions_are_rebuilt_and_old_readers_go_on(spark, tmp_path):
+    tables = store.TableStore(f"{tmp_path}")
+    rows = lambda shift: spark.range(40).selectExpr("id % 4 AS yr", f"id + {shift} AS x", "if(id % 2 = 0, 'a', 'b') AS src")
+    old = tables.table("t", lambda: rows(0), ["yr", "src"], ["one"])
+    files = {p: os.path.getmtime(p) for p in glob.glob(f"{tmp_path}/t-*/**/*.parquet", recursive=True)}
+    new = tables.rebuilt("t", old, lambda: rows(1000), {"yr": [1], "src": []}, ["yr", "src"], ["two"])
+    assert values(new) == values(rows(0).where("yr <> 1").unionByName(rows(1000).where("yr = 1")))
+    assert values(old) == values(rows(0)) and values(tables.table("t", None, inputs=["one"])) == values(old)
+    assert values(tables.table("t", None, inputs=["two"])) == values(new)
+    written = set(glob.glob(f"{tmp_path}/t-*/**/*.parquet", recursive=True)) - set(files)
+    assert written and all("/yr=1/" in p for p in written) and all(os.path.getmtime(p) == t for p, t in files.items())
+    third = tables.rebuilt("t", new, lambda: rows(5000), {"yr": [2], "src": ["b"]}, ["yr", "src"], ["three"])
+    assert values(third) == values(new.where("yr <> 2 AND src <> 'b'").unionByName(rows(5000).where("yr = 2 OR src = 'b'")))
+    assert tables.rebuilt("t", old, None, {}, ["yr"], ["four"]) is old
+    with pytest.raises(ValueError, match="x"):
+        tables.rebuilt("t", old, lambda: rows(1), {"x": [1]}, ["yr"], ["five"])
+
+
+def test_rows_of_unknown_partitions_stay(spark, tmp_path):
+    tables = store.TableStore(f"{tmp_path}")
+    old = tables.table("t", lambda: spark.createDataFrame([(None, 1), (2019, 2)], "yr int, x int"), ["yr"], ["one"])
+    new = tables.rebuilt("t", old, lambda: spark.createDataFrame([(2019, 3), (2020, 9)], "yr int, x int"), {"yr": [2019]}, ["yr"], ["two"])
+    assert values(new, "x", "yr") == [(1, None), (3, 2019)]
+
+
+def test_a_rebuilt_analysis_equals_a_new_one(spark, tmp_path):
+    tables = store.TableStore(f"{tmp_path}/store")
+    cd = CostDrivers(source_tables(spark, SF_TINY, tables), CodeLists.builtin(spark), store=tables)
+    before = values(cd.spend_fact())
+    changed = disenrolled(cd.sources)
+    new = cd.rebuild(changed, years=[2019], files=["pde"])
+    alone = CostDrivers(changed, cd.lists, store=store.TableStore(f"{tmp_path}/alone"))
+    for name in ("member_months_by_year", "spend_fact", "members_fact", "pmpm_growth", "primary_care_by_year"):
+        assert values(getattr(new, name)()) == values(getattr(alone, name)())
+    part = lambda df: {p for p in df.inputFiles() if "yr=2018/src=carrier" in p}
+    assert part(new.spend()) == part(cd.spend()) and part(cd.spend())
+    assert values(cd.spend_fact()) == before != values(new.spend_fact())
+    with pytest.raises(ValueError, match="claim files"):
+        cd.rebuild(changed, files=["dental"])
