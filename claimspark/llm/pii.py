@@ -31,8 +31,10 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HANDLE = re.compile(r"@[A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@.])")
 _CONTACT = re.compile(r"[A-Za-z0-9.+@%_()-]{3,}")
-_ACCOUNT = re.compile(r"\s{0,2}(?:no\.?|number|nr\.?|#)?[\s:=#]{0,3}([A-Z]{0,4}[0-9](?:[\x20-]?[A-Z0-9]){3,33})\b")
-_STREET = re.compile(r"([0-9]{1,5}[A-Za-z]?,? (?:[^\W\d_]+[ -]){0,4}[^\W\d_]*)$")
+_ACCOUNT = re.compile(r"\s{0,2}(?i:no\.?|number|nr\.?|#)?[\s:=#]{0,3}([A-Z]{0,4}[0-9](?:[\x20-]?[A-Z0-9]){3,33})\b")
+_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?")
+#: A-Z to a-z, so that the copy that anchors are looked for in has the text's places.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def luhn(digits: str) -> bool:
@@ -59,27 +61,49 @@ def automaton():
         [("@", "at"), ("+", "plus")]
         + [(d, "digit") for d in "0123456789"]
         + [(s, "scheme") for s in SCHEMES]
-        + [(f"{c[0].upper() if up else c[0]}{c[1:]}", "account") for c in ACCOUNT_CUES for up in (0, 1)]
-        + [("IBAN", "account"), ("SSN", "account")]
-        + [(f"{c[0]}{c[1].upper() if up else c[1]}{c[2:]}", "street") for c in STREET_CUES for up in (0, 1)]
+        + [(c, "account") for c in ACCOUNT_CUES]
+        + [(c, "street") for c in STREET_CUES]
     ):
         found.add_word(anchor, (what, len(anchor)))
     found.make_automaton()
     return found
 
 
+def house_number(text: str, at: int, least: int) -> int | None:
+    """Where the house number before a street name begins that ends at ``at``: words of letters, one blank or hyphen between
+    them, to the left of it; None if something else comes first, or ``least``."""
+    while at > least and text[at - 1].isalpha():
+        at -= 1
+    while at - 1 > least and text[at - 1] in " -":
+        end = at - 1
+        if text[at - 1] == " " and text[end - 1] == ",":
+            end -= 1
+        start = end
+        while start > least and text[start - 1].isalnum():
+            start -= 1
+        word = text[start:end]
+        if _HOUSE.fullmatch(word):
+            return start if text[at - 1] == " " else None
+        if not word.isalpha() or end != at - 1:
+            return None
+        at = start
+    return None
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, sorted: kind is a place in ``KINDS``, end is exclusive.
 
     Anchors come in the order of their ends, so each parser goes from left to right over its own kind and remembers where
     its last match ended; the next begins there at the earliest. An email expands to the left from its at-sign, an
-    address or card number from the first digit of a run, a phone number from its plus. Expansion to the right is a
-    match at a known place, whose length is bounded by the run it is in.
+    address or card number from the first digit of a run, a phone number from its plus, a street from its last word back to
+    its house number. Expansion to the right is a match at a known place, whose length is bounded by the run it is in.
+    Words that announce something count in upper, lower and mixed case.
     """
     spans: list[tuple[int, int, int]] = []
     after = [0] * len(KINDS)  # where the last match of a kind ended, valid or not
     digits_to = -1  # end of the run of digits that was looked at last
-    for last, (what, width) in automaton().iter(text):
+    no_house = 0  # no street name has a house number before this place
+    for last, (what, width) in automaton().iter(text.translate(_LOWER)):
         at = last - width + 1
         if what == "digit":
             if at < digits_to:
@@ -123,10 +147,14 @@ def find(text: str) -> list[tuple[int, int, int]]:
                     after[6] = m.end(1)
                     spans.append((6, m.start(1), m.end(1)))
         elif not text[last + 1 : last + 2].isalnum():  # a street name ends here
-            left = max(after[7], at - 60)
-            if m := _STREET.search(text[left : at + 1] if text[at] != " " else text[left:at]):
+            start = house_number(text, at, max(after[7], no_house))
+            if start is not None:
                 after[7] = last + 1
-                spans.append((7, left + m.start(1), last + 1))
+                spans.append((7, start, last + 1))
+            else:  # a longer name can only have the word before this one as its number
+                no_house = at
+                while no_house > after[7] and text[no_house - 1].isalnum():
+                    no_house -= 1
     spans.sort()
     return spans
 

@@ -216,7 +216,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: fl
                 w = words(part.column(place), ALNUM)
                 first, last, logit = fitted.evidence(w)
                 row = w.row[first]
-                total = np.bincount(row, softplus(logit), n)
+                total = np.bincount(row, softplus(logit), n).astype(np.float64)  # of nothing it is whole numbers
                 p = np.exp(-softplus(-logit))
                 for k in np.flatnonzero(p >= at_least):
                     base = w.offsets[row[k]]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -24,6 +25,34 @@ DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a URI as Spark writes it; an error for a scheme that tasks can't reach.
+
+    Tasks open archives themselves, to read ranges of them. ``s3a`` and ``s3n`` are S3, ``dbfs`` is the folder that all machines
+    of such a cluster mount, ``abfs(s)`` and ``wasb(s)`` are Azure, ``hdfs`` and ``viewfs`` need Hadoop's client on the workers.
+    For any other store pass an opener of your own wherever a folder is written or read.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), re.sub("^/+", "/", rest)
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem(), rest.lstrip("/")
+    if scheme in ("abfs", "abfss", "wasb", "wasbs"):
+        container, _, place = rest.lstrip("/").partition("@")
+        host, _, path = place.partition("/")
+        return fs.AzureFileSystem(account_name=host.split(".")[0]), f"{container}/{path}"
+    if scheme in ("hdfs", "viewfs", "gs"):
+        return fs.FileSystem.from_uri(uri)
+    raise ValueError(f"tasks can't reach {scheme}: pass an opener for {uri}")
+
+
+Opener = Callable[[str], tuple[fs.FileSystem, str]]
+
+
 def with_record_types(
     pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
@@ -85,14 +114,18 @@ def record(page_id: str | None, url: str | None, payload: bytes, size: int, dige
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
+def write_archives(
+    records: DataFrame, folder: str, archive_bytes: int = 64 << 20, level: int = 1, opener: Opener = open_store
+) -> DataFrame:
     """Write the rows of ``with_record_types`` below ``folder`` and return path, records and bytes of each archive.
 
     Every task writes archives of its own, a new one after ``archive_bytes``. An archive is a ZIP file of stored members:
     the records, each compressed alone so that it can be read alone, and an index with a line for each. File names
     hold the attempt's number and only successful attempts are in the result, so a lost executor leaves files that
-    nobody reads but no wrong rows. ``folder`` is a URI that all executors reach.
+    nobody reads but no wrong rows. ``folder`` is a URI that all executors reach, through ``opener``; one that it doesn't know
+    fails here, before anything is written.
     """
+    opener(folder)
     rows = records.select(
         F.col("page_id").cast("string").alias("page_id"), "url", F.col("payload").cast("binary").alias("payload"),
         "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"),
@@ -100,7 +133,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 64 << 2
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opener(folder)
         store.create_dir(root, recursive=True)
 
         def flat() -> Iterator[tuple]:
@@ -178,18 +211,14 @@ def members(read, size: int) -> dict[str, tuple[int, int, int]]:
     return found
 
 
-def opened(path: str):
-    store, name = fs.FileSystem.from_uri(path)
-    return store.open_input_file(name)
-
-
-def record_ranges(archives: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
+def record_ranges(archives: DataFrame, range_bytes: int = 4 << 20, opener: Opener = open_store) -> DataFrame:
     """path, first byte and bytes of runs of whole records of about ``range_bytes``, from directories and indexes."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with opened(path) as file:
+                store, name = opener(path)
+                with store.open_input_file(name) as file:
                     found = members(lambda at, n, f=file: f.read_at(n, at), file.size())
                     for name in (DATA_MEMBER, INDEX_MEMBER):
                         if name not in found or found[name][0] != zipfile.ZIP_STORED:
@@ -218,7 +247,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, opener: Opener = open_store) -> DataFrame:
     """One row per record: page_id, record_type, refers_to (text ids), target_uri, payload (null for a revisit),
     payload_bytes and payload_digest of the full payload.
 
@@ -226,14 +255,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
     directories, the index and the ranges are read. A response whose payload doesn't have the digest of its header is an
     error, so is a broken directory.
     """
-    ranges = record_ranges(archives).repartition(slots(archives.sparkSession))
+    ranges = record_ranges(archives, opener=opener).repartition(slots(archives.sparkSession))
     names = ["page_id", "record_type", "refers_to", "target_uri", "payload", "payload_bytes", "payload_digest"]
     schema = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in names])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with opened(path) as file:
+                store, name = opener(path)
+                with store.open_input_file(name) as file:
                     raw = file.read_at(size, first)
                 rows = []
                 while raw:
@@ -266,14 +296,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def round_trip(
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+    opener: Opener = open_store,
+) -> DataFrame:
     """Archive ``pages`` below ``folder``, read the archives back, and describe each record.
 
     A null payload is empty. A null id sorts after all others: such a page is a response unless its payload stands under
     an id as well. Rows that repeat the smallest id of a payload are all responses. Ids keep their type.
     """
     kind = pages.schema[id_col].dataType
-    found = read_archives(write_archives(with_record_types(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), folder))
+    records = with_record_types(pages, id_col=id_col, url_col=url_col, payload_col=payload_col)
+    found = read_archives(write_archives(records, folder, opener=opener), opener)
     return found.select(
         F.col("page_id").cast(kind).alias("page_id"),
         "payload_bytes",

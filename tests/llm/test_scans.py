@@ -49,6 +49,82 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert [s for s in pii.find(text) if s[0] < 4] == base_spans(text)
 
 
+def own_spans(text):
+    """Spans of the other kinds, from every place a cue could stand at."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    edge = lambda k: k == 0 or not text[k - 1].isalnum()
+    out, last = [], {"contact_url": 0, "account": 0, "address": 0}
+    at_signs = {m.start() + m[0].index("@") for m in re.finditer(BASE["email"], text)}
+    for end in range(1, len(text) + 1):
+        for scheme in pii.SCHEMES:
+            k = end - len(scheme)
+            m = re.compile(r"[A-Za-z0-9.+@%_()-]{3,}").match(text, end)
+            if k >= last["contact_url"] and low[:end].endswith(scheme) and edge(k) and m:
+                out.append(("contact_url", k, m.end()))
+                last["contact_url"] = m.end()
+        if text[end - 1] == "@" and end - 1 not in at_signs and edge(end - 1):
+            m = re.compile(r"[A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@.])").match(text, end)
+            out += [("handle", end - 1, m.end())] if m else []
+        for cue in pii.ACCOUNT_CUES:
+            k = end - len(cue)
+            if not low[:end].endswith(cue) or not edge(k) or k < last["account"]:
+                continue
+            m = re.compile(r"\s{0,2}(?:no\.|no|number|nr\.|nr|#)?[\s:=#]{0,3}", re.I).match(text, end)
+            m = re.compile(r"([A-Z]{0,4}[0-9]([ -]?[A-Z0-9]){3,33})\b").match(text, m.end())
+            number = re.sub("[ -]", "", m[1]) if m else ""
+            iban = re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}", number)
+            if m and (pii.valid_iban(number) if iban else sum(c in "0123456789" for c in number) >= 5):
+                out.append(("account", m.start(1), m.end(1)))
+                last["account"] = m.end(1)
+        for cue in pii.STREET_CUES:
+            k = end - len(cue)
+            if low[:end].endswith(cue) and not text[end : end + 1].isalnum():
+                m = re.search(r"(?<![^\W_])[0-9]{1,5}[A-Za-z]?,? ([^\W\d_]+[ -])*[^\W\d_]*$", text[last["address"] : k])
+                if m:
+                    out.append(("address", last["address"] + m.start(), end))
+                    last["address"] = end
+    return sorted((pii.KINDS.index(kind), a, b) for kind, a, b in out)
+
+
+OWN_PARTS = st.sampled_from(
+    ["Account Number: 12345678", "ACCOUNT 12345678", "Passport No. X1234567", "Tax ID 123456789", "user id", "IBAN ", "SSN",
+     "Social Security Number 123-45-6789", "DE89 3704 0044 0532 0130 00", "221 Baker Street", "12b The Very Long Old Winding Country Road",
+     "5, Elm-Park avenue", "1234567 X STREET", "9 Kurfürstenstraße", " Main", " Street", " street", " 7", "7 ", "3a ", "-", ", ", "@home",
+     "@a.b", "x@y.org", "SIP:bob@x.org", "Tel:+49", "mailto:", " ", "\n", "#", "é", "1", "Z9"]
+)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(OWN_PARTS, max_size=10).map("".join) | st.lists(OWN_PARTS, max_size=8).map(" ".join))
+def test_spans_of_the_other_kinds_are_those_of_a_full_search(text):
+    assert [s for s in pii.find(text) if s[0] >= 4] == own_spans(text)
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("Account Number: 12345678", "12345678"),
+        ("ACCOUNT 12345678", "12345678"),
+        ("Passport No. X1234567", "X1234567"),
+        ("Tax ID 123456789", "123456789"),
+        ("Social Security Number 123-45-6789", "123-45-6789"),
+        ("at 12 The Very Long Old Winding Country Road.", "12 The Very Long Old Winding Country Road"),
+        ("at 7 " + "Long " * 40 + "Lane!", "7 " + "Long " * 40 + "Lane"),
+        ("9B KURFÜRSTEN STREET", "9B KURFÜRSTEN STREET"),
+    ],
+)
+def test_forms_that_announce_personal_data(text, value):
+    assert value in [text[a:b] for k, a, b in pii.find(text) if k >= 4]
+
+
+def test_long_texts_full_of_cues_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    assert not [s for s in pii.find("Long Street " * 100_000) if s[0] == 7]
+    assert time.perf_counter() - start < 20
+
+
 def test_own_kinds_are_found_and_checked():
     kinds = lambda text: {pii.KINDS[k]: text[a:b] for k, a, b in pii.find(text)}
     assert kinds("pay to IBAN: DE89 3704 0044 0532 0130 00 now")["account"] == "DE89 3704 0044 0532 0130 00"
