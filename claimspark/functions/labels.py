@@ -92,4 +92,6 @@ def type_of_service(src: str, betos: str, names: Sequence[str] | None = None) ->
 
 
 def label_of(code: str, names: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in names]), F.col(code) + 1)
+    """The label a code stands for; NULL for none. Spark takes a NULL place in an array of known labels for -1, so it is kept
+    from it."""
+    return F.when(F.col(code).isNotNull(), F.element_at(F.array(*[F.lit(name) for name in names]), F.col(code) + 1))
