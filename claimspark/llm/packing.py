@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.scratch import slots, stored
-from claimspark.llm.text import slices
+from claimspark.llm.text import SPACED, slices, words
 
 #: The one kind of tokenizer whose texts are put together from words: what it does before it looks at single words.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -23,78 +22,150 @@ _SPLIT = (
     f'Sequence(pretokenizers=[Split(pattern=Regex("{_WORD_PATTERN}"), behavior=Removed, invert=True), '
     "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"
 )
-#: White space that only one of Python and the tokenizer splits at, the start of special tokens, and a letter whose
-#: small form has two characters.
+#: White space beyond ASCII blanks, the start of special tokens, and a letter whose small form has two characters.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0İ]|<\\|")
 _BEYOND_LATIN = re.compile("[ɐ-\U0010ffff]")
 
 
+class Vocabulary:
+    """Token ids by word hash: sorted hashes, and for each the place and number of its ids in one pool.
+
+    When more than ``most`` words are known, those that no batch had since the last time go, or all if these are few.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.used = np.zeros(0, bool)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.filled = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted ``keys``, and which of them are known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.used[at[known]] = True
+        return at, known
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Ids of new, sorted ``keys``."""
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.concatenate(ids)
+        if self.filled + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + len(new), np.uint32)])
+        self.pool[self.filled : self.filled + len(new)] = new
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.filled + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.used = np.insert(self.used, at, True)
+        self.keys = np.insert(self.keys, at, keys)
+        self.filled += len(new)
+
+    def shrink(self) -> None:
+        """Called between batches."""
+        if len(self.keys) <= self.most:
+            return
+        keep = self.used
+        if 2 * keep.sum() > self.most:
+            self.clear()
+            return
+        start, length = self.start[keep], self.length[keep]
+        self.pool = self.pool[gathered(start, length)]
+        self.filled = len(self.pool)
+        self.keys, self.start, self.length = self.keys[keep], np.cumsum(length) - length, length
+        self.used = np.zeros(len(length), bool)
+
+
+def gathered(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ..., ``length`` of them, for each start, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts.
 
     A tokenizer that lower-cases and never joins across blanks gives a word the same ids wherever it stands, and most
-    words of a corpus come again and again. So ids are kept by word and a text is put together from them; new words are
-    looked up in one call per batch. Latin texts are lower-cased and new words split here, by the tokenizer's own
-    pattern; in the simple range up to U+024F that is the same in any version of Unicode. Words of other texts go through
-    the whole tokenizer, texts with unusual white space or special tokens go there as they are. With tokenizers of
-    another kind all texts do. The kept words are dropped when there are too many.
+    words of a corpus come again and again. So a batch's distinct words are looked up, those not known yet are tokenized in
+    one call, and the ids of all its texts are gathered at once by places. Words of Latin letters are lower-cased and split
+    here, by the tokenizer's own pattern; in the simple range up to U+024F that is the same in any version of Unicode.
+    Other words go through the whole tokenizer, those with unusual white space or special tokens one by one. With
+    tokenizers of another kind whole texts do.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 1_500_000):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = str(self.tokenizer.normalizer) == _NORMAL and str(self.tokenizer.pre_tokenizer) == _SPLIT
+        blanks = any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
+        simple = str(self.tokenizer.normalizer) == _NORMAL and str(self.tokenizer.pre_tokenizer) == _SPLIT
+        self.by_words = simple and not blanks
         self.bare = Tokenizer(self.tokenizer.model)  # for words that are lower-cased and split
         self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(_WORD_PATTERN)
-        self.most_words = most_words
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def look_up(self, tokenizer, words: list[str]) -> None:
-        """Ids of words: all in one call, then cut where the tokenizer says a word ends."""
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            encoding = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(encoding.ids, "<u4").tobytes()
-            cuts = np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new lower-case Latin words: those of letters as they are, others from the parts the pattern finds."""
-        known, find = self.known, self.pattern.findall
-        whole = [w for w in words if w.isalpha()]
-        rest = [(w, find(w)) for w in words if not w.isalpha()]
-        new = {p for _, ps in rest for p in ps if p not in known}
-        new.update(whole)
-        self.look_up(self.bare, list(new))
-        for w, ps in rest:
-            known[w] = b"".join([known[p] for p in ps])
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if not self.by_words:
-            return [self.whole(t) for t in texts]
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        split: list[list[str] | None] = []
-        latin: set[str] = set()
-        others: set[str] = set()
+        self.known = Vocabulary(most_words)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def look_up(self, tokenizer, parts: list[str]) -> list[np.ndarray]:
+        """Ids of each of a list of words: all in one call, then cut where the tokenizer says a word ends."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            encoding = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoding.ids, np.uint32)
+            cuts = np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def learn(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of words: of letters as they are, of others from the parts the pattern finds."""
+        ids: dict[str, np.ndarray] = {}
+        latin: list[str] = []
+        others: list[str] = []
         for t in texts:
-            odd = _ODD.search(t)
-            simple = not odd and (t.isascii() or not _BEYOND_LATIN.search(t))
-            words = None if odd else t.lower().split() if simple else t.split()
-            split.append(words)
-            if words:
-                (latin if simple else others).update(words)
-        known = self.known
-        self.look_up(self.tokenizer, [w for w in others if w not in known])
-        self.learn([w for w in latin if w not in known])
-        return [self.whole(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split, strict=True)]
+            if _ODD.search(t):
+                ids[t] = self.whole(t)
+            else:
+                (latin if t.isascii() or not _BEYOND_LATIN.search(t) else others).append(t)
+        ids.update(zip(others, self.look_up(self.tokenizer, others), strict=True))
+        low = [t.lower() for t in latin]
+        find = self.pattern.findall
+        split = {t: [t] if t.isalpha() else find(t) for t in set(low)}
+        parts = list({p for ps in split.values() for p in ps})
+        of_part = dict(zip(parts, self.look_up(self.bare, parts), strict=True))
+        none = np.zeros(0, np.uint32)
+        for t, small in zip(latin, low, strict=True):
+            ps = split[small]
+            ids[t] = of_part[ps[0]] if len(ps) == 1 else np.concatenate([of_part[p] for p in ps]) if ps else none
+        return [ids[t] for t in texts]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after the other, and how many each has; nulls are empty."""
+        if not self.by_words:
+            every = [self.whole(t or "") for t in column.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *every]), np.array([len(x) for x in every], np.int64)
+        w = words(column, SPACED, fold=False)
+        keys, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        self.known.shrink()
+        new = np.flatnonzero(~self.known.find(keys)[1])
+        if len(new):
+            cut = first[new]
+            texts = [w.data[a:b].tobytes().decode() for a, b in zip(w.start[cut].tolist(), w.end[cut].tolist(), strict=True)]
+            self.known.add(keys[new], self.learn(texts))
+        at, _ = self.known.find(keys)
+        length = self.known.length[at][of]
+        ids = self.known.pool[gathered(self.known.start[at][of], length)]
+        sums = np.concatenate([[0], np.cumsum(length)])
+        return ids, np.diff(sums[w.first])
 
 
 @lru_cache(1)
@@ -105,171 +176,258 @@ def encoder(path: str) -> Encoder:
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, and the ids if asked for.
+    """Pieces of at most ``capacity`` tokens: doc_id, the columns ``keep``, piece, start, length, ids_crc32, and the ids if
+    asked for.
 
     ``tokenizer`` is the path of a vocabulary file that every executor has. A document is its tokens and ``end_id``; a
     null or empty text is ``end_id`` alone. Only documents longer than ``capacity`` are cut.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, piece, start, crc, ids = [], [], [], [], []
-                for k, raw in enumerate(ids_of.encode([x or "" for x in part.column("text").to_pylist()])):
-                    raw += end
-                    for n, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
-                        row.append(k)
-                        piece.append(n)
-                        start.append(at // 4)
-                        crc.append(zlib.crc32(own))
-                        ids.append(own)
+                ids, lengths = ids_of.encode(part.column("text"))
+                ends = np.cumsum(lengths)
+                ids = np.insert(ids, ends, end_id)
+                lengths = lengths + 1
+                pieces = -(-lengths // capacity)
+                row = np.repeat(np.arange(len(lengths)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(capacity, lengths[row] - piece * capacity)
+                cuts = np.r_[0, np.cumsum(length)]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
                 columns = [
-                    part.column("doc_id").take(pa.array(row, pa.int64())),
+                    *[part.column(c).take(pa.array(row)) for c in ("doc_id", *keep)],
                     pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(piece * capacity),
+                    pa.array(length),
                     pa.array(crc, pa.int64()),
                 ]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                names = ["doc_id", *keep, "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    schema = f"{kinds}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return rows.mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
 
 
-def ranked(df: DataFrame, size: str, order: Sequence[str], name: str) -> tuple[DataFrame, dict[int, int]]:
+def here(df: DataFrame) -> DataFrame:
+    """A table of counts by size, at most some capacity rows, known and in one partition from here on."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+
+def ranked(df: DataFrame, size: str, order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``rank``, its place from 0 among the rows of its ``size`` in ``order``; and the number of rows by size.
 
     Rows are range-sorted over all tasks, so equal sizes spread over as many tasks as they fill. A rank is the place in
-    the task plus the rows of that size in the tasks before; those counts have one row per size and task boundary.
+    the task plus the rows of that size in the tasks before; those counts have one row per size and task boundary, at
+    most capacity + tasks for whole numbers up to the capacity, and pass through the driver.
     """
-    dealt = df.repartitionByRange(slots(df.sparkSession), size, *order).sortWithinPartitions(size, *order)
+    spark = df.sparkSession
+    parts = -(-slots(spark) // 8)  # rows are narrow
+    dealt = df.repartitionByRange(parts, size, *order).sortWithinPartitions(size, *order)
     placed = stored(
         dealt.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()), name
     )
     before = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(
-        placed.groupBy(size, "part")
-        .agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"))
-        .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))),
-        f"{name}_counts",
-    )
-    # At most capacity + tasks rows: sizes are whole numbers up to the capacity, tasks hold ranges of them.
+    counts = placed.groupBy(size, "part").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_line"))
+    known = here(counts.select(size, "part", "shift", "n"))
     with_rank = (
-        placed.join(F.broadcast(counts), [size, "part"])
-        .withColumn("rank", F.col("line") - F.col("first_line") + F.col("earlier"))
-        .drop("part", "line", "first_line", "n", "earlier")
+        placed.join(F.broadcast(known), [size, "part"])
+        .withColumn("rank", F.col("line") + F.col("shift"))
+        .drop("part", "line", "shift", "n")
+    )
+    return with_rank, known.groupBy(size).agg(F.sum("n").alias("n"))
+
+
+def places_of(by_gap: DataFrame, longest: int) -> DataFrame:
+    """The places that gaps have for documents of up to ``longest`` tokens: gap, size, of_one (places of that size in a gap) and
+    n (in all gaps of that length).
+
+    A gap that is long enough for several documents is cut into places of ``longest``; what is over goes to its last one.
+    """
+    times = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("bigint")
+    last = F.struct((F.col("gap") - (times - 1) * longest).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("of_one"))
+    full = F.struct(F.lit(longest).cast("bigint").alias("size"), (times - 1).alias("of_one"))
+    return (
+        by_gap.select("gap", "n", F.explode(F.array(last, full)).alias("place"))
+        .where("place.of_one > 0")
+        .select("gap", "place.size", "place.of_one", (F.col("n") * F.col("place.of_one")).alias("n"))
     )
-    by_size = counts.groupBy(size).agg(F.sum("n").alias("n")).collect()  # at most capacity rows
-    return with_rank, {r[size]: r["n"] for r in by_size}
 
 
-def sweep(documents: dict[int, int], gaps: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], int]:
-    """Matches of one superstep from counts by size: rows (length, from, n, gap, gap_from, offset), and sequences opened.
+def sweep(left: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which documents find a place in a superstep, and which places: from counts by size.
+
+    ``left`` (length, first, n) are documents with ranks from ``first`` up to ``n`` of their length, ``places`` (size, n, gap
+    and more) counts of open places. From long to short, every document looks for a place that is long enough and none
+    before it took, and takes the first of them. With D documents and G places at or above a size that makes U = D + min(0,
+    min(G - D)) matches at or above it, the minimum over all sizes down to it: a match is lost wherever documents outnumber
+    places. Of a length, the documents of the lowest ranks are matched, and match number k is with place number k.
 
-    Lengths go from long to short. The ``n`` documents of a length from rank ``from`` on each take the sequence of the
-    same place among those whose gap was ``gap`` when the step began (``capacity``: opened in this step), from rank
-    ``gap_from`` on, at ``offset``. The gap taken is the successor, the smallest that is long enough; where documents
-    and gaps of a size differ in number, ranks decide which go first, and the rest look on. What is left of a gap is
-    open to shorter documents of the same step.
+    The result is ``left`` with matched and match (the number of its first match), and ``places`` with place_number (that of
+    its first place). Sizes are whole numbers up to the capacity, which bounds the rows of these windows for any input.
     """
-    open_: dict[int, list[tuple[int, int, int]]] = {g: [(g, 0, n)] for g, n in gaps.items()}
-    sizes = sorted(open_)
-    plan, opened = [], 0
-
-    def leave(gap: int, run: tuple[int, int, int]) -> None:
-        if gap:
-            if gap not in open_:
-                open_[gap] = []
-                insort(sizes, gap)
-            open_[gap].append(run)
-
-    for length in sorted(documents, reverse=True):
-        at, n = 0, documents[length]
-        while n:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):
-                more = -(-n // (capacity // length))
-                leave(capacity, (capacity, opened, more))
-                opened += more
-                continue
-            gap = sizes[k]
-            origin, first, many = open_[gap].pop()
-            take = min(n, many)
-            if take < many:
-                open_[gap].append((origin, first + take, many - take))
-            elif not open_[gap]:
-                del open_[gap], sizes[k]
-            plan.append((length, at, take, origin, first, capacity - gap))
-            leave(gap - length, (origin, first, take))
-            at, n = at + take, n - take
-    return plan, opened
-
-
-def pack(pieces: DataFrame, capacity: int = 4096, steps: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
+    documents = F.col("n") - F.col("first")
+    both = (
+        places.select("size", F.col("n").alias("places"), F.lit(0).alias("documents"))
+        .unionByName(left.select(F.col("length").alias("size"), F.lit(0).alias("places"), documents.alias("documents")))
+        .coalesce(1)  # counts by size
+        .groupBy("size")
+        .agg(F.sum("places").alias("places"), F.sum("documents").alias("documents"))
+    )
+    down = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = (
+        both.withColumn("g", F.sum("places").over(down))
+        .withColumn("d", F.sum("documents").over(down))
+        .withColumn("u", F.col("d") + F.least(F.lit(0), F.min(F.col("g") - F.col("d")).over(down)))
+        .withColumn("u_before", F.coalesce(F.lag("u").over(Window.orderBy(F.desc("size"))), F.lit(0)))
+    )
+    matched = runs.select(
+        F.col("size").alias("of_length"), (F.col("u") - F.col("u_before")).alias("matched"), F.col("u_before").alias("match")
+    )
+    of_length = left.join(F.broadcast(matched), F.col("length") == F.col("of_length")).drop("of_length")
+    larger = Window.orderBy(F.desc("size"), F.desc("gap"), "of_one").rowsBetween(Window.unboundedPreceding, 0)
+    return of_length, places.withColumn("place_number", F.sum("n").over(larger) - F.col("n"))
+
+
+def pack(
+    pieces: DataFrame,
+    capacity: int = 4096,
+    bands: Sequence[int] = (1, 2, 3, 4, 5, 6, 9, 14, 24, 48),
+    last_rounds: int = 8,
+) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``capacity``) with sequence_id and offset, by best fit.
 
-    Supersteps take the lengths from ``capacity`` down in bands that end at ``capacity`` divided by each of ``steps``. Each
-    range-sorts the open gaps, matches the band's documents to them (see ``sweep``), joins documents and gaps on the
-    matched ranks, and the gaps that are left go into the next step. The driver sees counts by size, at most ``capacity``
-    numbers whatever the input; rows stay on the executors, and no join key is shared by more than one gap.
+    Lengths are taken from ``capacity`` down in bands that end below ``capacity`` divided by the next of ``bands``. A superstep
+    range-sorts the open gaps, sweeps over documents and the gaps' places by size (see ``sweep``), joins those of the same
+    match, and updates the gaps. What finds no place opens new sequences, in order of length and as many documents in each as
+    fit of the longest. Below the last band nothing is left to fill gaps with, so there new sequences are opened for the tokens that are left, and the superstep
+    goes on placing documents, ``last_rounds`` times at most.
 
-    Equal lengths and repeated rows are told apart by their rank. An empty table gives an empty result. Other columns
-    are kept.
+    Documents and gaps stay distributed: ranks and matches are found by range sorts and joins on unique numbers, and what is
+    broadcast or passes through the driver are counts by size, some ``capacity`` rows for any input. Equal lengths and
+    repeated rows are told apart by their rank. An empty table gives an empty result. Other columns are kept.
     """
     spark = pieces.sparkSession
-    order = [c for c in ("doc_id", "piece") if c in pieces.columns]
-    docs, lengths = ranked(pieces, "length", order, "pack_documents")
-    wrong = [x for x in lengths if x is None or not 1 <= x <= capacity]
+    named = stored(pieces.withColumn("_piece_row", F.monotonically_increasing_id()), "pack_pieces")
+    docs, by_length = ranked(named.select(F.col("length"), "_piece_row"), "length", ["_piece_row"], "pack_documents")
+    wrong = by_length.where(f"length IS NULL OR NOT length BETWEEN 1 AND {capacity}").limit(5).collect()
     if wrong:
-        raise ValueError(f"lengths outside 1 to {capacity}: {wrong[:5]}")
-    placed: DataFrame | None = None
-    total = 0
-    tops = [capacity // s for s in steps]
-    for top, bottom in zip(tops, [*tops[1:], 0], strict=True):
-        band = {x: n for x, n in lengths.items() if bottom < x <= top}
-        if not band:
-            continue
-        gaps, by_gap = None, {}
-        if placed is not None:
-            left = placed.groupBy("sequence_id").agg((F.lit(capacity) - F.max(F.col("offset") + F.col("length"))).alias("gap"))
-            gaps, by_gap = ranked(left.where(F.col("gap") >= min(band)), "gap", ["sequence_id"], "pack_gaps")
-        plan, opened = sweep(band, by_gap, capacity)
-        schema = "length bigint, first bigint, n bigint, gap bigint, gap_first bigint, offset bigint"
-        matches = F.broadcast(spark.createDataFrame(plan, schema).withColumnRenamed("length", "of_length"))
-        matched = (
-            docs.where(F.col("length").between(min(band), max(band)))
-            .join(
-                matches,
-                (F.col("length") == F.col("of_length"))
-                & (F.col("rank") >= F.col("first"))
-                & (F.col("rank") < F.col("first") + F.col("n")),
-            )
-            .withColumn("gap_rank", F.col("gap_first") + F.col("rank") - F.col("first"))
-            .drop("of_length", "first", "n", "gap_first", "rank")
-        )
-        new = matched.where(F.col("gap") == capacity).withColumn("sequence_id", F.lit(total) + F.col("gap_rank"))
-        if gaps is not None and by_gap:
-            old = matched.where(F.col("gap") < capacity).join(
-                gaps.withColumnRenamed("rank", "gap_rank"), ["gap", "gap_rank"]
+        raise ValueError(f"lengths outside 1 to {capacity}: {[r['length'] for r in wrong]}")
+    tops = [capacity // s for s in bands]
+    limits = [(top, low) for top, low in zip(tops, [*tops[1:], 0], strict=True) if top > low]
+    number_of_band = band_of(limits)
+    totals = by_length.groupBy(number_of_band.alias("band")).agg(
+        F.max("length").alias("longest"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("tokens")
+    )
+    filled = sorted(totals.collect(), key=lambda r: r["band"])  # a row per band
+    steps: list[DataFrame] = []
+    gaps = spark.createDataFrame([], "sequence_id bigint, gap bigint")
+    opened = 0
+
+    for rest in filled:
+        band, last = rest["band"], rest is filled[-1]
+        own = docs.where(number_of_band == band)
+        left = by_length.where(number_of_band == band).select("length", F.lit(0).cast("bigint").alias("first"), "n")
+        for turn in range(last_rounds if last else 1):
+            # Once sequences are open for what is left, supersteps go on while they place a tenth of it.
+            finish = not last or turn == last_rounds - 1 or (turn > 1 and 10 * placed_now < rest["n"])
+            if turn == 1:
+                more = -(-rest["tokens"] // capacity)
+                fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("bigint").alias("gap"))
+                gaps, opened = gaps.unionByName(fresh), opened + more
+            numbered = None
+            found = left.withColumns({"matched": F.lit(0).cast("bigint"), "match": F.lit(0).cast("bigint")})
+            if opened:
+                ranks, by_gap = ranked(gaps.where(F.col("gap") > limits[band][1]), "gap", ["sequence_id"], "pack_ranks")
+                found, places = sweep(left, places_of(by_gap, rest["longest"]))
+                # Of the places only those of a match become rows: the numbers below the documents that look for one.
+                wanted = here(places.where(F.col("place_number") < rest["n"]).withColumnRenamed("gap", "of_gap"))
+                start = F.col("place_number") + F.col("rank") * F.col("of_one")
+                end = F.least(start + F.col("of_one"), F.lit(rest["n"])) - 1
+                numbered = (
+                    ranks.join(F.broadcast(wanted), F.col("gap") == F.col("of_gap"))
+                    .where(start < rest["n"])
+                    .select("sequence_id", F.explode(F.sequence(start, end)).alias("number"))
+                )
+            counts = with_waiting(found, capacity).collect()  # by length
+            found = spark.createDataFrame(counts, FOUND).coalesce(1)
+            waiting = [r for r in counts if r["waiting"]]
+            placed_now = sum(r["matched"] for r in counts)
+            rest = {
+                "longest": max((r["length"] for r in waiting), default=0),
+                "n": sum(r["waiting"] for r in waiting),
+                "tokens": sum(r["waiting"] * r["length"] for r in waiting),
+            }
+            # A match number, or for those without one a new sequence, from the document's rank among those of its length.
+            after = F.col("rank") - F.col("first") - F.col("matched")
+            taken = own.join(F.broadcast(found.withColumnRenamed("length", "of_length")), F.col("length") == F.col("of_length")).where(
+                F.col("rank") >= F.col("first")
             )
-            new = new.unionByName(old)
-        step = stored(new.drop("gap", "gap_rank"), "pack_step")
-        placed = step if placed is None else placed.unionByName(step)
-        total += opened
-    if placed is None:
+            fresh = (F.lit(opened) + F.floor((F.col("before") + after) / F.col("of_one"))).cast("bigint")
+            step = taken.where((after >= 0) & F.lit(finish)).select("_piece_row", "length", fresh.alias("sequence_id"))
+            if numbered is not None:
+                number = (F.col("match") + F.col("rank") - F.col("first")).alias("number")
+                matches = taken.where(after < 0).select("_piece_row", "length", number)
+                step = step.unionByName(matches.join(numbered, "number").drop("number"))
+            steps.append(stored(step, "pack_step"))
+            if finish and waiting:
+                opened += -(-rest["n"] // max(r["of_one"] for r in waiting))
+            if last and (finish or not rest["n"]):
+                break
+            gaps = with_gaps_left(gaps, steps[-1], capacity)
+            left = found.where("waiting > 0").select("length", (F.col("first") + F.col("matched")).alias("first"), "n")
+    if not steps:
         return pieces.withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint"))
-    return placed.select(*pieces.columns, F.col("sequence_id").cast("bigint").alias("sequence_id"), "offset")
+    placed = steps[0]
+    for step in steps[1:]:
+        placed = placed.unionByName(step)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_piece_row")  # at most capacity rows
+    placed = placed.withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    return named.join(placed.drop("length"), "_piece_row").select(*[named[c] for c in pieces.columns], "sequence_id", "offset")
+
+
+def with_waiting(found: DataFrame, capacity: int) -> DataFrame:
+    """A sweep's rows by length with waiting, the documents without a match, before, those of greater lengths, and of_one, how many
+    of the longest of them go in a sequence."""
+    down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)  # at most capacity rows
+    longest = F.max(F.when(F.col("waiting") > 0, F.col("length"))).over(down)  # of the lengths so far, which is the first's
+    return (
+        found.withColumn("waiting", F.col("n") - F.col("first") - F.col("matched"))
+        .withColumn("before", F.sum("waiting").over(down) - F.col("waiting"))
+        .withColumn("of_one", F.floor(F.lit(capacity) / longest))
+        .select("length", "first", "matched", "match", "n", "waiting", "before", "of_one")
+    )
+
+
+#: Columns of ``with_waiting``.
+FOUND = ", ".join(f"{c} bigint" for c in ("length", "first", "matched", "match", "n", "waiting", "before", "of_one"))
+
+
+def with_gaps_left(gaps: DataFrame, step: DataFrame, capacity: int) -> DataFrame:
+    """Gaps after the documents of ``step`` went in; sequences that weren't there yet are new."""
+    taken = step.select("sequence_id", (-F.col("length")).alias("gap"), F.lit(0).alias("old"))
+    every = gaps.select("sequence_id", "gap", F.lit(1).alias("old")).unionByName(taken).groupBy("sequence_id")
+    full = F.sum("gap") + F.when(F.max("old") == 0, F.lit(capacity)).otherwise(F.lit(0))
+    return stored(every.agg(full.alias("gap")).where("gap > 0"), "pack_gaps")
+
+
+def band_of(limits: Sequence[tuple[int, int]]):
+    """The number of the band that ``length`` is in."""
+    found = F.lit(None).cast("int")
+    for k, (_, low) in reversed(list(enumerate(limits))):
+        found = F.when(F.col("length") > low, F.lit(k)).otherwise(found)
+    return found
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from claimspark.llm import toxicity as toxic
 from claimspark.llm.curriculum import curriculum_mix
 from claimspark.llm.exact_dedup import exact_duplicates
 from claimspark.llm.near_dedup import near_duplicates
-from claimspark.llm.scratch import new_folder, stored
+from claimspark.llm.scratch import new_folder
 from claimspark.llm.shipping import ship
 from claimspark.llm.top_k import top_k
 
@@ -63,7 +63,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(stored(pieces, "pieces"))
+    return packing.pack(pieces)
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
