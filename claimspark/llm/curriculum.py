@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.scratch import stored
+from claimspark.llm.scratch import keyed, stored
+from claimspark.llm.totals import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,47 +41,90 @@ def time_of(share: Column, schedule: Schedule) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """Per source: source_size, its place in the order of names, and its target in words.
+    """Per source: source_size, its place in the order of names, the words of all sources before it, and its target in words.
 
     Raising one level for all sources, target = least(cap * size, level * weight), is where resharing the excess ends.
-    Sources fill up in the order of cap * size / weight, so the level follows from running sums in that order. One row
-    per source is sorted here, not one per document.
+    Sources fill up in the order of cap * size / weight, so the level follows from running totals in that order. There may
+    be as many sources as documents: they are range-sorted over all tasks, and only totals come together.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    named = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("place", (F.row_number().over(by_name) - 1) % len(weights))
-        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("place") + 1))
-        .withColumn("full_at", F.lit(float(cap)) * F.col("source_size") / F.col("weight"))
+    named = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix_sources")
+    by_name = running_totals(
+        named, [F.col("source").asc_nulls_last()], {"place": F.lit(1), "words_before": F.col("source_size")}, "mix_by_name"
     )
-    before = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        F.lit(float(share)) * F.sum("source_size").over(whole)
-        - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    ) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = by_name.withColumn("weight", weight).withColumn("full_at", F.lit(float(cap)) * F.col("source_size") / F.col("weight"))
+    by_level = stored(
+        running_totals(
+            weighed,
+            [F.col("full_at"), F.col("source").asc_nulls_last()],
+            {"full_size": F.col("source_size"), "full_weight": F.col("weight")},
+            "mix_by_level",
+        ),
+        "mix_levels",
+    )
+    whole = by_level.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(share)) * F.lit(whole["size"]) - F.lit(float(cap)) * F.col("full_size")) / (
+        F.lit(whole["weight"]) - F.col("full_weight")
+    )
+    levels = by_level.withColumn("level", level)
+    is_open = F.col("full_at") > F.col("level")
+    open_level = levels.where(is_open).agg(F.max("level")).first()[0]
+    return levels.select(
+        "source",
+        "source_size",
+        "place",
+        "words_before",
+        F.when(is_open, F.lit(open_level).cast("double") * F.col("weight"))
+        .otherwise(F.lit(float(cap)) * F.col("source_size"))
+        .alias("target"),
+    )
+
+
+def words_in(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def planned(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """``sizes`` (row, doc_id, source, size, order_key) with source_size, place, target, before and taken.
+
+    ``before`` are the words of the source's documents before this one, which stand in the order of their keys; ``row``
+    tells equal ones apart. It is one running total over all rows in order of source and key, less the words of the sources
+    before, so a source with a third of all rows, or with a third of null ids, is spread like any other.
+    """
+    order = [F.col("source").asc_nulls_last(), "order_key", F.col("doc_id").asc_nulls_last(), "size", "row"]
+    totals = running_totals(sizes, [F.col(c) if isinstance(c, str) else c for c in order], {"words": F.col("size")}, "mix_order")
+    targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "in_source")
+    rounds = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
+    rest = F.floor("target") - rounds * F.col("source_size")
     return (
-        named.withColumn("level", level)
-        .withColumn("open_level", F.max(F.when(F.col("full_at") > F.col("level"), F.col("level"))).over(whole))
-        .select(
-            "source",
-            "source_size",
-            "place",
-            F.when(F.col("full_at") > F.col("level"), F.col("open_level") * F.col("weight"))
-            .otherwise(F.lit(float(cap)) * F.col("source_size"))
-            .alias("target"),
-        )
+        totals.join(targets, F.col("source").eqNullSafe(F.col("in_source")))
+        .withColumn("before", F.col("words") - F.col("words_before"))
+        .withColumn("taken", rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))))
+        .drop("in_source", "words", "words_before")
     )
 
 
+def due(words_before: Column, words: Column, schedules: Sequence[Schedule]) -> Column:
+    """When the middle of the next ``words`` of a source is due, after ``words_before`` that the mix took of it."""
+    demand = F.floor("target")
+    share_due = (words_before + F.least(words, demand - words_before) / F.lit(2.0)) / demand
+    return reduce(
+        lambda other, k: F.when(F.col("place") % len(schedules) == k, time_of(share_due, schedules[k])).otherwise(other),
+        range(1, len(schedules)),
+        time_of(share_due, schedules[0]),
+    )
+
+
+def order_key(doc_id: Column) -> Column:
+    return F.coalesce(F.md5(doc_id.cast("string")), F.lit(""))
+
+
 def curriculum_mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.5,
     cap: float = 2.0,
     schedules: Sequence[Schedule] = SCHEDULES,
-    bucket_digits: int = 3,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, position; sorted by position.
 
@@ -90,101 +134,72 @@ def curriculum_mix(
     ends within a document where the target is met, so ``taken`` adds up to the whole words of the target. ``position``
     (0 to 1) is when the middle of the words first taken of a document is due: the inverse of the source's integrated schedule.
 
-    Running totals of a source are taken in two steps, over at most 16 ** ``bucket_digits`` bucket totals and within
-    each bucket, so a source with a third of all rows is spread like any other.
-
-    A null text has no words and takes nothing. A null source is a source of its own, last in order. Null ids come last in
-    their bucket; rows equal in id and size may stand in either order, with the same words taken in all. Documents the
+    A null text has no words and takes nothing. A null source is a source of its own, last in order. Null ids come first in
+    their source; rows equal in id and size may stand in either order, with the same words taken in all. Documents the
     mix doesn't reach have taken 0 and a null position and come last. An empty table gives an empty result.
     """
     sizes = stored(
         docs.select(
             F.col("doc_id"),
             F.col("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("order_key"),
+            words_in(F.col("text")).alias("size"),
+            order_key(F.col("doc_id")).alias("order_key"),
             F.monotonically_increasing_id().alias("row"),
-        ).withColumn("bucket", F.substring("order_key", 1, bucket_digits)),
+        ),
         "mix_sizes",
     )
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        sizes.groupBy("source", "bucket")
-        .agg(F.sum("size").alias("words"))
-        .select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
-    )
-    targets = source_targets(sizes, weights, share, cap)
-    plan = buckets.join(targets, buckets["source"].eqNullSafe(targets["source"])).select(
-        buckets["source"].alias("in_source"),
-        F.col("bucket").alias("in_bucket"),
-        "earlier",
-        "source_size",
-        "place",
-        "target",
-    )
-    inside = (
-        Window.partitionBy("source", "bucket")
-        .orderBy("order_key", F.col("doc_id").asc_nulls_last(), "size", "row")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    demand = F.floor("target")
-    first_part = F.least(F.col("size"), demand - F.col("before"))
-    share_due = (F.col("before") + first_part / F.lit(2.0)) / demand
-    time = reduce(
-        lambda other, k: F.when(F.col("place") % len(schedules) == k, time_of(share_due, schedules[k])).otherwise(other),
-        range(1, len(schedules)),
-        time_of(share_due, schedules[0]),
-    )
     return (
-        sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("bucket") == F.col("in_bucket")))
-        .withColumn("before", F.col("earlier") + F.col("inside"))
-        .withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0))
-        .withColumn("rest", F.floor("target") - F.col("rounds") * F.col("source_size"))
-        .withColumn(
-            "taken",
-            F.col("rounds") * F.col("size")
-            + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))),
-        )
-        .withColumn("position", F.when(F.col("taken") > 0, time))
+        planned(sizes, weights, share, cap)
+        .withColumn("position", F.when(F.col("taken") > 0, due(F.col("before"), F.col("size"), schedules)))
         .orderBy(F.col("position").asc_nulls_last(), "order_key", "row")
         .select("doc_id", "size", "source_size", "target", "taken", "position")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: a document once per time it is taken, all columns kept.
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    schedules: Sequence[Schedule] = SCHEDULES,
+) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, see ``curriculum_mix``: a row once per time it is taken, all columns kept,
+    sorted by when each of them is due.
 
     Where a source's target ends within a document, that last copy holds the words taken so far, joined by blanks, and
-    its ``n_chars`` follows. Documents that aren't taken go; those without any word have nothing to take and go as well.
+    its ``n_chars``, where there is one, follows. Documents that aren't taken go; those without any word have nothing to take
+    and go as well. Rows are taken by a key of their own, so rows that share an id, or have none, keep their own amounts.
     """
-    mix = curriculum_mix(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
-        F.col("position").alias("_position"),
-    )
-    # Rows that share an id may differ in size: each takes the entry of its own size, once.
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.select("*", words.alias("_words")).withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.lit(1)))
-    )
-    right = mix.withColumn(
-        "_mix_nth", F.row_number().over(Window.partitionBy("_mix_id", "_size").orderBy(F.desc("_taken")))
+    rows = keyed(docs, "mix_input")
+    doc = F.col("doc")
+    sizes = stored(
+        rows.select(
+            "row", doc["doc_id"].alias("doc_id"), doc["source"].alias("source"), words_in(doc["text"]).alias("size"),
+            order_key(doc["doc_id"]).alias("order_key"),
+        ),
+        "mix_sizes",
+    )
+    # The words of the copy, and those the mix took of the source before it.
+    copy = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int")))
+    taken = stored(
+        planned(sizes, weights, share, cap)
+        .where("taken > 0")
+        .select("*", copy.alias("copy"))
+        .withColumn("left", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
+        .withColumn("position", due(F.col("copy") * F.col("source_size") + F.col("before"), F.col("left"), schedules))
+        .groupBy("row", "size")
+        .agg(F.collect_list(F.struct("position", "copy", "left")).alias("copies")),  # at most the cap, rounded up
+        "mix_taken",
     )
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("_left").cast("int")), " ")
-    text = F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(doc["text"], F.lit(f"({WORD})")), 1, F.col("one.left").cast("int")), " ")
+    text = F.when(F.col("one.left") < F.col("size"), cut).otherwise(doc["text"])
     columns = [
-        text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
+        text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else doc[c].alias(c)
         for c in docs.columns
     ]
     return (
-        left.join(
-            right,
-            F.col("doc_id").eqNullSafe(F.col("_mix_id"))
-            & (F.col("_words") == F.col("_size"))
-            & (F.col("_nth") == F.col("_mix_nth")),
-        )
-        .withColumn("_copies", F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .withColumn("_left", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
+        rows.join(taken, "row")
+        .select("row", "doc", "size", F.explode("copies").alias("one"))
+        .orderBy("one.position", "row", "one.copy")
         .select(*columns)
     )

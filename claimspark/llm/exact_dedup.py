@@ -8,7 +8,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.scratch import slots
+from claimspark.llm.scratch import keyed, slots, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -17,69 +17,70 @@ def sha256(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+def with_body(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` (doc_id, text and more) with chars, body (the text without blanks) and digest in place of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    body = rows.withColumn("chars", F.length(text)).withColumn("body", F.translate(text, BLANKS, "")).drop("text")
+    return body.withColumn("digest", digest(F.col("body")))
+
+
+def combined(rows: DataFrame, *last: str) -> DataFrame:
+    """One row per content: digest, body, best and n. ``best`` is the row to keep: the most code points, then the smallest id
+    (null last), then the smallest of the columns ``last``.
+
+    Grouped by digest *and* content within each salt, the map task, and then over the salts. Partial aggregation leaves
+    one row per content and map task, so content with a third of all rows never meets in one task.
+    """
+    salts = isqrt(slots(rows.sparkSession)) + 1
+    best = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *last)
+    salted = (
+        rows.withColumn("salt", F.spark_partition_id() % salts)
+        .groupBy("digest", "salt", "body")
+        .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
+    )
+    return salted.groupBy("digest", "body").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without blanks. Of equal texts the one with the most code points stays, then
-    the smallest id. All three steps group by the digest *and* the content: partial aggregation leaves one row per
-    content and map task, the salted groups (salt = map task) merge those, and the last step merges at most one row per
-    salt. Content with a third of all rows therefore never meets in one task. The way back to the rows of a group is a
-    join of narrow rows, which adaptive execution splits where a group is large.
+    the smallest id. The way back from the groups (see ``combined``) to their rows is a join of narrow rows, which adaptive
+    execution splits where a group is large.
 
-    A null text is empty, and empty texts are equal. A null id sorts last. Rows equal in id and content count one by one
-    and only the first of them is kept. An empty table gives an empty result; other columns are ignored.
+    A null text is empty, and empty texts are equal. A null id sorts last. Of rows that repeat the kept id in a group those with
+    fewer code points aren't kept, and of rows that repeat its length as well one is. An empty table gives an empty result;
+    other columns are ignored.
     """
-    rows = (
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .select(
-            "doc_id",
-            F.length("text").alias("chars"),
-            F.translate("text", BLANKS, "").alias("body"),
-            F.spark_partition_id().alias("part"),
-        )
-        .withColumn("digest", digest(F.col("body")))
-    )
-    salts = isqrt(slots(docs.sparkSession)) + 1
-    best = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
-    salted = (
-        rows.withColumn("salt", F.col("part") % salts)
-        .groupBy("digest", "salt", "body")
-        .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    )
-    classes = (
-        salted.groupBy("digest", "body")
-        .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-        .select("digest", F.xxhash64("body").alias("route"), F.col("best.doc_id").alias("keep_id"), "group_size")
+    rows = with_body(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), digest)
+    classes = combined(rows).select(
+        "digest",
+        F.xxhash64("body").alias("route"),
+        F.col("best.doc_id").alias("keep_id"),
+        (-F.col("best.less")).alias("most"),
+        F.col("n").alias("group_size"),
     )
     members = (
-        rows.select("doc_id", "digest", F.xxhash64("body").alias("route"))
-        .groupBy("doc_id", "digest", "route")
+        rows.select("doc_id", "chars", "digest", F.xxhash64("body").alias("route"))
+        .groupBy("doc_id", "chars", "digest", "route")
         .agg(F.count(F.lit(1)).alias("times"))
     )
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most")) & (F.col("nth") == 1)
     return (
         members.join(classes, ["digest", "route"])
         .select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
+        .select("doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256"))
     )
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
-    from pyspark.sql import Window
-
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256")
-    body = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "")
-    joined = docs.join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha256(body) == F.col("text_sha256")), "inner"
-    )
-    # Rows that repeat both id and content pass the join together; the first of them stays.
-    first = Window.partitionBy("_kept_id", "text_sha256").orderBy(F.lit(1))
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    """One row of ``docs`` for each content, with all its columns: of equal texts the one with the most code points, then the
+    smallest id (null last), then the text with the smallest digest. Rows equal in all that are copies, of which one stays."""
+    rows = keyed(docs, "dedup_input")
+    doc = F.col("doc")
+    # Of rows with the same id and length the texts differ in blanks only; a digest of them decides, whatever their order.
+    bodies = with_body(rows.select("row", doc[id_col].alias("doc_id"), doc[text_col].alias("text"), F.sha2(doc[text_col].cast("string"), 256).alias("own")), sha256)
+    kept = stored(combined(bodies, "own", "row").select(F.col("best.row").alias("row")), "dedup_kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -8,13 +8,15 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.scratch import stored
+from claimspark.llm.scratch import keyed, stored
 from claimspark.llm.text import SPACED, mix, slices, words
 
+#: Nodes whose texts are looked for by a broadcast, 16 bytes each; beyond it by a join.
+MOST_NAMED = 1_000_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FEW = np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,11 +48,14 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[first], value[first], np.diff(np.r_[first, len(row)])
 
 
-def content_keys(n: int, row: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """One hash of the shingles and counts of each of ``n`` rows: equal for equal content."""
-    total = np.zeros(n, np.uint64)
-    np.add.at(total, row, mix(shingle + count.astype(np.uint64) * _STEP))
-    return mix(total)
+def content_keys(n: int, row: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two parts, of the shingles and counts of each of ``n`` rows: equal for equal content."""
+    out = []
+    for step in (_STEP, _FEW):
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, row, mix((shingle ^ step) + count.astype(np.uint64) * step))
+        out.append(mix(total))
+    return out[0], out[1]
 
 
 def dart_signatures(n: int, row: np.ndarray, element: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
@@ -111,8 +116,8 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def weighted_jaccard(texts: pa.Array, others: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of the shingle counts of each pair of texts, and the content keys of both."""
+def weighted_jaccard(texts: pa.Array, others: pa.Array, size: int) -> np.ndarray:
+    """Similarity of the shingle counts of each pair of texts."""
     n = len(texts)
     a, b = shingles(texts, size), shingles(others, size)
     row = np.concatenate([a[0], b[0]])
@@ -122,8 +127,7 @@ def weighted_jaccard(texts: pa.Array, others: pa.Array, size: int) -> tuple[np.n
     row, shingle, count = row[order], shingle[order], count[order]
     both = np.flatnonzero((row[1:] == row[:-1]) & (shingle[1:] == shingle[:-1]))
     common = np.bincount(row[both], np.minimum(count[both], count[both + 1]), n)
-    keys = np.stack([content_keys(n, *a), content_keys(n, *b)])
-    return common / (np.bincount(row, count, n) - common), keys
+    return common / (np.bincount(row, count, n) - common)
 
 
 def sketches(column: pa.Array, size: int, most: int) -> list[np.ndarray]:
@@ -256,26 +260,23 @@ def tile_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def smallest() -> Column:
     """What ``min`` takes to find the row with the smallest id, null ids last."""
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
 
 
 def labelled(
-    docs: DataFrame,
+    source: DataFrame,
     similarity: float = 0.8,
     shingle_words: int = 5,
     bands: int = 42,
     rows: int = 7,
     sketch_size: int = 2048,
     tile: int = 1024,
-    id_col: str = "doc_id",
-    text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, content (hash of the text) and the label of its class; see ``near_duplicates``.
+    """The label of the class of each row of ``source`` (row, doc_id, text): row, doc_id, label; see ``near_duplicates``.
 
-    Rows with the same id, or none, are told apart by content.
+    ``row`` tells rows apart, whatever ids they have; ``source`` is a written table, in which it doesn't change. Content is
+    known by 128 bits, and a node, a number of its own for each content, is made from the row that stands for it.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.withColumn("content", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +284,8 @@ def labelled(
             for part in slices(batch, "text"):
                 n = part.num_rows
                 found = shingles(part.column("text"), shingle_words)
-                node = content_keys(n, *found)
-                _, one, of = np.unique(node, return_index=True, return_inverse=True)  # copies here are signed once
+                content, more = content_keys(n, *found)
+                _, one, of = np.unique(content, return_index=True, return_inverse=True)  # copies here are signed once
                 new = np.full(n, -1)
                 new[one] = np.arange(len(one))
                 mine = new[found[0]] >= 0
@@ -294,17 +295,24 @@ def labelled(
                 keys = band_keys(signature, rows)[of]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("row"),
                         part.column("doc_id"),
-                        part.column("content"),
-                        pa.array(node.view(np.int64)),
+                        pa.array(content.view(np.int64)),
+                        pa.array(more.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "content", "node", "bands"],
+                    ["row", "doc_id", "content", "more", "bands"],
                 )
 
-    signed = stored(source.mapInArrow(sign, f"doc_id {kind}, content bigint, node bigint, bands array<bigint>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(smallest()).alias("text"))
-    nodes = stored(nodes, "nodes")
+    signed = stored(
+        source.select("row", "doc_id", "text").mapInArrow(
+            sign, f"row bigint, doc_id {kind}, content bigint, more bigint, bands array<bigint>"
+        ),
+        "signatures",
+    )
+    nodes = signed.groupBy("content", "more").agg(F.first("bands").alias("bands"), F.min(smallest()).alias("text"))
+    # The hash of one 64-bit number is one-to-one, and scattered numbers make components quick to find.
+    nodes = stored(nodes.withColumn("node", F.xxhash64("text.row")), "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     # Grouping by the band as well leaves the join below its own shuffles, whose large partitions Spark can split.
     buckets = (
@@ -316,10 +324,11 @@ def labelled(
     shared = stored(members.select("node", "bucket").join(buckets, "bucket"), "buckets")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """node, text of the distinct nodes in ``wanted``."""
-        ids = wanted.join(nodes.select("node", F.col("text.doc_id").alias("text_id"), F.col("text.content").alias("own")), "node")
-        same = F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("content") == F.col("own"))
-        return source.join(ids, same).select("node", "text").dropDuplicates(["node", "text"])
+        """node, text of the distinct nodes in ``wanted``. Texts are the bulk of the data: while the wanted numbers are few they are
+        said to all tasks and texts stay where they are; beyond that both are shuffled."""
+        rows_of = stored(wanted.join(nodes.select("node", F.col("text.row").alias("row")), "node").select("node", "row"), "wanted")
+        few = rows_of.limit(MOST_NAMED + 1).count() <= MOST_NAMED
+        return source.select("row", "text").join(F.broadcast(rows_of) if few else rows_of, "row").select("node", "text")
 
     def pairs_across(marked: DataFrame) -> DataFrame:
         """Pairs of nodes that share a bucket but no component, and whose sketches are close.
@@ -348,11 +357,9 @@ def labelled(
             for batch in batches:
                 for part in slices(batch, "text"):
                     own = [x.tobytes() for x in sketches(part.column("text"), shingle_words, sketch_size)]
-                    same = pa.array(content_keys(part.num_rows, *shingles(part.column("text"), shingle_words)).view(np.int64))
-                    out = pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "sketch"])
-                    yield out.filter(pc.equal(same, part.column("node")))
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "sketch"])
 
-        drawn = stored(texts_of(rest.select("node").distinct()).mapInArrow(sketch, kind).dropDuplicates(["node"]), "sketches")
+        drawn = stored(texts_of(rest.select("node").distinct()).mapInArrow(sketch, kind), "sketches")
         every = rest.join(drawn, "node")
         own = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles)).cast("int")
         others = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
@@ -411,11 +418,8 @@ def labelled(
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    alike, keys = weighted_jaccard(part.column("text"), part.column("other"), shingle_words)
-                    # Texts come by hash; only those of the two nodes count.
-                    u, v = (part.column(c).to_numpy().view(np.uint64) for c in ("u", "v"))
-                    keep = (alike >= similarity - 1e-12) & (keys[0] == u) & (keys[1] == v)
-                    yield part.select(["u", "v"]).filter(pa.array(keep))
+                    alike = weighted_jaccard(part.column("text"), part.column("other"), shingle_words)
+                    yield part.select(["u", "v"]).filter(pa.array(alike >= similarity - 1e-12))
 
         return stored(both.mapInArrow(compare, "u bigint, v bigint"), "links")
 
@@ -426,12 +430,8 @@ def labelled(
     more = linked(stored(pairs_across(stored(marked, "marked")), "across").join(tested, ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    return stored(
-        signed.select("doc_id", "content", "node")
-        .join(found, "node", "left")
-        .select("doc_id", "content", F.coalesce("label", "node").alias("label")),
-        "classed",
-    )
+    labels = nodes.join(found, "node", "left").select("content", "more", F.coalesce("label", "node").alias("label"))
+    return stored(signed.select("row", "doc_id", "content", "more").join(labels, ["content", "more"]).select("row", "doc_id", "label"), "classed")
 
 
 def near_duplicates(
@@ -458,9 +458,12 @@ def near_duplicates(
     links as many are kept as connect the components, of the others all. Every link is confirmed on whole texts.
 
     A null text is empty; texts without words are alike. Null ids come last in a class. Rows that repeat an id are rows of
-    their own. An empty table gives an empty result; other columns are ignored. Content keys have 64 bits.
+    their own. An empty table gives an empty result; other columns are ignored. Content keys have 128 bits.
     """
-    classed = labelled(docs, similarity, shingle_words, bands, rows, sketch_size, tile, id_col, text_col)
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
+    classed = labelled(stored(source, "near_input"), similarity, shingle_words, bands, rows, sketch_size, tile)
     sizes = (
         classed.groupBy("label", F.pmod("label", F.lit(7)).alias("spread"))
         .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -470,13 +473,13 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, with all columns: the smallest id, null ids last. Of several texts of
-    a class under one id one stays, and of equal rows one."""
-    classed = labelled(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classed.groupBy("label").agg(F.min(smallest()).alias("best"))
-    kept = kept.select(F.col("label").alias("_label"), F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_content"))
-    return docs.join(kept, same).dropDuplicates(["_label"]).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stand for their class, with all columns: the smallest id, null ids last. Of several rows of
+    a class under one id one stays."""
+    rows = keyed(docs, "near_input")
+    doc = F.col("doc")
+    classed = labelled(rows.select("row", doc[id_col].alias("doc_id"), doc[text_col].cast("string").alias("text")), **options)
+    kept = stored(classed.groupBy("label").agg(F.min(smallest()).alias("best")).select(F.col("best.row").alias("row")), "near_kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def exact_links(texts: list[str], similarity: float = 0.8, shingle_words: int = 5) -> pd.DataFrame:
