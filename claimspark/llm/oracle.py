@@ -29,10 +29,10 @@ FROM f
 TOP_K = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS vec FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CASE WHEN len(q.vec) = 0 OR len(c.vec) = 0 THEN 0 ELSE list_dot_product(q.vec, c.vec)::BIGINT END AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
