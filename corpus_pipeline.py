@@ -10,11 +10,12 @@ import sys
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from claimspark.llm import curriculum, exact_dedup, near_dedup, packing, toxicity  # noqa: E402
-from claimspark.llm.scratch import new_folder, stored  # noqa: E402
+from claimspark.llm.scratch import new_folder  # noqa: E402
 from claimspark.llm.shipping import ship  # noqa: E402
 
 #: Documents with this score or more go.
@@ -25,7 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose noisy-or of sentence scores stays below ``TOXIC_FROM``; the model learns from ``labels``."""
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.toxicity(docs, model).where(f"score < {TOXIC_FROM}").select(*docs.columns)
+    # By number, so that a column of the documents that is called score stays what it is.
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    scored = toxicity.toxicity(numbered, model, text_col=f"c{docs.columns.index('text')}")
+    return scored.where(f"score < {TOXIC_FROM}").select(*numbered.columns).toDF(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +44,20 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; sources with small weights lose some, others come twice."""
+    """Documents as often as the mix takes them, in the order they are due; sources with small weights lose some, others come
+    twice."""
     return curriculum.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and the place of each in a sequence of 4096 tokens."""
+    """Pieces of the documents with their token ids, and the place of each in a sequence of 4096 tokens.
+
+    A document that the mix takes twice is two rows with one doc_id; doc_row, which rises along the mix, tells them apart.
+    ``packing.sequences`` puts the pieces of a sequence together.
+    """
     ship(spark)
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(stored(pieces, "pieces"))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("doc_row"))
+    return packing.pack(packing.token_pieces(rows, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, keep=["doc_row"]))
 
 
 STAGES = [
