@@ -319,8 +319,11 @@ def pack(
     repeated rows are told apart by their rank. An empty table gives an empty result. Other columns are kept.
     """
     spark = pieces.sparkSession
-    named = stored(pieces.withColumn("_piece_row", F.monotonically_increasing_id()), "pack_pieces")
-    docs, by_length = ranked(named.select(F.col("length"), "_piece_row"), "length", ["_piece_row"], "pack_documents")
+    key = "piece_row"
+    while key in pieces.columns:
+        key += "_"
+    named = stored(pieces.withColumn(key, F.monotonically_increasing_id()), "pack_pieces")
+    docs, by_length = ranked(named.select("length", F.col(key).alias("_row")), "length", ["_row"], "pack_documents")
     wrong = by_length.where(f"length IS NULL OR NOT length BETWEEN 1 AND {capacity}").limit(5).collect()
     if wrong:
         raise ValueError(f"lengths outside 1 to {capacity}: {[r['length'] for r in wrong]}")
@@ -375,10 +378,10 @@ def pack(
                 F.col("rank") >= F.col("first")
             )
             fresh = (F.lit(opened) + F.floor((F.col("before") + after) / F.col("of_one"))).cast("bigint")
-            step = taken.where((after >= 0) & F.lit(finish)).select("_piece_row", "length", fresh.alias("sequence_id"))
+            step = taken.where((after >= 0) & F.lit(finish)).select("_row", "length", fresh.alias("sequence_id"))
             if numbered is not None:
                 number = (F.col("match") + F.col("rank") - F.col("first")).alias("number")
-                matches = taken.where(after < 0).select("_piece_row", "length", number)
+                matches = taken.where(after < 0).select("_row", "length", number)
                 step = step.unionByName(matches.join(numbered, "number").drop("number"))
             steps.append(stored(step, "pack_step"))
             if finish and waiting:
@@ -392,9 +395,10 @@ def pack(
     placed = steps[0]
     for step in steps[1:]:
         placed = placed.unionByName(step)
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_piece_row")  # at most capacity rows
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_row")  # at most capacity rows
     placed = placed.withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    return named.join(placed.drop("length"), "_piece_row").select(*[named[c] for c in pieces.columns], "sequence_id", "offset")
+    where = placed.select("_row", "sequence_id", "offset")
+    return named.join(where, named[key] == where["_row"]).select(*[named[c] for c in pieces.columns], "sequence_id", "offset")
 
 
 def with_waiting(found: DataFrame, capacity: int) -> DataFrame:
