@@ -263,3 +263,12 @@ def test_members_are_reduced_to_a_number(tables):
     text = plan(facts.members_fact(tables.member_month(), tables.window))
     assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
     assert len(re.findall(r"Exchange hashpartitioning\(yr#\d+, bene_id#\d+", text)) == 1
+
+
+def test_member_months_are_never_broadcast(spark, tables, with_conf, tmp_path):
+    """Files of a few kilobytes hold many months, so that their size says little about their rows."""
+    with_conf({"spark.sql.autoBroadcastJoinThreshold": "10MB"})
+    months = write_table(tables.member_month(), f"{tmp_path}/member_month", ["yr"])
+    for joined in (service_categories.eligible_spend(tables.categorized(), months), service_categories.eligibility_join(tables.claim_line_cat(), months)):
+        text = final_plan(joined)
+        assert "SortMergeJoin" in text and "BroadcastExchange" not in text
