@@ -11,15 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), dynamic: bool = False) -> DataFrame:
+#: Rows that one task may send to one partition of a table before the rest go to another task.
+BLOCK_ROWS = 1 << 20
+
+
+def gathered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """``df`` with rows brought together by some columns, large groups over several tasks.
+
+    Spark cuts a large group between the tasks that its rows come from, never within one of them. A task that makes many
+    rows of a small file therefore numbers them in blocks, which are groups of their own; one with fewer rows than a
+    block has a single one.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the number within the task
+    numbered = df.withColumn("_block", F.floor(row / F.lit(BLOCK_ROWS)))
+    return numbered.hint("rebalance", *[F.col(c) for c in (*partition_by, "_block")]).drop("_block")
+
+
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), dynamic: bool = False, gather: bool = True
+) -> DataFrame:
     """Write ``df`` as Parquet and return the written table.
 
     Rows are brought together by the partition columns first, large partitions over several tasks: otherwise every task
-    would write a small file into every folder. ``dynamic`` replaces only the partitions present in ``df``, for reruns
-    of single years or files.
+    would write a small file into every folder. Without ``gather`` every task does, for rows that have just been shuffled
+    into even parts. ``dynamic`` replaces only the partitions present in ``df``, for reruns of single years or files.
     """
-    if partition_by:
-        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    if partition_by and gather:
+        df = gathered(df, partition_by)
     writer = df.write.mode("overwrite")
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -60,14 +78,19 @@ class TableStore:
         return f"{self.root}/{name}-{uuid.uuid4().hex}"
 
     def table(
-        self, name: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = (), inputs: Sequence[object] = ()
+        self,
+        name: str,
+        build: Callable[[], DataFrame],
+        partition_by: Sequence[str] = (),
+        inputs: Sequence[object] = (),
+        gather: bool = True,
     ) -> DataFrame:
         """The table called ``name`` of these ``inputs``: values that compare (years), or objects told apart by identity
-        (sources, code lists)."""
+        (sources, code lists). ``gather`` as for ``write_table``."""
         key = (name, tuple(x if isinstance(x, Hashable) else id(x) for x in inputs))
         if key not in self._tables:
             self._inputs += inputs  # an id stays theirs as long as the objects live
-            self._tables[key] = write_table(build(), self.new_path(name), partition_by)
+            self._tables[key] = write_table(build(), self.new_path(name), partition_by, gather=gather)
         return self._tables[key]
 
     def rebuilt(

@@ -55,11 +55,19 @@ def order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    # Both grow with the data, so neither is broadcast at any size.
+    return orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+#: People whose enrollment one task works out: rows of fifty text columns, from a file with a few bytes for each of them.
+PEOPLE_PER_TASK = 50_000
 
 
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
+    tasks = -(-keys.count() // PEOPLE_PER_TASK)
+    if tasks > 1:
+        keys = keys.repartitionByRange(tasks, "c")
     people = keys.withColumn("yr", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))))
     columns = {
         "BENE_ID": "cast(c AS string)",
@@ -186,7 +194,7 @@ def source_tables(spark: SparkSession, sf_dir: str, store: TableStore) -> Source
     """The claim files as lazy projections of the staged order join; the wide enrollment table is staged by year."""
 
     def joined() -> DataFrame:
-        return store.table("order_line", lambda: order_line(spark, sf_dir), ["k"], [sf_dir])
+        return store.table("order_line", lambda: order_line(spark, sf_dir), ["k"], [sf_dir], gather=False)
 
     def enrolled() -> DataFrame:
         return store.table("beneficiary", lambda: beneficiary(spark, sf_dir), ["BENE_ENROLLMT_REF_YR"], [sf_dir])

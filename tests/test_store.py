@@ -237,3 +237,19 @@ def test_a_rebuilt_analysis_equals_a_new_one(spark, tmp_path):
     assert values(cd.spend_fact()) == before != values(new.spend_fact())
     with pytest.raises(ValueError, match="claim files"):
         cd.rebuild(changed, files=["dental"])
+
+
+def test_a_task_with_many_rows_does_not_send_them_to_one_task(spark, tmp_path, monkeypatch, with_conf):
+    """Spark can't cut what one task sends to one partition, so it is sent in blocks; few rows go on in one."""
+    with_conf({"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"})
+    made = spark.range(0, 40_000, 1, 1).select("id", (F.col("id") % 2).alias("yr"))
+
+    def most_in_a_task():
+        df = store.gathered(made, ["yr"])
+        assert df.columns == made.columns
+        return max(n for (n,) in values(df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")), "n"))
+
+    assert most_in_a_task() >= 20_000
+    monkeypatch.setattr(store, "BLOCK_ROWS", 1000)
+    assert most_in_a_task() < 10_000
+    assert values(store.write_table(made, f"{tmp_path}/t", ["yr"])) == values(made)
