@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from claimspark.llm.scratch import stored
 from claimspark.llm.text import ALNUM, Words, mix, slices, words
 
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
@@ -76,23 +77,31 @@ def association(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean:
     return np.where(toxic > of_toxic, term(toxic, of_toxic) + term(clean, of_clean), 0.0)
 
 
-def telling_features(labels: np.ndarray, found: list[np.ndarray], contexts: list[np.ndarray], least: float) -> np.ndarray:
+def telling_features(sample: DataFrame, least: float) -> np.ndarray:
     """Features that speak for the toxic label, by the number of different contexts each has in texts of either label.
 
-    A context is the word before. Copies of a text repeat its contexts and so count once.
+    A context is the word before. Copies of a text repeat its contexts and so count once. Counted by Spark: a sample has
+    millions of pairs, of which only the telling features come to the driver.
     """
-    counts = {}
-    for label in (1, 0):
-        own = [k for k, y in enumerate(labels) if y == label]
-        pairs = np.unique(
-            np.stack([np.concatenate([x[k] for k in own]) if own else np.zeros(0, np.uint64) for x in (found, contexts)]), axis=1
-        )
-        counts[label] = np.unique(pairs[0], return_counts=True)
-    known, toxic = counts[1]
-    other, n = counts[0]
-    near = np.minimum(np.searchsorted(other, known), max(0, len(other) - 1))
-    clean = np.where(other[near] == known, n[near], 0) if len(other) else np.zeros(len(known), np.int64)
-    return known[association(toxic, clean, int(toxic.sum()), int(n.sum())) >= least]
+    pair = F.explode(F.arrays_zip("found", "contexts")).alias("pair")
+    counted = stored(
+        sample.select("toxic", pair)
+        .select("toxic", "pair.found", "pair.contexts")
+        .distinct()
+        .groupBy("found")
+        .agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")),
+        "toxicity_features",
+    )
+    all_toxic, all_clean = (int(n or 0) for n in counted.agg(F.sum("toxic"), F.sum("clean")).first())
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, clean = (batch.column(c).to_numpy() for c in ("toxic", "clean"))
+            told = association(toxic, clean, all_toxic, all_clean) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("found").filter(pa.array(told))], ["found"])
+
+    known = counted.where("toxic > 0").mapInArrow(telling, "found bigint").toArrow()
+    return np.sort(known.column("found").to_numpy().view(np.uint64))
 
 
 def fit(labels: np.ndarray, found: list[np.ndarray], sentences: list[np.ndarray], known: np.ndarray, steps: int, decay: float) -> Model:
@@ -145,7 +154,8 @@ def train(
 
     The classifier is fitted on at most ``sample_per_label`` documents of each label, those with the smallest hashes of
     their ids, and on the words and beginnings of words that are associated with the toxic label there at the level of
-    one in ten thousand (``least_association``). Labels other than 0 and 1 are left out; a document labelled both ways
+    one in ten thousand (``least_association``). The sample's features are written and counted by Spark; the driver gets
+    those words of the sample that are associated. Labels other than 0 and 1 are left out; a document labelled both ways
     counts as toxic. Without labels, or without any telling word, the model scores everything 0.
     """
     known = (
@@ -179,19 +189,29 @@ def train(
                     ["toxic", "found", "sentences", "contexts"],
                 )
 
-    rows = (
+    listing = (
         docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
         .join(sample, F.col("doc_id") == F.col("label_id"))
         .select("doc_id", "text", "toxic")
         .mapInArrow(listed, "toxic int, found array<bigint>, sentences array<int>, contexts array<bigint>")
-        .toArrow()
     )
-    found, sentences, contexts = (
-        [x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in ("found", "sentences", "contexts")
-    )
-    found, contexts = [x.view(np.uint64) for x in found], [x.view(np.uint64) for x in contexts]
-    toxic = rows.column("toxic").to_numpy()
-    return fit(toxic, found, sentences, telling_features(toxic, found, contexts, least_association), steps, decay)
+    texts = stored(listing, "toxicity_sample")
+    known = telling_features(texts, least_association)
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # bounded by the words of the sample
+
+    def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = shared.value
+        for batch in batches:
+            found = batch.column("found")
+            use = np.flatnonzero(np.isin(found.flatten().to_numpy().view(np.uint64), telling))
+            lengths = np.diff(found.offsets.to_numpy())
+            cuts = pa.array(np.searchsorted(use, np.r_[0, np.cumsum(lengths)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, batch.column(c).flatten().take(pa.array(use))) for c in ("found", "sentences")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], ["toxic", "found", "sentences"])
+
+    rows = texts.select("toxic", "found", "sentences").mapInArrow(of_known, "toxic int, found array<bigint>, sentences array<int>").toArrow()
+    found, sentences = ([x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in ("found", "sentences"))
+    return fit(rows.column("toxic").to_numpy(), [x.view(np.uint64) for x in found], sentences, known, steps, decay)
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:

@@ -76,6 +76,32 @@ def test_toxicity_of_odd_rows_and_without_labels(spark, odd, documents):
     assert not len(toxic.train(documents([]), labels).hashes)
 
 
+def test_only_telling_features_reach_the_driver(spark, documents, monkeypatch):
+    """Common words are counted where they are; those of the fit are the words told apart by their contexts."""
+    rows = [(k, " ".join(f"w{(k * 7 + x) % 90}" for x in range(40)) + (f" w{k} badword." if k % 2 else ".")) for k in range(200)]
+    seen = []
+    fit = toxic.fit
+    monkeypatch.setattr(toxic, "fit", lambda labels, found, sentences, known, *a: seen.append((labels, found, known)) or fit(labels, found, sentences, known, *a))
+    marks = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int")
+    toxic.train(documents(rows), marks)
+    ((labels, found, known),) = seen
+    assert len(labels) == len(found) == sum(not held(k, 5) for k, _ in rows)
+    assert len(known) and (np.diff(known.astype(object)) > 0).all()
+    assert np.isin(np.concatenate(found), known).all() and sum(map(len, found)) < 10 * len(rows)
+    # The same by hand.
+    pairs = {0: set(), 1: set()}
+    for k, text in rows:
+        if not held(k, 5):
+            w = words(pa.array([text]), ALNUM)
+            f, of = toxic.features(w)
+            before = np.r_[np.uint64(0), w.hashes()[:-1]][of]
+            pairs[k % 2] |= set(zip(f.tolist(), np.where(of > 0, before, 0).tolist(), strict=True))
+    n = {y: Counter(f for f, _ in pairs[y]) for y in pairs}
+    toxic_n, clean_n = (np.array([n[y][f] for f in n[1]]) for y in (1, 0))
+    told = toxic.association(toxic_n, clean_n, len(pairs[1]), len(pairs[0])) >= 15.0
+    assert known.tolist() == sorted(f for f, t in zip(n[1], told, strict=True) if t)
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
