@@ -24,7 +24,7 @@ import corpus_pipeline
 from claimspark.llm import near_dedup, packing, top_k, warc
 from claimspark.llm.oracle import ORACLE
 from claimspark.llm.queries import QUERIES
-from claimspark.llm.scratch import new_folder
+from claimspark.llm.scratch import new_folder, shared_folder
 from tests.llm.conftest import ODD
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -521,6 +521,37 @@ def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_leaves_its_result_only(spark, tmp_path):
+    """Tables of a stage go once its result is written, so they don't add up over the stages."""
+    folder = f"{shared_folder(spark)}/llm"
+    os.makedirs(folder, exist_ok=True)
+    start = set(os.listdir(folder))
+
+    def left():
+        return [n.split("-")[0] for n in os.listdir(folder) if n not in start]
+
+    rows = [(k, f"text number {k} has some words of its own", None, "s", None) for k in range(30)]
+    docs = odd_table(spark, tmp_path / "in", rows)
+    assert corpus_pipeline.run(spark, str(tmp_path / "in")).count() > 0
+    assert left() == ["pipeline_packing"]
+    docs = spark.read.parquet(str(tmp_path / "in" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, str(tmp_path / "in")).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert set(left()) <= {"pipeline_packing", f"stage_{name}"}
+
+
+def test_stages_that_follow_each_other_unwritten_keep_their_tables(spark, tmp_path):
+    rows = [(k, f"text number {k // 2} has some words of its own", None, "s", None) for k in range(30)]
+    docs = odd_table(spark, tmp_path / "in", rows)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact_dedup"](spark, docs, str(tmp_path / "in"))
+    mix = stages["mixing"](spark, once, str(tmp_path / "in"))
+    assert once.count() == 15 and mix.count() >= 15
+    other = stages["exact_dedup"](spark, docs.limit(4), str(tmp_path / "in"))
+    assert (other.count(), once.count()) == (2, 15)
+
+
 @pytest.mark.parametrize("doc_id", [None, 5])
 @pytest.mark.parametrize("turn", [1, -1])
 def test_of_equal_texts_without_or_under_one_id_the_longest_stays(spark, documents, doc_id, turn):
