@@ -43,6 +43,9 @@ def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
     that missing clinicians do not meet in one partition. A left join rather than an ``IN`` under ``OR`` lets adaptive
     skew handling split a clinician with very many lines; for the same reason the key is a new value on both sides,
     which gives the clinician list a shuffle of its own after the aggregation that made it distinct.
+
+    The join is asked to be a merge, as is that of Step 6: the list is a number in a file for each clinician, by whose few
+    bytes Spark would broadcast millions of them through the driver.
     """
     exempt = F.col("is_physician").eqNullSafe("0")
     testable = ~exempt & F.col("rndrng_npi").isNotNull()
@@ -54,7 +57,7 @@ def pc_step5(professional: DataFrame, wellness_npi: DataFrame) -> DataFrame:
         F.concat(F.lit("="), "rndrng_npi").alias("npi_key"), F.lit(True).alias("has_wellness")
     )
     rule_off = wellness_npi.select(F.count("*")).scalar() == 0
-    kept = lines.join(known, "npi_key", "left").where(
+    kept = lines.join(known.hint("merge"), "npi_key", "left").where(
         rule_off | exempt | F.col("has_wellness")
     )
     return kept.select(*[c for c in professional.columns if c != "is_physician"])
@@ -93,7 +96,7 @@ def pc_facility_split(outpatient_lines: DataFrame, step5: DataFrame) -> DataFram
     facility = outpatient_lines.where(
         (F.col("hcpcs_cd") == codes.CLINIC_VISIT_CODE) & (F.col("bill_type2") == codes.HOSPITAL_OUTPATIENT_BILL)
     )
-    return facility.join(visits, ["bene_id", "svc_dt"], "left_semi").select("bene_id", "svc_dt", "allowed")
+    return facility.join(visits.hint("merge"), ["bene_id", "svc_dt"], "left_semi").select("bene_id", "svc_dt", "allowed")
 
 
 def pc_fqhc(outpatient_lines: DataFrame, lists: CodeLists) -> DataFrame:

@@ -272,3 +272,20 @@ def test_member_months_are_never_broadcast(spark, tables, with_conf, tmp_path):
     for joined in (service_categories.eligible_spend(tables.categorized(), months), service_categories.eligibility_join(tables.claim_line_cat(), months)):
         text = final_plan(joined)
         assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+
+
+def test_clinicians_and_visit_days_are_never_broadcast(tables, with_conf):
+    """Both grow with the data, and files of them say little about their number; the fixed code lists may be broadcast."""
+    with_conf({"spark.sql.autoBroadcastJoinThreshold": "10MB"})
+    professional = primary_care.pc_professional(tables.spend(), tables.lists)
+    step5 = primary_care.pc_step5(professional, tables.pc_wellness_npi())
+    split = primary_care.pc_facility_split(tables.pc_outpatient_line(), tables.pc_step5())
+    for joined, kind in ((step5, "LeftOuter"), (split, "LeftSemi")):
+        text = final_plan(joined)
+        assert re.search(rf"SortMergeJoin [^\n]*{kind}", text) and not re.search(rf"Broadcast\w*Join [^\n]*{kind}", text)
+
+
+def test_dialysis_claims_are_never_broadcast(tables, with_conf):
+    with_conf({"spark.sql.autoBroadcastJoinThreshold": "10MB"})
+    text = final_plan(validation.spend_sums(tables.spend(), tables.sources["outpatient"], tables.window))
+    assert "SortMergeJoin" in text and "BroadcastExchange" not in text
