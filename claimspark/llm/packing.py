@@ -224,44 +224,39 @@ def here(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
 
 
-def ranked(df: DataFrame, size: str, order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``rank``, its place from 0 among the rows of its ``size`` in ``order``; and the number of rows by size.
+def dealt(df: DataFrame, size: str, order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` written with ``part`` and ``line``; and ``shift`` and ``n``, the number of rows, by size and part.
 
-    Rows are range-sorted over all tasks, so equal sizes spread over as many tasks as they fill. A rank is the place in
-    the task plus the rows of that size in the tasks before; those counts have one row per size and task boundary, at
-    most capacity + tasks for whole numbers up to the capacity, and pass through the driver.
+    Line and shift make a row's rank: its place from 0 among the rows of its ``size`` in ``order``. Rows are range-sorted over
+    all tasks, so equal sizes spread over as many tasks as they fill. A rank is the place in the task plus the rows of that
+    size in the tasks before; those counts have one row per size and task boundary, at most capacity + tasks for whole
+    numbers up to the capacity, and pass through the driver.
     """
-    spark = df.sparkSession
-    parts = -(-slots(spark) // 8)  # rows are narrow
-    dealt = df.repartitionByRange(parts, size, *order).sortWithinPartitions(size, *order)
+    parts = -(-slots(df.sparkSession) // 8)  # rows are narrow
+    in_order = df.repartitionByRange(parts, size, *order).sortWithinPartitions(size, *order)
     placed = stored(
-        dealt.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()), name
+        in_order.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()), name
     )
     before = Window.partitionBy(size).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(size, "part").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_line"))
-    known = here(counts.select(size, "part", "shift", "n"))
-    with_rank = (
-        placed.join(F.broadcast(known), [size, "part"])
-        .withColumn("rank", F.col("line") + F.col("shift"))
-        .drop("part", "line", "shift", "n")
-    )
-    return with_rank, known.groupBy(size).agg(F.sum("n").alias("n"))
+    known = here(placed.groupBy(size, "part").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n")))
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_line")
+    return placed, known.select(size, "part", shift.alias("shift"), "n")
 
 
 def places_of(by_gap: DataFrame, longest: int) -> DataFrame:
     """The places that gaps have for documents of up to ``longest`` tokens: gap, size, of_one (places of that size in a gap) and
-    n (in all gaps of that length).
+    n (in all gaps of that length), and other columns of ``by_gap``.
 
     A gap that is long enough for several documents is cut into places of ``longest``; what is over goes to its last one.
     """
+    others = [c for c in by_gap.columns if c not in ("gap", "n")]
     times = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("bigint")
     last = F.struct((F.col("gap") - (times - 1) * longest).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("of_one"))
     full = F.struct(F.lit(longest).cast("bigint").alias("size"), (times - 1).alias("of_one"))
     return (
-        by_gap.select("gap", "n", F.explode(F.array(last, full)).alias("place"))
+        by_gap.select("*", F.explode(F.array(last, full)).alias("place"))
         .where("place.of_one > 0")
-        .select("gap", "place.size", "place.of_one", (F.col("n") * F.col("place.of_one")).alias("n"))
+        .select("gap", "place.size", "place.of_one", (F.col("n") * F.col("place.of_one")).alias("n"), *others)
     )
 
 
@@ -277,13 +272,16 @@ def sweep(left: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     The result is ``left`` with matched and match (the number of its first match), and ``places`` with place_number (that of
     its first place). Sizes are whole numbers up to the capacity, which bounds the rows of these windows for any input.
     """
-    documents = F.col("n") - F.col("first")
+    documents = (F.col("n") - F.col("first")).alias("documents")
     both = (
-        places.select("size", F.col("n").alias("places"), F.lit(0).alias("documents"))
-        .unionByName(left.select(F.col("length").alias("size"), F.lit(0).alias("places"), documents.alias("documents")))
+        places.select("size", F.col("n").alias("places"))
+        .unionByName(left.select(F.col("length").alias("size"), "first", "n", documents), allowMissingColumns=True)
         .coalesce(1)  # counts by size
         .groupBy("size")
-        .agg(F.sum("places").alias("places"), F.sum("documents").alias("documents"))
+        .agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("places", "documents")],
+            *[F.max(c).alias(c) for c in ("first", "n")],  # of the one row that ``left`` has of a length, null elsewhere
+        )
     )
     down = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
     runs = (
@@ -292,10 +290,9 @@ def sweep(left: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("u", F.col("d") + F.least(F.lit(0), F.min(F.col("g") - F.col("d")).over(down)))
         .withColumn("u_before", F.coalesce(F.lag("u").over(Window.orderBy(F.desc("size"))), F.lit(0)))
     )
-    matched = runs.select(
-        F.col("size").alias("of_length"), (F.col("u") - F.col("u_before")).alias("matched"), F.col("u_before").alias("match")
+    of_length = runs.where("n IS NOT NULL").select(
+        F.col("size").alias("length"), "first", "n", (F.col("u") - F.col("u_before")).alias("matched"), F.col("u_before").alias("match")
     )
-    of_length = left.join(F.broadcast(matched), F.col("length") == F.col("of_length")).drop("of_length")
     larger = Window.orderBy(F.desc("size"), F.desc("gap"), "of_one").rowsBetween(Window.unboundedPreceding, 0)
     return of_length, places.withColumn("place_number", F.sum("n").over(larger) - F.col("n"))
 
@@ -315,18 +312,23 @@ def pack(
     goes on placing documents, ``last_rounds`` times at most.
 
     Documents and gaps stay distributed: ranks and matches are found by range sorts and joins on unique numbers, and what is
-    broadcast or passes through the driver are counts by size, some ``capacity`` rows for any input. Equal lengths and
-    repeated rows are told apart by their rank. An empty table gives an empty result. Other columns are kept.
+    broadcast or passes through the driver are counts by size, some ``capacity`` rows for any input. The sweep over them stays
+    in one partition, without shuffles and broadcasts: each of those costs the driver threads and buffers, however small the
+    table. Equal lengths and repeated rows are told apart by their rank. An empty table gives an empty result. Other columns
+    are kept.
     """
     spark = pieces.sparkSession
     key = "piece_row"
     while key in pieces.columns:
         key += "_"
     named = stored(pieces.withColumn(key, F.monotonically_increasing_id()), "pack_pieces")
-    docs, by_length = ranked(named.select("length", F.col(key).alias("_row")), "length", ["_row"], "pack_documents")
+    lines, shifts = dealt(named.select("length", F.col(key).alias("_row")), "length", ["_row"], "pack_documents")
+    by_length = shifts.groupBy("length").agg(F.sum("n").alias("n"))
     wrong = by_length.where(f"length IS NULL OR NOT length BETWEEN 1 AND {capacity}").limit(5).collect()
     if wrong:
         raise ValueError(f"lengths outside 1 to {capacity}: {[r['length'] for r in wrong]}")
+    rank = (F.col("line") + F.col("shift")).alias("rank")
+    docs = stored(lines.join(F.broadcast(shifts), ["length", "part"]).select("length", "_row", rank), "pack_ranked")
     tops = [capacity // s for s in bands]
     limits = [(top, low) for top, low in zip(tops, [*tops[1:], 0], strict=True) if top > low]
     number_of_band = band_of(limits)
@@ -340,7 +342,7 @@ def pack(
 
     for rest in filled:
         band, last = rest["band"], rest is filled[-1]
-        own = docs.where(number_of_band == band)
+        own = docs.where((F.col("length") > limits[band][1]) & (F.col("length") <= limits[band][0]))
         left = by_length.where(number_of_band == band).select("length", F.lit(0).cast("bigint").alias("first"), "n")
         for turn in range(last_rounds if last else 1):
             # Once sequences are open for what is left, supersteps go on while they place a tenth of it.
@@ -352,14 +354,17 @@ def pack(
             numbered = None
             found = left.withColumns({"matched": F.lit(0).cast("bigint"), "match": F.lit(0).cast("bigint")})
             if opened:
-                ranks, by_gap = ranked(gaps.where(F.col("gap") > limits[band][1]), "gap", ["sequence_id"], "pack_ranks")
+                lines, shifts = dealt(gaps, "gap", ["sequence_id"], "pack_gaps")
+                gaps = lines.select("sequence_id", "gap")
+                parts = F.collect_list(F.struct("part", "shift")).alias("parts")  # a size is in several only at their boundaries
+                by_gap = shifts.where(F.col("gap") > limits[band][1]).groupBy("gap").agg(F.sum("n").alias("n"), parts)
                 found, places = sweep(left, places_of(by_gap, rest["longest"]))
                 # Of the places only those of a match become rows: the numbers below the documents that look for one.
-                wanted = here(places.where(F.col("place_number") < rest["n"]).withColumnRenamed("gap", "of_gap"))
-                start = F.col("place_number") + F.col("rank") * F.col("of_one")
+                wanted = places.where(F.col("place_number") < rest["n"]).select("gap", "place_number", "of_one", F.inline("parts"))
+                start = F.col("place_number") + (F.col("line") + F.col("shift")) * F.col("of_one")
                 end = F.least(start + F.col("of_one"), F.lit(rest["n"])) - 1
                 numbered = (
-                    ranks.join(F.broadcast(wanted), F.col("gap") == F.col("of_gap"))
+                    lines.join(F.broadcast(wanted), ["gap", "part"])
                     .where(start < rest["n"])
                     .select("sequence_id", F.explode(F.sequence(start, end)).alias("number"))
                 )
@@ -379,10 +384,11 @@ def pack(
             )
             fresh = (F.lit(opened) + F.floor((F.col("before") + after) / F.col("of_one"))).cast("bigint")
             step = taken.where((after >= 0) & F.lit(finish)).select("_row", "length", fresh.alias("sequence_id"))
-            if numbered is not None:
+            if numbered is not None and placed_now:
                 number = (F.col("match") + F.col("rank") - F.col("first")).alias("number")
                 matches = taken.where(after < 0).select("_row", "length", number)
-                step = step.unionByName(matches.join(numbered, "number").drop("number"))
+                found_place = matches.join(numbered, "number").drop("number")
+                step = step.unionByName(found_place) if finish and waiting else found_place
             steps.append(stored(step, "pack_step"))
             if finish and waiting:
                 opened += -(-rest["n"] // max(r["of_one"] for r in waiting))
@@ -423,7 +429,7 @@ def with_gaps_left(gaps: DataFrame, step: DataFrame, capacity: int) -> DataFrame
     taken = step.select("sequence_id", (-F.col("length")).alias("gap"), F.lit(0).alias("old"))
     every = gaps.select("sequence_id", "gap", F.lit(1).alias("old")).unionByName(taken).groupBy("sequence_id")
     full = F.sum("gap") + F.when(F.max("old") == 0, F.lit(capacity)).otherwise(F.lit(0))
-    return stored(every.agg(full.alias("gap")).where("gap > 0"), "pack_gaps")
+    return every.agg(full.alias("gap")).where("gap > 0")
 
 
 def band_of(limits: Sequence[tuple[int, int]]):

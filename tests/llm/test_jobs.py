@@ -202,6 +202,27 @@ def test_nothing_of_the_packing_goes_through_one_task_or_the_driver_by_rows(spar
     assert max(seen) <= 2 * 40 + 8
 
 
+def test_sweeps_of_counts_take_no_shuffle_and_no_broadcast(spark):
+    """Each of them would cost the driver memory in every superstep, for tables of at most some capacity rows."""
+    left = packing.here(spark.createDataFrame([(20, 0, 9), (7, 2, 5)], "length bigint, first bigint, n bigint"))
+    gaps = packing.here(spark.createDataFrame([(100, 2), (45, 1), (12, 3)], "gap bigint, n bigint"))
+    found, places = packing.sweep(left, packing.places_of(gaps, 20))
+    for counts in (packing.with_waiting(found, 100), places):
+        assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r.length: (r.matched, r.match) for r in found.collect()} == {20: (8, 0), 7: (3, 8)}
+
+
+def test_a_superstep_stores_two_tables(spark, monkeypatch):
+    """The gaps in order, and the places that the documents take; documents get their ranks once."""
+    names = []
+    real = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: names.append(name) or real(df, name))
+    lengths = [x % 40 + 1 for x in range(2000)]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id bigint, length bigint")
+    check_packing(packing.pack(df, 40, bands=(1, 2, 4, 8), last_rounds=1).collect(), 40, lengths)
+    assert len(names) <= 3 + 2 * 4
+
+
 def test_pack_is_as_good_as_best_fit(spark):
     rng = np.random.default_rng(5)
     lengths = np.minimum(100, np.exp(rng.normal(2.8, 0.9, 3000)).astype(int) + 1).tolist() + [37] * 1500
